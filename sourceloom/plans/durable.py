@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder and read from there on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables that several jobs read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
