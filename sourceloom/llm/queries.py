@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceloom.llm import pii, quality, secret_scan
+from sourceloom.llm import decontamination, jaccard_join, mixing, pii, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.spans_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.source_rates(docs))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.plan_cascade(docs)).drop("rejected_by")
@@ -28,7 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_personal_data": op5_personal_data,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -37,6 +53,15 @@ _WORDS = r"""words AS (SELECT doc_id, t, w, ROW_NUMBER() OVER (PARTITION BY doc_
          generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": r"""WITH RECURSIVE sizes AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT COUNT(*) FROM documents)::DOUBLE / ((SELECT COUNT(*) FROM sizes)::DOUBLE * n) AS rate FROM sizes),
+steps AS (SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS cdf FROM rates
+  UNION ALL SELECT source, rate, k + 1, lg + ln(rate) - ln((k + 1)::DOUBLE), cdf + exp(lg + ln(rate) - ln((k + 1)::DOUBLE))
+  FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+draws AS (SELECT doc_id, source, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+counts AS (SELECT d.doc_id, d.source, COUNT(s.k) AS n FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.cdf <= d.u
+  GROUP BY d.doc_id, d.source)
+SELECT doc_id, source, UNNEST(range(n))::INTEGER AS copy FROM counts""",
     "op8_quality_rules": "WITH " + _WORDS + r""",
 windows AS (SELECT doc_id, i, w || ' ' || LEAD(w) OVER p || ' ' || LEAD(w, 2) OVER p AS g FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM windows WHERE g IS NOT NULL) WHERE n > 1),

@@ -86,15 +86,15 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(block: Block, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of a block's words (``fold``: A-Z in lower case), and for each row the place of its first word (one more at the end).
+def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a block's words (``fold``: A-Z in lower case; ``between``: the bytes that part words), and for each row the place of its first word (one more at the end).
 
     The hash of a word is a polynomial modulo 2**64, taken as a difference of prefix sums, then finalised.
     """
     n = len(block.data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(block) + 1, np.int64)
-    inside = ~SPACE[block.data]
+    inside = ~between[block.data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -108,3 +108,16 @@ def word_hashes(block: Block, fold: bool = True) -> tuple[np.ndarray, np.ndarray
     np.cumsum(((LOWER[block.data] if fold else block.data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     hashes = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     return hashes, np.searchsorted(start, block.offsets)
+
+
+def words_block(texts: list[str]) -> Block:
+    """A block of a few texts that are not rows of a table, such as templates."""
+    column = pa.array(texts, pa.string())
+    return next(blocks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=1 << 40))
+
+
+def letters_only() -> np.ndarray:
+    """The bytes that part words of digits, ASCII letters and characters beyond ASCII."""
+    between = np.ones(256, bool)
+    between[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+    return between
