@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sourceloom.llm import decontamination, jaccard_join, mixing, pii, quality, secret_scan
+from sourceloom.llm import chat_repair, decontamination, fixity, jaccard_join, license_scan, mixing, pii, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.spans_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +34,18 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica: some payloads differ by their last character, some records are lost, chosen by the id's MD5."""
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    broken = F.when(mark == "00", F.concat(F.expr("substring(html, 1, length(html) - 1)"), F.lit("\x00"))).otherwise(F.col("html"))
+    return pages.where(mark != "01").withColumn("html", broken)
+
+
+def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, damaged(pages))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, mixing.source_rates(docs))
@@ -39,13 +56,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.plan_cascade(docs)).drop("rejected_by")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_personal_data": op5_personal_data,
+    "op6_fixity_audit": op6_fixity_audit,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_chat_repair": op10_chat_repair,
 }
 
 _WORDS = r"""words AS (SELECT doc_id, t, w, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i FROM (
@@ -53,6 +82,10 @@ _WORDS = r"""words AS (SELECT doc_id, t, w, ROW_NUMBER() OVER (PARTITION BY doc_
          generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_fixity_audit": r"""WITH marked AS (SELECT page_id, strlen(html) AS bytes, substr(md5(page_id::VARCHAR), 1, 2) AS mark FROM pages),
+placed AS (SELECT page_id, page_id // 1024 AS archive, mark, bytes, (SUM(bytes) OVER (PARTITION BY page_id // 1024 ORDER BY page_id))::BIGINT AS "end" FROM marked)
+SELECT page_id, archive, ("end" - bytes)::BIGINT AS start, "end", CASE mark WHEN '00' THEN 'changed' ELSE 'missing' END AS state
+FROM placed WHERE mark IN ('00', '01')""",
     "op7_mixing": r"""WITH RECURSIVE sizes AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT COUNT(*) FROM documents)::DOUBLE / ((SELECT COUNT(*) FROM sizes)::DOUBLE * n) AS rate FROM sizes),
 steps AS (SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS cdf FROM rates
