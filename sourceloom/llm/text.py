@@ -86,8 +86,9 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of a block's words (``fold``: A-Z in lower case; ``between``: the bytes that part words), and for each row the place of its first word (one more at the end).
+def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a block's words (``fold``: A-Z in lower case; ``between``: the bytes that part words;
+    ``longest``: only that many bytes of each word count), and for each row the place of its first word (one more at the end).
 
     The hash of a word is a polynomial modulo 2**64, taken as a difference of prefix sums, then finalised.
     """
@@ -103,6 +104,7 @@ def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE) ->
     begins[cuts] = inside[cuts]
     ends[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    end = end if longest is None else np.minimum(end, start + longest)
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(((LOWER[block.data] if fold else block.data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
