@@ -1 +1,27 @@
-"""Sources of sourceloom."""
+"""Sources: code corpora as tables of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders that a scan leaves out, and extensions by language.
+SKIPPED = ("node_modules", "out", "dist", "__pycache__")
+EXTENSIONS = (("python", r"\.py$"), ("typescript", r"(?<!\.d)\.tsx?$"), ("javascript", r"\.(?:js|jsx|mjs|cjs)$"))
+
+
+def keep_sources(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of a table of relative paths that a scan takes, with ``language``."""
+    language = F.coalesce(*(F.when(F.col(path).rlike(p), name) for name, p in EXTENSIONS))
+    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    out = F.exists(folders, lambda s: s.startswith(".") | s.isin(*SKIPPED))
+    return paths.withColumn("language", language).where(F.col("language").isNotNull() & ~out)
+
+
+def scan_corpus(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """(repo, path, language, text) of the source files below a folder."""
+    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    base = root.rstrip("/").split(":")[-1].lstrip("/")
+    at = F.instr("_metadata.file_path", base) + len(base) + 1
+    rows = files.select(F.lit(repo).alias("repo"), F.expr("substring(_metadata.file_path, 1)").alias("full"), at.alias("at"), F.col("value").alias("text"))
+    return keep_sources(rows.select("repo", F.expr("substring(full, at)").alias("path"), "text"))
