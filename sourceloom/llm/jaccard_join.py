@@ -62,7 +62,10 @@ def needed(x: int, y: int) -> int:
 
 
 def list_lengths(docs: DataFrame, text: str = "text", words: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each of ``2**bits`` buckets; its size is fixed by ``bits``."""
+    """For each of ``2**bits`` buckets, eight times the binary logarithm of how many (document, shingle) pairs fall into it.
+
+    A byte a bucket reaches the driver and is broadcast, so the size is fixed by ``bits``.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << bits, np.int64)
@@ -76,11 +79,17 @@ def list_lengths(docs: DataFrame, text: str = "text", words: int = WORDS, bits:
                 rows = [pa.array((at + k).astype(np.int32)), pa.array(sums[at + k])]
                 yield pa.RecordBatch.from_arrays(rows, names=["bucket", "n"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, n = (batch.column(k).to_numpy() for k in (0, 1))
+            level = np.minimum(8 * np.log2(n.astype(float)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bucket, level)], names=["bucket", "level"])
+
     made = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = made.toPandas()
-    lengths = np.zeros(1 << bits, np.int64)
-    lengths[got.bucket.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    return np.minimum(lengths, 0xFFFFFFFF).astype(np.uint32)
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in made.mapInArrow(pack, "bucket binary, level binary").toLocalIterator():
+        levels[np.frombuffer(r.bucket, np.int32)] = np.frombuffer(r.level, np.uint8)
+    return levels
 
 
 def short_lists(docs: DataFrame, lengths: np.ndarray, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
