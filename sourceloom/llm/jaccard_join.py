@@ -33,6 +33,7 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # a similarity of 0.75
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 14
+HINT_BITS = 22
 HUB_ROUNDS = 4
 EASY_PAIRS = 4  # hub rounds end when the pairs left are at most this many times the postings
 
@@ -116,14 +117,37 @@ def short_lists(docs: DataFrame, lengths: np.ndarray, id_col: str = "doc_id", te
     return docs.select(id_col, text).mapInArrow(cutting, f"id {kind}, n long, s1 long, s2 long, short array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+def _marks(ids: DataFrame) -> np.ndarray:
+    """One bit for each of ``2**HINT_BITS`` hashes of ids: a hint of fixed size of which documents a probe asks for."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["mark"])
+
+    marks = np.zeros(1 << HINT_BITS, bool)
+    for r in ids.select(_mark("id")).distinct().mapInArrow(pack, "mark binary").toLocalIterator():
+        marks[np.frombuffer(r.mark, np.int32)] = True
+    return marks
+
+
+def _mark(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(1 << HINT_BITS)).cast("int").alias("mark")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+    """(id, set) of the documents named by ``ids``. The hint leaves out most others before the shuffle, the semi-join the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            made = [s.view(np.int64) for s in shingle_sets(block, words)]
-            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "set"])
+        for batch in batches:
+            batch = batch.filter(pa.array(shared.value[batch.column(2).to_numpy()]))
+            for block in blocks(iter([batch]), text):
+                made = [s.view(np.int64) for s in shingle_sets(block, words)]
+                yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(make, f"id {kind}, set array<long>")
+    made = docs.where(F.col(id_col).isNotNull()).select(id_col, text, _mark(id_col)).mapInArrow(make, f"id {kind}, set array<long>")
+    return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,15 +184,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     member = cut(full.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("id", "rep"))
     reps = member.where("id = rep").select("id").distinct()
+    # A position counts shingles before it in one order for all, so what is left after it bounds the overlap.
+    place = (F.shiftleft("n", 32) + F.col("pos")).alias("place")
     lists = (
         full.join(reps, "id", "left_semi").dropDuplicates(["id"])
-        .select("id", "n", F.posexplode("short").alias("pos", "shingle"))
+        .select("id", "n", F.posexplode("short").alias("pos", "shingle")).select("shingle", "id", place)
+        .repartition("shingle")  # one shuffle for the count and for the join
     )
     common = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("shingle")
-    # A position counts shingles before it in one order for all, so what is left after it bounds the overlap.
-    postings = cut(lists.join(common, "shingle", "left_semi"))
+    shared = lists.join(common, "shingle", "left_semi")
+    postings = cut(shared.select("shingle", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")))
     involved = postings.select("id").distinct()
-    sets = cut(_sets(docs.select(F.col(id_col), F.col(text)).join(involved.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text, words).dropDuplicates(["id"]))
     n_postings = postings.count()
     links = None
     labels = involved.select("id", F.col("id").alias("comp"))
@@ -195,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        found = cut(probe(pairs, sets))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        found = cut(probe(pairs, _sets(docs, asked, id_col, text, words)))
         links = found if links is None else links.unionByName(found)
         stars = star_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
         labels = cut(involved.join(stars, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
