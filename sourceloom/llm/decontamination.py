@@ -49,7 +49,7 @@ class ItemIndex:
     """Impacts of terms on items and on blocks of items, and the runs that verification asks for."""
 
     def __init__(self, ids: list, texts: list[str]):
-        hashes, first = word_hashes(words_block(texts), between=_BETWEEN)
+        hashes, first = word_hashes(words_block(texts or [""]), between=_BETWEEN)
         own = [hashes[a:b] for a, b in zip(first, first[1:])]
         order = sorted((k for k in range(len(own)) if len(own[k])), key=lambda k: (len(own[k]), k))
         self.ids, self.words = [ids[k] for k in order], [own[k] for k in order]
