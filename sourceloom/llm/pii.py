@@ -125,7 +125,7 @@ class Tokens:
         blank = np.flatnonzero(SPACE[data])
         at = np.searchsorted(blank, np.flatnonzero(_MARKED[data]))
         words = np.unique(at)
-        left = np.where(words > 0, blank[words - 1] + 1, 0)
+        left = np.append(-1, blank)[words] + 1
         right = np.append(blank, len(data))[words]
         last_key: dict[str, int] = {}
         before, k = (-2, -1), 0
