@@ -110,3 +110,13 @@ def test_toxicity_held_out(spark):
     got = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id < 600]
     assert got and sum(r.predicted == bad(r.doc_id) for r in got) >= 0.95 * len(got)
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_toxicity_models_hold_every_training_row(spark):
+    from sourceloom.llm.text import letters_only, word_hashes, words_block
+
+    texts = [f"common words {i % 9} here " + (f"slur{i // 40} idiot slur{i // 40} " if i % 4 == 0 else "fine ") for i in range(800)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    models, _ = toxicity.train(docs_of(spark, texts), labels, limit=20)
+    slurs, _ = word_hashes(words_block([" ".join(f"slur{k}" for k in range(20))]), between=letters_only())
+    assert set(slurs.tolist()) <= set(models.words.tolist())
