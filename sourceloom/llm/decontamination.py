@@ -3,8 +3,9 @@
 The items are sorted by length and cut into blocks; for each term the index holds its impact on every item and, for each
 block, the largest of them. Every passage of every document (overlapping windows that cover the whole text) is a query. A passage is
 first bounded block by block with the block maxima, and only blocks whose bound reaches the threshold are scored item by item. Impacts are
-divided by the item's own score, so one threshold serves all items. What scores above it is verified: the document must
-hold the word runs of the item's question (its first three quarters) and of its answer (the rest).
+divided by the item's own score, so one threshold serves all items. What scores above it is verified by alignment: in one place the
+document must hold, in order, enough words of the item's question (its first three quarters) and of its answer (the rest, three
+words at least), each at most ``SLIP`` words off its place, so no single edit fails a part. An item of fewer than ``RUN`` words must be whole.
 
 The index of ``SHARD`` items at most is broadcast (its size is bounded by that number and checked); more items make
 more shards, each with its own pass over the documents.
@@ -16,6 +17,7 @@ because only id and text are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,29 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.text import Block, blocks, letters_only, mix64, word_hashes, words_block
+from sourceloom.llm.text import Block, blocks, letters_only, word_hashes, words_block
 
 K1, B = 1.2, 0.75
 SHARD = 20_000
 BLOCK_ITEMS = 8
 THRESHOLD = 0.4
 RUN = 4
+SLIP = 3
 OVERLAP = 0.6
 MAX_ITEM_BYTES = 1 << 16
 _BETWEEN = letters_only()
 
 
-def _runs(hashes: np.ndarray, size: int = RUN) -> np.ndarray:
-    """Hashes of the runs of ``size`` words (of all words, if fewer)."""
-    size = max(1, min(size, len(hashes)))
-    codes = hashes[: len(hashes) - size + 1].copy()
-    for k in range(1, size):
-        codes = mix64(codes) + hashes[k : k + len(codes)]
-    return codes
+def _chain(j: np.ndarray) -> int:
+    """The longest chain of pairs (i, j) that rises in both numbers; they come by i, then by falling j."""
+    ends: list[int] = []
+    for x in j.tolist():
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
 
 
 class ItemIndex:
-    """Impacts of terms on items and on blocks of items, and the runs that verification asks for."""
+    """Impacts of terms on items and on blocks of items, and the words that verification asks for."""
 
     def __init__(self, ids: list, texts: list[str]):
         hashes, first = word_hashes(words_block(texts or [""]), between=_BETWEEN)
@@ -79,11 +82,6 @@ class ItemIndex:
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             self.block, self.block_max = (key[cut] % self.n_blocks).astype(np.int32), np.maximum.reduceat(self.impact, cut)
             self.block_start = np.searchsorted(key[cut] // self.n_blocks, np.arange(len(self.terms) + 1))
-        self.parts = []
-        for w in self.words:
-            runs = _runs(w)
-            q = max(1, (3 * len(runs)) // 4)
-            self.parts.append((min(RUN, len(w)), np.unique(runs[:q]), np.unique(runs[q:]) if len(runs) > q else np.unique(runs[-1:])))
 
     def candidates(self, found: np.ndarray, threshold: float) -> np.ndarray:
         """Items with a passage at or above the threshold; ``found`` holds term numbers of the text's words, -1 for others."""
@@ -111,20 +109,42 @@ class ItemIndex:
         return np.unique(pair[np.bincount(where, self.impact[at]) >= threshold] % len(self.ids))
 
     def verified(self, hashes: np.ndarray, items: np.ndarray, overlap: float) -> Iterator[tuple[int, float, float]]:
-        runs: dict[int, np.ndarray] = {}
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
         for k in items.tolist():
-            size, question, answer = self.parts[k]
-            if size > len(hashes):
+            question, answer = max(shares for shares in self._shares(k, order, ordered, overlap))
+            if question:
+                yield k, question, answer
+
+    def _shares(self, k: int, order: np.ndarray, ordered: np.ndarray, overlap: float) -> Iterator[tuple[float, float]]:
+        """The shares of question and answer in each place that holds enough of both, and a pair of zeros."""
+        yield 0.0, 0.0
+        word = self.words[k]
+        size = len(word)
+        overlap = overlap if size >= RUN else 1.0
+        tail = min(size, max(3, -(-size // 4)))
+        head = max(size - tail, min(size, 3))
+        low = np.searchsorted(ordered, word)
+        n = np.searchsorted(ordered, word, "right") - low
+        i = np.repeat(np.arange(size), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        by = np.argsort(j - i, kind="stable")
+        i, j = i[by], j[by]
+        place = j - i
+        last = np.searchsorted(place, place + 2 * SLIP, "right")
+        first = np.flatnonzero((last - np.arange(len(place)) >= overlap * size) & np.r_[True, place[1:] != place[:-1]][: len(place)])
+        for a, b in zip(first.tolist(), last[first].tolist()):
+            x, y = i[a:b], j[a:b]
+            if len(np.unique(x)) < overlap * size:
                 continue
-            if size not in runs:
-                runs[size] = np.unique(_runs(hashes, size))
-            shares = [float(_held(part, runs[size]).mean()) for part in (question, answer)]
-            if min(shares) >= overlap:
-                yield k, shares[0], shares[1]
-
-
-def _held(part: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    return runs[np.minimum(np.searchsorted(runs, part), len(runs) - 1)] == part
+            by = np.lexsort((-y, x))
+            x, y = x[by], y[by]
+            question = _chain(y[x < head]) / head
+            answer = _chain(y[x >= size - tail]) / tail
+            if min(question, answer) >= overlap:
+                yield question, answer
+                if question == answer == 1:
+                    return
 
 
 def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

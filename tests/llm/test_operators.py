@@ -136,3 +136,14 @@ def test_toxicity_lower_orders_count_contexts(spark):
         at = int(toxicity._find(models.stems, stem)[0])
         weight[word] = models.stem_model[1][at] if known is None else models.word_model[1][known]
     assert weight["zorro"] < 0.5 * weight["idiot"]
+
+
+@pytest.mark.parametrize("size", [15, 30, 59])
+def test_decontamination_survives_any_single_edit(spark, size):
+    item = [f"t{j}" for j in range(size)]
+    bench = spark.createDataFrame([(7, " ".join(item))] + [(k, " ".join(f"o{k}x{j}" for j in range(40))) for k in range(8, 30)], "item_id long, text string")
+    around = [f"word{k % 50}" for k in range(300)]
+    edits = [item[:k] + e + item[k + 1 :] for k in range(size) for e in (["other"], [], [item[k], "more"])]
+    docs = docs_of(spark, [" ".join(around + e + around) for e in edits] + [" ".join(around + item[: size // 2] + around)])
+    got = {r.doc_id for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == set(range(len(edits)))
