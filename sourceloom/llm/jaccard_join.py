@@ -239,7 +239,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns: of each component the document with the smallest id; empty texts all stay."""
-    found = near_duplicates(docs, id_col, text)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(stay, id_col, "left_semi")
+    """The rows of ``docs``, all columns: of each component one row, that of the smallest id (a null id comes last); empty texts all stay.
+
+    Rows are joined under a 64-bit hash of id and text, so rows with null ids and ids with several texts count like any others;
+    of rows that agree in both, one stays.
+    """
+    key = F.xxhash64(id_col, text)
+    row = "_jaccard_row"
+    found = near_duplicates(docs.select(key.alias(row), text), row, text)
+    found = found.groupBy(row, "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("copies"))
+    named = found.join(docs.select(key.alias(row), F.col(id_col).alias("id")).distinct(), row)
+    best = F.min(F.struct(F.isnull("id").alias("last"), "id", F.col(row).alias("row"), "copies")).alias("best")
+    full = named.where("n_shingles > 0").groupBy("component_id").agg(best).select(F.col("best.row").alias(row), "best.copies")
+    stay = cut(full.unionByName(named.where("n_shingles = 0").select(row, F.lit(1).cast("long").alias("copies"))))
+    rows = docs.withColumn(row, key)
+    once = rows.join(stay.where("copies = 1").select(row), row, "left_semi")
+    again = rows.join(stay.where("copies > 1").select(row), row, "left_semi").dropDuplicates([row])
+    return once.unionByName(again).select(docs.columns)

@@ -64,3 +64,13 @@ def test_components_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}v{j}" for j in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c") + " end"), (1, text("c")), (2, text("d")), (2, text("d")), (2, text("d")),
+            (3, text("e")), (3, text("f")), (4, text("f") + " end"), (5, text("e")), (None, None), (None, ""), (6, text("g")), (None, text("g"))]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    want = [(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (3, text("e")), (3, text("f")), (None, None), (None, ""), (6, text("g"))]
+    assert got == sorted(want, key=str)
