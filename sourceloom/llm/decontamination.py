@@ -7,8 +7,9 @@ divided by the item's own score, so one threshold serves all items. What scores
 document must hold, in order, enough words of the item's question (its first three quarters) and of its answer (the rest, three
 words at least), each at most ``SLIP`` words off its place, so no single edit fails a part. An item of fewer than ``RUN`` words must be whole.
 
-The index of ``SHARD`` items at most is broadcast (its size is bounded by that number and checked); more items make
-more shards, each with its own pass over the documents.
+Items are dealt to shards of about ``SHARD_BYTES`` of text and ``SHARD`` items by a hash. Spark tasks build the indexes; the driver passes one
+pickled index at a time to a broadcast, and each shard has its own pass over the documents. An item of more than ``ENTRY`` words is
+indexed as several entries that overlap by half, and a document that holds one of them holds the item.
 
 Defined cases: null, empty and blank texts match nothing; items without words are left out; repeated items are found
 under each id; an empty table on either side gives an empty result; long texts are read whole; clashing column names do not matter,
@@ -17,6 +18,7 @@ because only id and text are read.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +37,8 @@ THRESHOLD = 0.4
 RUN = 4
 SLIP = 3
 OVERLAP = 0.6
-MAX_ITEM_BYTES = 1 << 16
+SHARD_BYTES = 1 << 24
+ENTRY = 1024  # words
 _BETWEEN = letters_only()
 
 
@@ -53,9 +56,14 @@ class ItemIndex:
 
     def __init__(self, ids: list, texts: list[str]):
         hashes, first = word_hashes(words_block(texts or [""]), between=_BETWEEN)
-        own = [hashes[a:b] for a, b in zip(first, first[1:])]
+        own, source = [], []
+        for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            # The last entry ends with the item, so the entries cover it.
+            starts = [0] if b - a <= ENTRY else [*range(0, b - a - ENTRY, ENTRY // 2), b - a - ENTRY]
+            own += [hashes[a + x : min(b, a + x + ENTRY)] for x in starts]
+            source += [k] * len(starts)
         order = sorted((k for k in range(len(own)) if len(own[k])), key=lambda k: (len(own[k]), k))
-        self.ids, self.words = [ids[k] for k in order], [own[k] for k in order]
+        self.ids, self.words, self.source = [ids[source[k]] for k in order], [own[k] for k in order], [source[k] for k in order]
         n = len(order)
         self.n_blocks = -(-n // BLOCK_ITEMS)
         sizes = np.array([len(w) for w in self.words], float)
@@ -155,7 +163,7 @@ def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def search(block: Block, index: ItemIndex, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float]]:
-    """(row, item, question share, answer share) for a block."""
+    """(row, entry, question share, answer share) for a block; of an item's entries in a row the one with the largest shares."""
     if not index.ids:
         return
     hashes, first = word_hashes(block, between=_BETWEEN)
@@ -164,22 +172,27 @@ def search(block: Block, index: ItemIndex, threshold: float, overlap: float) ->
     for row, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
         items = index.candidates(found[a:b], threshold)
         if len(items):
+            best: dict[int, tuple[float, float, int]] = {}
             for k, q, r in index.verified(hashes[a:b], items, overlap):
+                best[index.source[k]] = max(best.get(index.source[k], (0.0, 0.0, k)), (q, r, k))
+            for q, r, k in best.values():
                 yield row, k, q, r
 
 
-def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[ItemIndex]:
-    """Indexes of at most ``SHARD`` items each. Test items are curated lists; one longer than ``MAX_ITEM_BYTES`` is an error."""
-    out, ids, texts = [], [], []
-    for r in items.select(item_id, text).orderBy(item_id, text).toLocalIterator():
-        if len((r[1] or "").encode()) > MAX_ITEM_BYTES:
-            raise ValueError(f"test item {r[0]} is longer than {MAX_ITEM_BYTES} bytes")
-        ids.append(r[0])
-        texts.append(r[1] or "")
-        if len(ids) == SHARD:
-            out.append(ItemIndex(ids, texts))
-            ids, texts = [], []
-    return [*out, ItemIndex(ids, texts)] if ids or not out else out
+def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[bytes]:
+    """Pickled indexes of the items, one for each shard."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size")).first()
+    shards = max(-(-size.n // SHARD), -(-size.size // SHARD_BYTES), 1)
+
+    def build(table: pa.Table) -> pa.Table:
+        ids, texts = (table.column(name).to_pylist() for name in (item_id, text))
+        by = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0, texts[k]))
+        made = pickle.dumps(ItemIndex([ids[k] for k in by], [texts[k] for k in by]), protocol=5)
+        return pa.table({"made": pa.array([made], pa.large_binary()).cast(pa.binary())})
+
+    dealt = items.where(F.col(text).isNotNull()).select(item_id, text, F.pmod(F.xxhash64(item_id, text), F.lit(shards)).alias("shard"))
+    for r in dealt.groupBy("shard").applyInArrow(build, "made binary").toLocalIterator():
+        yield bytes(r.made)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -187,11 +200,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType
     schema = f"{id_col} {kind}, {item_id} {item_kind.simpleString()}, question_overlap double, answer_overlap double"
 
-    def one(index: ItemIndex) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    def one(made: bytes) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = pickle.loads(shared.value)
             for block in blocks(batches, text):
                 rows = list(search(block, index, threshold, overlap))
                 if rows:
@@ -201,18 +214,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         return docs.select(id_col, text).mapInArrow(scan, schema)
 
-    return reduce(DataFrame.unionByName, (one(index) for index in item_shards(items, item_id, text)))
+    parts = [one(made) for made in item_shards(items, item_id, text)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item."""
     out = docs
-    for index in item_shards(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for made in item_shards(items, text=text):
+        shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(shared.value)
             for block in blocks(batches, text):
-                bad = {row for row, *_ in search(block, shared.value, threshold, overlap)}
+                bad = {row for row, *_ in search(block, index, threshold, overlap)}
                 yield block.rows.filter(pa.array([k not in bad for k in range(len(block))])) if bad else block.rows
 
         out = out.mapInArrow(scan, docs.schema)

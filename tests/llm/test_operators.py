@@ -147,3 +147,13 @@ def test_decontamination_survives_any_single_edit(spark, size):
     docs = docs_of(spark, [" ".join(around + e + around) for e in edits] + [" ".join(around + item[: size // 2] + around)])
     got = {r.doc_id for r in decontamination.contaminated(docs, bench).collect()}
     assert got == set(range(len(edits)))
+
+
+def test_decontamination_takes_items_of_any_length_and_number(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD", 5)
+    long = [f"long{j}" for j in range(20000)]
+    bench = spark.createDataFrame([(1, " ".join(long))] + [(k, " ".join(f"o{k}x{j}" for j in range(30))) for k in range(2, 30)], "item_id long, text string")
+    texts = [" ".join(["some", "words"] * 40), " ".join(long), " ".join(long[7000:9000]), " ".join(f"o4x{j}" for j in range(30))]
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect())
+    assert got == [(1, 1), (2, 1), (3, 4)]
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs_of(spark, texts), bench).collect()] == [0]
