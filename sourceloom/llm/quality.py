@@ -59,6 +59,11 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def word_chars(text: bytes) -> int:
+    """Code points in words, so that scripts of two or three bytes a letter count like others."""
+    return len(b"".join(text.split()).decode())
+
+
 @dataclass
 class Document:
     """One text and what rules may ask of it."""
@@ -87,7 +92,7 @@ RULES = (
     Rule("shouting", lambda d: 10 * _without(d.text, UPPER) > 3 * _without(d.text, LETTERS)),
     Rule("exclamations", lambda d: 10 * d.text.count(b"!!") > d.n_words),
     Rule("repeated_lines", lambda d: 2 * repeated_lines(d.text) > d.text.count(b"\n") + 1),
-    Rule("word_length", lambda d: not 2 * d.n_words <= len(d.text) - d.text.count(b" ") <= 20 * d.n_words),
+    Rule("word_length", lambda d: not 2 * d.n_words <= word_chars(d.text) <= 20 * d.n_words),
 )
 
 

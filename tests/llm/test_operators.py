@@ -157,3 +157,12 @@ def test_decontamination_takes_items_of_any_length_and_number(spark, monkeypatch
     got = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect())
     assert got == [(1, 1), (2, 1), (3, 4)]
     assert [r.doc_id for r in decontamination.drop_contaminated(docs_of(spark, texts), bench).collect()] == [0]
+
+
+def test_quality_keeps_three_byte_scripts(spark):
+    from sourceloom.llm import quality
+
+    georgian = " ".join("".join(chr(0x10D0 + (k * 7 + j * (k % 5 + 1)) % 33) for j in range(5 + k % 6)) for k in range(80))
+    docs = docs_of(spark, [georgian, " ".join("x" * 25 + str(k) for k in range(80))])
+    assert [r.kept for r in quality.judge(docs, quality.RULES).orderBy("doc_id").collect()] == [True, False]
+    assert [r.doc_id for r in quality.keep_good(docs, quality.RULES).collect()] == [0]
