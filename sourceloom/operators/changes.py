@@ -1,43 +1,151 @@
-"""Version-control changes and time: attribution of hunks to functions, and the order in which functions appeared."""
+"""Version-control changes and time: parsed texts, attribution to functions, order of appearance and snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.plans.durable import cut
+from sourceloom.operators.hierarchy import _flag
+from sourceloom.operators.measures import MAIN
+from sourceloom.plans.ranking import numbered
+
+BUCKET = 256  # lines
+
+
+def _lines(texts: DataFrame, by: str = r"\n") -> DataFrame:
+    """The texts' lines with their place; a text is one file's or one repository's output, and is split within its row."""
+    return texts.select(*(c for c in texts.columns if c != "text"), F.posexplode(F.split("text", by)).alias("pos", "line"))
+
+
+def _under(root: Column, rest: Column) -> Column:
+    return F.regexp_replace(F.concat(F.regexp_replace(root, r"[/\\]+$", ""), F.lit("/"), rest), r"\\", "/")
+
+
+def parse_status(texts: DataFrame) -> DataFrame:
+    """(repo, file, unstaged, staged) from (repo, root, text): NUL-separated short statuses; the last entry of a file counts.
+
+    Entries without two status letters and a blank, such as the old path of a rename, are left out.
+    """
+    rows = _lines(texts, "\x00").where((F.length("line") >= 4) & F.col("line").rlike("^[A-Z? ][A-Z? ] "))
+    x, y = F.substring("line", 1, 1), F.substring("line", 2, 1)
+    unstaged = F.when((x == "?") & (y == "?"), "added").when(y == "M", "modified").when(y == "D", "deleted").when((x == "A") & (y == " "), "added")
+    staged = F.when(x == "A", "added").when(x == "D", "deleted").when(~x.isin(" ", "?"), "modified")
+    rows = rows.select("repo", _under(F.col("root"), F.expr("substring(line, 4)")).alias("file"), "pos", unstaged.alias("unstaged"), staged.alias("staged"))
+    return rows.groupBy("repo", "file").agg(F.max_by(F.struct("unstaged", "staged"), "pos").alias("s")).select("repo", "file", "s.unstaged", "s.staged")
+
+
+_HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def parse_diff(texts: DataFrame) -> DataFrame:
+    """(repo, staged, file, start, end, is_new) from (repo, root, staged, text): the new sides of the hunks of a diff without context.
+
+    A missing count is 1; a hunk of no new lines covers its start; a hunk that replaces no line is new; hunks before the first file are left out.
+    Lines are carried within one text, which is one command's output.
+    """
+    rows = _lines(texts.withColumn("doc", F.monotonically_increasing_id())).where(F.col("line").startswith("+++ b/") | F.col("line").startswith("@@"))
+    file = F.when(F.col("line").startswith("+++ b/"), _under(F.col("root"), F.rtrim(F.expr("substring(line, 7)"))))
+    carried = F.last(file, ignorenulls=True).over(Window.partitionBy("repo", "staged", "doc").orderBy("pos"))
+    hunks = rows.withColumn("file", carried).where(F.col("line").startswith("@@") & F.col("file").isNotNull() & F.col("line").rlike(_HUNK))
+    group = lambda k: F.regexp_extract("line", _HUNK, k)
+    count = lambda k: F.when(group(k) == "", F.lit(1)).otherwise(group(k).try_cast("int"))
+    start = group(3).try_cast("int")
+    return hunks.select("repo", "staged", "file", start.alias("start"), F.when(count(4) > 0, start + count(4) - 1).otherwise(start).alias("end"), (count(2) == 0).alias("is_new"))
+
+
+_BLAME = r"^([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?$"
+
+
+def parse_blame(texts: DataFrame) -> DataFrame:
+    """(repo, file, line, sha, author_time) from (repo, file, text): a commit's time stands at its first entry and holds for its later ones. Lines without a known time are left out."""
+    rows = _lines(texts)
+    header = F.col("line").rlike(_BLAME)
+    block = F.sum(header.cast("int")).over(Window.partitionBy("repo", "file").orderBy("pos"))
+    time = F.when(F.col("line").startswith("author-time "), F.regexp_extract("line", r"^author-time (-?\d+)", 1).try_cast("long"))
+    rows = rows.withColumn("block", block).where("block > 0").groupBy("repo", "file", "block").agg(
+        F.max(F.when(header, F.regexp_extract("line", _BLAME, 1))).alias("sha"), F.max(F.when(header, F.regexp_extract("line", _BLAME, 3).try_cast("int"))).alias("n"), F.max(time).alias("time")
+    )
+    known = F.last("time", ignorenulls=True).over(Window.partitionBy("repo", "file", "sha").orderBy("block"))
+    out = rows.withColumn("author_time", known).where("author_time is not null")
+    return out.groupBy("repo", "file", F.col("n").alias("line")).agg(F.max_by(F.struct("sha", "author_time"), "block").alias("b")).select("repo", "file", "line", "b.sha", "b.author_time")
 
 
 def node_ranges(nodes: DataFrame) -> DataFrame:
     """(repo, id, file, start, end): a function lasts until the line before the next one of its file; the last has no end."""
     order = Window.partitionBy("repo", "file").orderBy("line", "id")
-    return nodes.where("file is not null").select("repo", "id", "file", F.col("line").alias("start"), (F.lead("line").over(order) - 1).alias("end"))
+    return nodes.where("file is not null and file <> ''").select("repo", "id", "file", F.col("line").alias("start"), (F.lead("line").over(order) - 1).alias("end"))
+
 
+def hunk_status(ranges: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(repo, id, status): ``added`` where a new hunk holds the first line, ``modified`` where any hunk overlaps, else null.
 
-def hunk_status(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(repo, id, status): ``added`` where a new hunk holds the first line, ``modified`` where any hunk overlaps, else null."""
-    h = hunks.select("repo", "file", F.col("start").alias("hs"), F.col("end").alias("he"), "is_new")
-    meets = (F.col("hs") <= F.coalesce("end", F.lit(2**31 - 1))) & (F.col("he") >= F.col("start"))
-    rows = ranges.join(h, ["repo", "file"]).where(meets)
-    new = F.max((F.col("is_new") & (F.col("hs") <= F.col("start")) & (F.col("he") >= F.col("start"))).cast("int"))
-    found = rows.groupBy("repo", "id").agg(F.when(new == 1, "added").otherwise("modified").alias("status"))
+    A hunk meets the ranges that start within it, by buckets of lines, and the range that holds its first line, which a carried window finds;
+    so no file joins all its ranges with all its hunks, and work grows with the lines that change. Of ranges that start on one line all but the last are empty and take hunks that hold the line.
+    """
+    h = hunks.where("start is not null and end >= start").select("repo", "file", F.col("start").alias("hs"), F.col("end").alias("he"), F.coalesce("is_new", F.lit(False)).alias("is_new")).distinct()
+    whole = F.expr(f"floor(hs / {bucket})").cast("long"), F.expr(f"floor(he / {bucket})").cast("long")
+    dealt = h.withColumn("b", F.explode(F.sequence(*whole)))
+    starts = ranges.where("start is not null").withColumn("b", F.floor(F.col("start") / bucket).cast("long"))
+    within = starts.join(dealt, ["repo", "file", "b"]).where("hs <= start and he >= start and hs <= coalesce(end, 2147483647)")
+    within = within.groupBy("repo", "id").agg(F.max("is_new").alias("new"))
+    # The range that a hunk begins in: the last one at or before its first line.
+    points = ranges.where("start is not null").select("repo", "file", F.col("start").alias("at"), F.lit(0).alias("kind"), "id", "end").unionByName(
+        h.select("repo", "file", F.col("hs").alias("at"), F.lit(1).alias("kind")).distinct(), allowMissingColumns=True
+    )
+    last = F.last(F.when(F.col("kind") == 0, F.struct("id", "end")), ignorenulls=True).over(Window.partitionBy("repo", "file").orderBy("at", "kind", "id"))
+    begun = points.withColumn("r", last).where("kind = 1 and r is not null and at <= coalesce(r.end, 2147483647)").select("repo", F.col("r.id").alias("id")).distinct()
+    found = within.unionByName(begun.withColumn("new", F.lit(False))).groupBy("repo", "id").agg(F.when(F.max("new"), "added").otherwise("modified").alias("status"))
     return ranges.select("repo", "id").join(found, ["repo", "id"], "left")
 
 
-def timeline_order(times: DataFrame) -> DataFrame:
-    """(repo, id, idx): functions from 0 by time, missing ones last, ties by id.
+def attribute_changes(nodes: DataFrame, status: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(repo, id, unstaged, staged) of nodes with a file: a file that is added or deleted as a whole gives its status, others by their hunks; a file without status gives none."""
+    ranges = node_ranges(nodes)
+    rows = ranges.select("repo", "id", "file").join(status.select("repo", "file", F.col("unstaged").alias("fu"), F.col("staged").alias("fs"), F.lit(True).alias("known")), ["repo", "file"], "left")
+    for name, staged in (("hu", False), ("hs", True)):
+        side = hunk_status(ranges, hunks.where(F.col("staged") == staged)).withColumnRenamed("status", name)
+        rows = rows.join(side, ["repo", "id"])
+    whole = F.col("fu").isin("added", "deleted")
+    pick = lambda a, b: F.when(F.col("known"), F.when(F.coalesce(whole, F.lit(False)), F.col(a)).otherwise(F.col(b)))
+    return rows.select("repo", "id", pick("fu", "hu").alias("unstaged"), pick("fs", "hs").alias("staged"))
 
-    Rows are sorted by ranges, so one huge repo spreads over tasks; only one count a partition and repo is numbered in a window.
-    """
-    ranked = cut(times.select("repo", "id", "ts").orderBy("repo", F.col("ts").asc_nulls_last(), "id")).withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part", "repo").orderBy(F.col("ts").asc_nulls_last(), "id")
-    counts = ranked.groupBy("repo", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("repo").orderBy("part")) - F.col("n")).drop("n")
-    rows = ranked.withColumn("k", F.row_number().over(within) - 1).join(before, ["repo", "part"])
-    return rows.select("repo", "id", (F.col("before") + F.col("k")).alias("idx"))
+
+def introduction_times(nodes: DataFrame, blame: DataFrame) -> DataFrame:
+    """(repo, id, ts): the time of the commit that a node's first line comes from; nodes without one are left out."""
+    placed = nodes.where("file is not null and file <> '' and line > 0").select("repo", "id", F.regexp_replace("file", r"\\", "/").alias("file"), "line")
+    return placed.join(blame.select("repo", "file", "line", F.col("author_time").alias("ts")), ["repo", "file", "line"]).select("repo", "id", "ts")
+
+
+def timeline_order(times: DataFrame) -> DataFrame:
+    """(repo, id, idx): functions from 0 by time, missing ones last, ties by id."""
+    return numbered(times.select("repo", "id", "ts"), ["repo"], [F.col("ts").asc_nulls_last(), F.col("id")], "idx").select("repo", "id", "idx")
 
 
 def library_appearance(order: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, id, appear_at): when the first function that calls a library function is there; never: no row."""
     rows = edges.select("repo", F.col("source").alias("id"), "target").join(order, ["repo", "id"])
     return rows.groupBy("repo", F.col("target").alias("id")).agg((F.min("idx") + 1).alias("appear_at"))
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame, order: DataFrame, libraries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that are there after k functions: ordered ones below k, libraries that have appeared, and what has no place in the order."""
+    rows = nodes.join(order.select("repo", "id", "idx"), ["repo", "id"], "left").join(libraries.select("repo", "id", "appear_at"), ["repo", "id"], "left")
+    always = (F.col("id") == MAIN) | _flag(nodes, "is_cluster") | _flag(nodes, "is_synthetic")
+    seen = F.when(always, True).when(_flag(nodes, "is_library"), F.coalesce(F.col("appear_at") <= k, F.lit(False))).otherwise(F.coalesce(F.col("idx") < k, F.lit(True)))
+    there = rows.where(seen).select(nodes.columns)
+    ends = there.select("repo", "id")
+    kept = edges.join(ends.withColumnRenamed("id", "source"), ["repo", "source"], "left_semi").join(ends.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi")
+    return there, kept.select(edges.columns)
+
+
+def growth(order: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, k, n_edges): how many edges between ordered functions are there after k of them, for each k at which some appear."""
+    idx = lambda end: order.select("repo", F.col("id").alias(end), F.col("idx").alias(f"{end}_idx"))
+    rows = edges.join(idx("source"), ["repo", "source"]).join(idx("target"), ["repo", "target"])
+    born = rows.groupBy("repo", (F.greatest("source_idx", "target_idx") + 1).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = numbered(born, ["repo"], [F.col("k")], "place")
+    part = F.floor(F.col("place") / 4096)
+    blocks = ranked.groupBy("repo", part.alias("part")).agg(F.sum("n").alias("s"))
+    before = blocks.select("repo", "part", (F.sum("s").over(Window.partitionBy("repo").orderBy("part")) - F.col("s")).alias("before"))
+    own = F.sum("n").over(Window.partitionBy("repo", "part").orderBy("k"))
+    return ranked.withColumn("part", part).withColumn("own", own).join(before, ["repo", "part"]).select("repo", "k", (F.col("own") + F.col("before")).alias("n_edges"))

@@ -5,55 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.plans.durable import cut
+from sourceloom.plans.durable import Workspace
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Join every larger neighbour of a node to the smallest of the node and its neighbours."""
+    """Join every larger neighbour of a node to the smallest of the node and its neighbours; an edge may come twice.
+
+    Nothing above the join asks for its partitioning, so Spark can split the rows of a node with very many neighbours.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (
-        both.join(least, "a")
-        .where(F.col("b") > F.col("a"))
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .where(F.col("a") != F.col("b"))
-        .distinct()
-    )
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Join every smaller neighbour of a node, and the node, to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def star_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node id that it reaches.
 
     Self loops, repeated edges and edges with a null end carry nothing and are left out. Each round works on at most as
-    many rows as there are edges and is written to the shared checkpoint folder, so a lost executor re-reads one round.
-    The edge set shrinks to stars in O(log^2 n) rounds, whatever the diameter. Only a count and a checksum per round
-    reach the driver.
+    many rows as there are edges and is written to the shared folder, so a lost executor re-reads one round; the round before is
+    removed. The edge set shrinks to stars in O(log^2 n) rounds, whatever the diameter, and the loop ends when a round changes nothing.
+    Only a count and a checksum per round reach the driver.
     """
-    state = cut(
-        edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-        .where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        state = cut(_small_star(_large_star(state)))
-        row = state.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if (row.n, row.h) == before:
+    work = Workspace(edges.sparkSession)
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
+    state, before = work.keep(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        row = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if (row.n, row.h) == before or not row.n:
             break
-        before = (row.n, row.h)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, old = (row.n, row.h), state
+        state = work.keep(_small_star(_large_star(old)))
+        work.drop(old)
     hubs = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(hubs)
 
@@ -65,12 +55,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     key = lambda c: F.struct("repo", F.col(c).alias("id"))
     found = star_components(edges.select(key("source").alias("a"), key("target").alias("b")))
-    labels = found.select(
-        F.col("node.repo").alias("repo"), F.col("node.id").alias("id"), F.col("component.id").alias("cluster_id")
-    )
+    labels = found.select(F.col("node.repo").alias("repo"), F.col("node.id").alias("id"), F.col("component.id").alias("cluster_id"))
     return (
-        nodes.select("repo", "id")
-        .distinct()
+        nodes.select("repo", "id").distinct()
         .join(labels, ["repo", "id"], "left")
         .select("repo", "id", F.coalesce("cluster_id", "id").alias("cluster_id"))
     )

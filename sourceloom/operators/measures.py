@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.plans.durable import cut
+from sourceloom.plans.durable import Workspace, cut
 
 MAIN = "::MAIN::0"
+FOLD = 16
 
 
 def project_subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,26 +34,38 @@ def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("repo", "id").join(found, ["repo", "id"], "left").fillna(0, ["in_degree"])
 
 
-def bfs_depth(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """(repo, id, depth): steps from the entry points; what they do not reach gets one more than the repo's depth (at least 2).
+def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, id, depth, max_depth): steps from the entry points; what they do not reach gets one more than the repo's depth (at least 2).
 
-    Each round joins the newest depth with the calls; a round is written to the checkpoint folder, and only its count reaches the
-    driver.
+    Each level joins the newest nodes with the calls and marks what they reach among the nodes not reached yet, a table that shrinks; one table a
+    level is written to the shared folder, and the levels are folded together every ``FOLD`` of them. The walk ends when a level reaches nothing.
     """
+    work = Workspace(nodes.sparkSession)
     ids = nodes.where(F.col("id") != MAIN).select("repo", "id").distinct()
-    calls = cut(_calls(edges).select("repo", "source", "target").distinct().join(ids.withColumnRenamed("id", "target"), ["repo", "target"], "left_semi"))
-    entries = edges.where(F.col("source") == MAIN).select("repo", F.col("target").alias("id")).distinct()
-    front = cut(entries.join(ids, ["repo", "id"], "left_semi").withColumn("depth", F.lit(0)))
-    seen = front
-    for step in range(1, max_rounds):
-        reached = front.select("repo", F.col("id").alias("source")).join(calls, ["repo", "source"]).select("repo", F.col("target").alias("id")).distinct()
-        front = cut(reached.join(seen, ["repo", "id"], "left_anti").withColumn("depth", F.lit(step)))
+    calls = work.keep(_calls(edges).select("repo", F.col("source").alias("id"), "target").distinct())
+    entries = edges.where(F.col("source") == MAIN).select("repo", F.col("target").alias("id"), F.lit(True).alias("found")).distinct()
+    state = work.keep(ids.join(entries, ["repo", "id"], "left").select("repo", "id", F.coalesce("found", F.lit(False)).alias("found")))
+    seen, level, fresh = None, 0, []
+    while True:
+        front = state.where("found").select("repo", "id")
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front)) if step % 8 == 0 else seen.unionByName(front)
-    deepest = seen.groupBy("repo").agg(F.max("depth").alias("m"))
-    out = ids.join(seen, ["repo", "id"], "left").join(deepest, "repo", "left")
-    m = F.greatest(F.lit(1), F.coalesce("m", F.lit(0)))
+        rows = front.withColumn("depth", F.lit(level))
+        seen = rows if seen is None else seen.unionByName(rows)
+        fresh.append(state)
+        reached = front.join(calls, ["repo", "id"]).select("repo", F.col("target").alias("id"), F.lit(True).alias("hit")).distinct()
+        state = work.keep(state.where("not found").select("repo", "id").join(reached, ["repo", "id"], "left").select("repo", "id", F.coalesce("hit", F.lit(False)).alias("found")))
+        level += 1
+        if level % FOLD == 0:
+            seen = work.keep(seen)
+            work.drop(*fresh)
+            fresh = [seen]
+    rest = state.select("repo", "id")
+    if seen is None:
+        return rest.select("repo", "id", F.lit(2).alias("depth"), F.lit(1).alias("max_depth"))
+    deepest = seen.groupBy("repo").agg(F.greatest(F.lit(1), F.max("depth")).alias("max_depth"))
+    out = seen.unionByName(rest.withColumn("depth", F.lit(None).cast("int"))).join(deepest, "repo", "left")
+    m = F.coalesce("max_depth", F.lit(1))
     return out.select("repo", "id", F.coalesce("depth", m + 1).alias("depth"), m.alias("max_depth"))
 
 

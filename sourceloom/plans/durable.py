@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; choose one only where the session names none."""
+    """Use the folder named in ``spark.checkpoint.dir``; a folder of this machine only where the master runs on it and the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sourceloom-checkpoints-"))
 
 
@@ -25,3 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, for tables that several jobs read."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+class Workspace:
+    """Parquet tables of one job in the shared folder. What a returned plan still reads stays; the job drops the rest as it goes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """The same rows, written once and read from there on; ``free`` asks the driver for a collection, so that Spark removes the job's shuffle files."""
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        if free:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.operators import changes, components, grouping, measures
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _id(mark: str, key: str):
-    return F.concat(F.lit(mark), F.col(key).cast("string"))
+from sourceloom.operators import changes, grouping, measures
+from sourceloom.plans.tables import table, text_id
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers call the suppliers that they bought from, suppliers their nations, nations their regions; MAIN calls one segment's customers."""
-    c, s, n, r = (_t(spark, sf_dir, x) for x in ("customer", "supplier", "nation", "region"))
+    c, s, n, r = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation", "region"))
     node = lambda i, file, cls: (F.lit("trade").alias("repo"), i.alias("id"), i.alias("name"), file.alias("file"), cls.alias("class_name"), cls.alias("language"))
     none = F.lit(None).cast("string")
     nodes = (
-        c.select(*node(_id("c", "c_custkey"), _id("n", "c_nationkey"), F.col("c_mktsegment")))
-        .unionByName(s.select(*node(_id("s", "s_suppkey"), _id("n", "s_nationkey"), none)))
-        .unionByName(n.select(*node(_id("n", "n_nationkey"), _id("n", "n_nationkey"), none)))
-        .unionByName(r.select(*node(_id("r", "r_regionkey"), none, none)))
+        c.select(*node(text_id("c", "c_custkey"), text_id("n", "c_nationkey"), F.col("c_mktsegment")))
+        .unionByName(s.select(*node(text_id("s", "s_suppkey"), text_id("n", "s_nationkey"), none)))
+        .unionByName(n.select(*node(text_id("n", "n_nationkey"), text_id("n", "n_nationkey"), none)))
+        .unionByName(r.select(*node(text_id("r", "r_regionkey"), none, none)))
     )
     edge = lambda a, b: (F.lit("trade").alias("repo"), a.alias("source"), b.alias("target"))
-    bought = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     edges = (
-        bought.select(*edge(_id("c", "o_custkey"), _id("s", "l_suppkey"))).distinct()
-        .unionByName(s.select(*edge(_id("s", "s_suppkey"), _id("n", "s_nationkey"))))
-        .unionByName(n.select(*edge(_id("n", "n_nationkey"), _id("r", "n_regionkey"))))
-        .unionByName(c.where("c_mktsegment = 'BUILDING'").select(*edge(F.lit(measures.MAIN), _id("c", "c_custkey"))))
+        bought.select(*edge(text_id("c", "o_custkey"), text_id("s", "l_suppkey"))).distinct()
+        .unionByName(s.select(*edge(text_id("s", "s_suppkey"), text_id("n", "s_nationkey"))))
+        .unionByName(n.select(*edge(text_id("n", "n_nationkey"), text_id("r", "n_regionkey"))))
+        .unionByName(c.where("c_mktsegment = 'BUILDING'").select(*edge(F.lit(measures.MAIN), text_id("c", "c_custkey"))))
     )
     return nodes, edges
 
@@ -54,11 +47,6 @@ def graph_importance(spark, sf_dir):
     return measures.importance(*trade(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
-def graph_components(spark, sf_dir):
-    nodes, edges = trade(spark, sf_dir)
-    return components.connected_components(nodes, edges.where(F.col("source") != measures.MAIN).where("source not like 'c%'")).drop("repo")
-
-
 def graph_quotient(spark, sf_dir):
     nodes, edges = trade(spark, sf_dir)
     groups = grouping.structural_groups(nodes, "file")
@@ -72,68 +60,32 @@ def graph_languages(spark, sf_dir):
 
 
 def folder_counts(spark, sf_dir):
-    files = _t(spark, sf_dir, "pages").select(F.lit("web").alias("repo"), F.regexp_extract("url", r"^[^?#]*", 0).alias("file"))
+    files = table(spark, sf_dir, "pages").select(F.lit("web").alias("repo"), F.regexp_extract("url", r"^[^?#]*", 0).alias("file"))
     return grouping.folder_rollup(files).drop("repo")
 
 
-def change_status(spark, sf_dir):
+def change_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as functions of their customer's file, by days, and lines as hunks of their quantity's length."""
     day = lambda c: F.datediff(F.col(c), F.lit("1995-01-01"))
-    orders = _t(spark, sf_dir, "orders").select(F.lit("shop").alias("repo"), F.col("o_orderkey").alias("id"), _id("c", "o_custkey").alias("file"), day("o_orderdate").alias("line"))
-    items = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.lit("shop").alias("repo"), F.col("o_orderkey").alias("id"), text_id("c", "o_custkey").alias("file"), day("o_orderdate").alias("line"))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     hunks = items.select(
-        F.lit("shop").alias("repo"), _id("c", "o_custkey").alias("file"), day("l_shipdate").alias("start"),
-        (day("l_shipdate") + F.col("l_quantity").cast("int") - 1).alias("end"), (F.col("l_returnflag") == "R").alias("is_new"),
+        F.lit("shop").alias("repo"), text_id("c", "o_custkey").alias("file"), day("l_shipdate").alias("start"),
+        (day("l_shipdate") + F.col("l_quantity").cast("int") - 1).alias("end"), (F.col("l_returnflag") == "R").alias("is_new"), (F.col("l_linestatus") == "F").alias("staged"),
     )
+    return orders, hunks
+
+
+def change_status(spark, sf_dir):
+    orders, hunks = change_tables(spark, sf_dir)
     return changes.hunk_status(changes.node_ranges(orders), hunks).drop("repo")
 
 
 def part_timeline(spark, sf_dir):
-    orders, items, parts = (_t(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
+    orders, items, parts = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
     first = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.min("o_orderdate").alias("ts"))
     rows = parts.join(first, F.col("p_partkey") == F.col("l_partkey"), "left")
     return changes.timeline_order(rows.select(F.lit("shop").alias("repo"), F.col("p_partkey").alias("id"), "ts")).drop("repo")
 
 
-QUERIES = {f.__name__: f for f in (graph_importance, graph_degrees, graph_in_degrees, graph_depth, graph_components, graph_quotient, graph_languages, folder_counts, change_status, part_timeline)}
-
-_TRADE = """WITH RECURSIVE nodes AS (
-  SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS file, c_mktsegment AS lang FROM customer UNION ALL
-  SELECT 's' || s_suppkey, 'n' || s_nationkey, NULL FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, NULL FROM nation
-  UNION ALL SELECT 'r' || r_regionkey, NULL, NULL FROM region),
-calls AS (SELECT DISTINCT 'c' || o_custkey AS source, 's' || l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-walk AS (SELECT 'c' || c_custkey AS id, 0 AS depth FROM customer WHERE c_mktsegment = 'BUILDING'
-  UNION SELECT target, depth + 1 FROM walk JOIN calls ON source = id),
-reached AS (SELECT id, MIN(depth) AS depth FROM walk GROUP BY id),
-top AS (SELECT greatest(1, MAX(depth)) AS m FROM reached),
-depths AS (SELECT id, coalesce(depth, m + 1)::INTEGER AS depth FROM nodes LEFT JOIN reached USING (id), top),
-indeg AS (SELECT n.id, COUNT(target) AS in_degree FROM nodes n LEFT JOIN calls ON target = n.id GROUP BY n.id)
-"""
-
-ORACLE_SQL = {
-    "graph_degrees": _TRADE + "SELECT n.id, COUNT(e.id) AS degree FROM nodes n LEFT JOIN (SELECT source AS id FROM calls UNION ALL SELECT target FROM calls) e ON e.id = n.id GROUP BY n.id",
-    "graph_in_degrees": _TRADE + "SELECT * FROM indeg",
-    "graph_depth": _TRADE + "SELECT * FROM depths",
-    "graph_importance": _TRADE + """SELECT id, round(0.4::DOUBLE * (1 - least(depth, m + 1) / (m + 1)::DOUBLE) + 0.6::DOUBLE * (in_degree / greatest(1, MAX(in_degree) OVER ())::DOUBLE), 9) AS score
-FROM depths JOIN indeg USING (id), top""",
-    "graph_components": _TRADE + """SELECT id, coalesce(MIN(other), id) AS cluster_id FROM nodes LEFT JOIN (
-  SELECT 'r' || n_regionkey AS r, x AS member FROM nation, LATERAL (SELECT 'n' || n_nationkey AS x UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey = n_nationkey UNION ALL SELECT 'r' || n_regionkey)) a ON a.member = id
-LEFT JOIN (SELECT 'r' || n_regionkey AS r2, 'n' || n_nationkey AS other FROM nation) b ON r2 = r GROUP BY id""",
-    "graph_quotient": _TRADE + """, shown AS (SELECT id, CASE WHEN file = 'n3' THEN id ELSE coalesce(file, id) END AS r FROM nodes)
-SELECT a.r AS source, b.r AS target, COUNT(*) AS calls FROM calls JOIN shown a ON a.id = source JOIN shown b ON b.id = target WHERE a.r <> b.r GROUP BY a.r, b.r""",
-    "graph_languages": _TRADE + """, counts AS (SELECT coalesce(file, id) AS cluster_id, coalesce(lang, 'unknown') AS lang, COUNT(*) AS n FROM nodes GROUP BY 1, 2),
-shares AS (SELECT cluster_id, lang, n, SUM(n) OVER (PARTITION BY cluster_id) AS total FROM counts)
-SELECT cluster_id, lang, n, round(n / total::DOUBLE, 9) AS fraction FROM shares WHERE total > 1""",
-    "folder_counts": r"""WITH f AS (SELECT DISTINCT regexp_extract(url, '^[^?#]*') AS file FROM pages),
-p AS (SELECT file, list_filter(regexp_split_to_array(file, '[/\\]+'), lambda s: s <> '') AS p FROM f),
-d AS (SELECT file, p, UNNEST(range(1, len(p))) AS depth FROM p)
-SELECT array_to_string(p[1:depth], '/') AS folder, depth::INTEGER AS depth, COUNT(*) AS n_files FROM d GROUP BY 1, 2""",
-    "change_status": """WITH r AS (SELECT o_orderkey AS id, o_custkey AS f, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS s,
-  LEAD(datediff('day', DATE '1995-01-01', o_orderdate::DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS e FROM orders),
-h AS (SELECT o_custkey AS f, datediff('day', DATE '1995-01-01', l_shipdate::DATE) AS hs, datediff('day', DATE '1995-01-01', l_shipdate::DATE) + l_quantity::INTEGER - 1 AS he, l_returnflag = 'R' AS nw
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT id, CASE WHEN COUNT(hs) = 0 THEN NULL WHEN bool_or(nw AND hs <= s AND he >= s) THEN 'added' ELSE 'modified' END AS status
-FROM r LEFT JOIN h ON r.f = h.f AND hs <= coalesce(e, 2147483647) AND he >= s GROUP BY id""",
-    "part_timeline": """SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY ts ASC NULLS LAST, p_partkey) - 1 AS idx FROM part LEFT JOIN
-  (SELECT l_partkey, MIN(o_orderdate) AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey) ON l_partkey = p_partkey""",
-}
+QUERIES = {f.__name__: f for f in (graph_importance, graph_degrees, graph_in_degrees, graph_depth, graph_quotient, graph_languages, folder_counts, change_status, part_timeline)}

@@ -1,27 +1,93 @@
-"""Sources: code corpora as tables of files."""
+"""Sources and sinks: code corpora, fact tables, graph documents and saved layouts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that a scan leaves out, and extensions by language.
-SKIPPED = ("node_modules", "out", "dist", "__pycache__")
+#: Folders that a scan leaves out, by language, and extensions by language.
+SKIPPED = ("node_modules", "out", "dist")
+SKIPPED_PYTHON = ("__pycache__",)
 EXTENSIONS = (("python", r"\.py$"), ("typescript", r"(?<!\.d)\.tsx?$"), ("javascript", r"\.(?:js|jsx|mjs|cjs)$"))
 
+GRAPH = (
+    "nodes array<struct<id:string,name:string,file:string,line:int,language:string,isLibrary:boolean,libraryName:string,className:string,classExtends:string,classImplements:array<string>>>,"
+    "edges array<struct<source:string,target:string,isLibraryEdge:boolean>>, files array<string>"
+)
+LAYOUT = "version int, name string, description string, savedAt string, settings map<string,string>, nodePositions map<string,struct<x:double,y:double>>, _corrupt_record string"
+
 
 def keep_sources(paths: DataFrame, path: str = "path") -> DataFrame:
     """The rows of a table of relative paths that a scan takes, with ``language``."""
     language = F.coalesce(*(F.when(F.col(path).rlike(p), name) for name, p in EXTENSIONS))
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    out = F.exists(folders, lambda s: s.startswith(".") | s.isin(*SKIPPED))
+    out = F.exists(folders, lambda s: s.startswith(".") | s.isin(*SKIPPED) | ((language == "python") & s.isin(*SKIPPED_PYTHON)))
     return paths.withColumn("language", language).where(F.col("language").isNotNull() & ~out)
 
 
 def scan_corpus(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """(repo, path, language, text) of the source files below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
-    at = F.instr("_metadata.file_path", base) + len(base) + 1
-    rows = files.select(F.lit(repo).alias("repo"), F.expr("substring(_metadata.file_path, 1)").alias("full"), at.alias("at"), F.col("value").alias("text"))
-    return keep_sources(rows.select("repo", F.expr("substring(full, at)").alias("path"), "text"))
+    """(repo, path, language, text) of the source files below a folder, empty ones included.
+
+    Only the files that the path rules take have their content read: paths and sizes come first, without it. Bytes that are no UTF-8 are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    rows = files.where(F.col("path").startswith(f"{base}/")).select(F.lit(repo).alias("repo"), F.expr(f"substring(path, {len(base) + 2})").alias("path"), "content")
+    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
+    return keep_sources(rows).select("repo", "path", "language", text.alias("text"))
+
+
+def read_graph_json(spark: SparkSession, path: str, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and files of graph documents; a missing list is empty, and a document that does not parse is an empty graph."""
+    docs = spark.read.schema(GRAPH).option("multiLine", True).json(path).withColumn("repo", F.lit(repo))
+    nodes = docs.select("repo", F.explode("nodes").alias("n")).select(
+        "repo", "n.id", "n.name", F.nullif("n.file", F.lit("")).alias("file"), "n.line", "n.language", F.coalesce("n.isLibrary", F.lit(False)).alias("is_library"), F.col("n.libraryName").alias("library_name"),
+        F.col("n.className").alias("class_name"), F.col("n.classExtends").alias("class_extends"), F.col("n.classImplements").alias("class_implements"),
+    )
+    edges = docs.select("repo", F.explode("edges").alias("e")).select("repo", "e.source", "e.target", F.coalesce("e.isLibraryEdge", F.lit(False)).alias("is_library"))
+    return nodes, edges, docs.select("repo", F.explode("files").alias("file"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables, by repository."""
+    nodes.write.mode("overwrite").partitionBy("repo").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("repo").parquet(f"{path}/edges")
+
+
+def parse_layouts(texts: DataFrame) -> DataFrame:
+    """(file, name, description, saved_at, node_positions) from (file, text); broken documents go, a missing name is the file's."""
+    rows = texts.select("file", F.from_json("text", LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).where("d is not null and d._corrupt_record is null")
+    name = F.coalesce("d.name", F.regexp_replace("file", r"\.json$", ""))
+    return rows.select("file", name.alias("name"), F.coalesce("d.description", F.lit("")).alias("description"), F.coalesce("d.savedAt", F.lit("")).alias("saved_at"), F.col("d.nodePositions").alias("node_positions"))
+
+
+def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """The saved layouts of a folder, by file name."""
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return parse_layouts(texts).orderBy("file")
+
+
+def layout_file(name):
+    """The file name of a layout: letters, digits, ``_``, ``-`` and blanks stay."""
+    return F.concat(F.regexp_replace(name, r"[^a-zA-Z0-9_\- ]", "_"), F.lit(".json"))
+
+
+def layout_documents(layouts: DataFrame, positions: DataFrame) -> DataFrame:
+    """(file, text) of layouts (name, saved_at) and their positions (name, id, x, y)."""
+    places = positions.where("x is not null and y is not null").groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("x", "y"))))).alias("nodePositions"))
+    rows = layouts.join(places, "name", "left")
+    doc = F.to_json(F.struct(F.lit(1).alias("version"), "name", F.lit("").alias("description"), F.col("saved_at").alias("savedAt"), F.coalesce("nodePositions", F.create_map().cast("map<string,struct<x:double,y:double>>")).alias("nodePositions")))
+    return rows.select(layout_file(F.col("name")).alias("file"), doc.alias("text"))
+
+
+def write_layouts(layouts: DataFrame, positions: DataFrame, folder: str) -> None:
+    """Layout documents as text files, one folder a layout; a layout of the same file name is replaced."""
+    rows = layout_documents(layouts, positions)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(folder)
+
+
+def search_layouts(layouts: DataFrame, query: str) -> DataFrame:
+    """Layouts whose name or description holds the query, in any case, by file name."""
+    hit = lambda c: F.lower(c).contains(query.lower())
+    return layouts.where(hit("name") | hit("description")).orderBy("file")

@@ -1,30 +1,32 @@
-"""Graph queries against their SQL on the smallest given tables."""
+"""Every registered query of the graph side against its SQL on the smallest given tables."""
 
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from sourceloom.plans import queries
-from sourceloom.sources import keep_sources
+from sourceloom.plans import code_queries, detail_queries, detail_sql, queries, queries_sql
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = {**queries.QUERIES, **detail_queries.QUERIES, **code_queries.QUERIES}
+SQL = {**queries_sql.ORACLE_SQL, **detail_sql.ORACLE_SQL, **code_queries.ORACLE_SQL}
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
-    want = con.execute(queries.ORACLE_SQL[name]).fetchdf()
-    got = queries.QUERIES[name](spark, DATA)
+    want = con.execute(SQL[name]).fetchdf()
+    got = QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = lambda df: sorted(tuple(map(str, r)) for r in df[columns].itertuples(index=False))
+    plain = lambda v: "-" if pd.isna(v) else str(v)
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False))
     assert rows(got.toPandas()) == rows(want)
-
-
-def test_keep_sources(spark):
-    paths = ["a/b.py", "out/c.py", "a/outer/c.ts", "a/.x/d.js", "d.d.ts", "e.tsx", "f.txt", "node_modules/g.js", ".h.py"]
-    got = keep_sources(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
-    assert {r.path: r.language for r in got} == {"a/b.py": "python", "a/outer/c.ts": "typescript", "e.tsx": "typescript", ".h.py": "python"}
+    assert len(want)
