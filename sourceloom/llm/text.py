@@ -70,27 +70,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E6C63D0676A9A99  # odd, so it has an inverse modulo 2**64
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(size: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < size:
-        room = max(size, 2 * BLOCK_BYTES)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(room, base, np.uint64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers[:] = made
-    return _powers
+_LANE = np.array([0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) if k else 0 for k in range(9)], np.uint64)  # the low k bytes
+LONG_WORD = 64  # bytes; longer words take a cryptographic hash
 
 
 def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of a block's words (``fold``: A-Z in lower case; ``between``: the bytes that part words;
     ``longest``: only that many bytes of each word count), and for each row the place of its first word (one more at the end).
 
-    The hash of a word is a polynomial modulo 2**64, taken as a difference of prefix sums, then finalised.
+    A word is read eight bytes at a time, and a bijection mixes each piece in, so no two words of up to eight bytes and one length share a hash.
+    A word of more than ``LONG_WORD`` bytes is hashed by BLAKE2b.
     """
     n = len(block.data)
     if not n:
@@ -105,11 +94,20 @@ def word_hashes(block: Block, fold: bool = True, between: np.ndarray = SPACE, lo
     ends[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     end = end if longest is None else np.minimum(end, start + longest)
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(((LOWER[block.data] if fold else block.data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, block.offsets)
+    data = np.zeros(n + 8, np.uint8)
+    data[:n] = LOWER[block.data] if fold else block.data
+    pieces = np.lib.stride_tricks.sliding_window_view(data, 8)
+    size = end - start
+    hashes = mix64(pieces[start].view(np.uint64).ravel() & _LANE[np.minimum(size, 8)])
+    more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        left = size[more] - done
+        hashes[more] = mix64(mix64(hashes[more] + np.uint64(done)) + (pieces[start[more] + done].view(np.uint64).ravel() & _LANE[np.minimum(left, 8)]))
+        done += 8
+        more = more[left > 8]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return mix64(hashes + size.astype(np.uint64)), np.searchsorted(start, block.offsets)
 
 
 def words_block(texts: list[str]) -> Block:
