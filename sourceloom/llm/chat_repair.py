@@ -3,8 +3,8 @@
 A legal conversation is an optional system turn and then user and assistant turns in alternation, the user first. Each turn may keep its role, be relabelled,
 be merged into the turn before it, or get an empty turn inserted before it; the cheapest sequence is chosen, ties by the
 order of ``ROLES``. Costs combine as (min, +) matrices, so a conversation of any length may lie across many partitions: rows are range
-partitioned by conversation and turn, each partition reports one matrix for its first and its last conversation, the
-driver chains those (two rows a partition), and each partition then traces its own rows.
+partitioned by conversation and turn and keep the number of their range in a column. Each range reports one matrix for its first and its last conversation, the
+driver chains those (two rows a range), and each range's rows are then traced. What the caller does with the result, such as ``coalesce``, changes no row.
 
 Defined cases: null or unknown roles cost a relabel whatever they become; null texts render as empty; a null conversation
 id is one conversation; ties in the turn are ordered by role, then text; repeated rows are turns of their own; an
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from sourceloom.plans.durable import cut
 ROLES = ("system", "user", "assistant")
 RELABEL, MERGE, INSERT = 2.0, 1.0, 3.0
 _START = 3
+_RANGE = "_range"
 _LEGAL = {(3, 0), (3, 1), (0, 1), (1, 2), (2, 1)}
 
 
@@ -78,42 +78,40 @@ def trace(roles: list[int], begin: int, end: int | None) -> tuple[list[int], lis
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
-    """The partition's conversations, in order; one conversation's share of a partition is held at a time."""
+    """Each range's conversations, in order, as (range, conversation) and rows; one conversation's share of a range is held at a time."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[0] != key:
+            if rows and (row[-1], row[0]) != key:
                 yield key, rows
                 rows = []
-            key = row[0]
+            key = (row[-1], row[0])
             rows.append(row)
     if rows:
         yield key, rows
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = last = None
+    ends: list[tuple[int, int, tuple, list]] = []
     for key, rows in _runs(batches):
-        last = (key, rows)
-        first = first or last
-    if first is None:
-        return
-    ends = [first] if last is first else [first, last]
-    place = TaskContext.get().partitionId()
-    cols = [
-        pa.array([place] * len(ends), pa.int32()), pa.array(list(range(len(ends))), pa.int32()), pa.array([None if k is None else str(k) for k, _ in ends], pa.string()),
-        pa.array([len(r) for _, r in ends], pa.int64()), pa.array([matrix([_role(x[2]) for x in r]).ravel().tolist() for _, r in ends], pa.list_(pa.float64())),
-    ]
-    yield pa.RecordBatch.from_arrays(cols, names=["place", "part", "key", "n", "m"])
+        if ends and ends[-1][0] == key[0] and ends[-1][1] == 1:
+            ends.pop()
+        ends.append((key[0], 1 if ends and ends[-1][0] == key[0] else 0, key, rows))
+    if ends:
+        cols = [
+            pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int32()), pa.array([None if e[2][1] is None else str(e[2][1]) for e in ends], pa.string()),
+            pa.array([len(e[3]) for e in ends], pa.int64()), pa.array([matrix([_role(x[2]) for x in e[3]]).ravel().tolist() for e in ends], pa.list_(pa.float64())),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, names=["place", "part", "key", "n", "m"])
 
 
 def _borders(parts: list) -> dict[tuple[int, int], tuple[int, int | None, int, bool]]:
-    """(place, part) to (state before, state after, turns before, whether the conversation ends there)."""
+    """(range, part) to (state before, state after, turns before, whether the conversation ends there)."""
     out, k = {}, 0
     parts = sorted(parts, key=lambda p: (p.place, p.part))
     while k < len(parts):
         group = [parts[k]]
-        # A conversation goes on only from a partition's last run to the next one's first.
+        # A conversation goes on only from a range's last run to the next one's first.
         while k + len(group) < len(parts) and parts[k + len(group)].key == group[0].key and parts[k + len(group)].part == 0:
             group.append(parts[k + len(group)])
         mats = [np.array(p.m).reshape(4, 4) for p in group]
@@ -140,8 +138,9 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     """
     rows = turns.select(conv_id, turn, role, text)
     order = [F.col(conv_id), F.col(turn), F.col(role), F.md5(F.coalesce(F.col(text), F.lit("")))]
-    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    # A conversation that lies across partitions shows as equal keys at their borders.
+    # The number of the range is stored; where a row lies later does not matter.
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias(_RANGE)))
+    # A conversation that lies across ranges shows as equal keys at their borders.
     borders = _borders(dealt.mapInArrow(_summary, "place int, part int, key string, n long, m array<double>").collect())
     kinds = [dealt.schema[c].dataType.simpleString() for c in (conv_id, turn)]
     names = [conv_id, "position", turn, "role", "new_role", "action", "inserted", "cost", "rendered"]
@@ -163,15 +162,14 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         return out
 
     def trace_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, whole = TaskContext.get().partitionId(), (_START, None, 0, True)
         found = _runs(batches)
-        held = next(found, None)
-        number, out = 0, []
+        held, before, out = next(found, None), None, []
         while held is not None:
             following = next(found, None)
-            part = 0 if number == 0 else 1 if following is None else None
-            out += one(*held, shared.value[place, part] if part is not None else whole)
-            number, held = number + 1, following
+            place = held[0][0]
+            part = 0 if place != before else 1 if following is None or following[0][0] != place else None
+            out += one(*held, (_START, None, 0, True) if part is None else shared.value[place, part])
+            before, held = place, following
             if len(out) >= 2000 or held is None:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                 out = []
