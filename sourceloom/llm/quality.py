@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,14 @@ class Document:
     def n_words(self) -> int:
         return len(self.hashes)
 
+    @cached_property
+    def repeats(self) -> int:
+        return repeated_words(self.hashes)
+
+    @cached_property
+    def same_lines(self) -> int:
+        return repeated_lines(self.text)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,11 +96,11 @@ class Rule:
 #: The first two are the base rules of the query's contract.
 RULES = (
     Rule("few_words", lambda d: d.n_words < 50),
-    Rule("repeated_words", lambda d: 100 * repeated_words(d.hashes) > 50 * d.n_words),
+    Rule("repeated_words", lambda d: 100 * d.repeats > 50 * d.n_words),
     Rule("symbols", lambda d: 10 * _without(d.text, SYMBOLS) > d.n_words),
     Rule("shouting", lambda d: 10 * _without(d.text, UPPER) > 3 * _without(d.text, LETTERS)),
     Rule("exclamations", lambda d: 10 * d.text.count(b"!!") > d.n_words),
-    Rule("repeated_lines", lambda d: 2 * repeated_lines(d.text) > d.text.count(b"\n") + 1),
+    Rule("repeated_lines", lambda d: 2 * d.same_lines > d.text.count(b"\n") + 1),
     Rule("word_length", lambda d: not 2 * d.n_words <= word_chars(d.text) <= 20 * d.n_words),
 )
 
@@ -151,7 +160,7 @@ def judge(docs: DataFrame, order: tuple[Rule, ...], id_col: str = "doc_id", text
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             found = list(_documents(block))
-            repeats = [repeated_words(d.hashes) for d in found]
+            repeats = [d.repeats for d in found]
             verdicts = [first_rejection(d, order) for d in found]
             words = [d.n_words for d in found]
             yield pa.RecordBatch.from_arrays(
@@ -160,7 +169,7 @@ def judge(docs: DataFrame, order: tuple[Rule, ...], id_col: str = "doc_id", text
                     pa.array(words, pa.int64()),
                     pa.array(_prefix(_STARTS_CHAR[block.data], block.offsets)),
                     pa.array(_prefix(_IS_SYMBOL[block.data], block.offsets)),
-                    pa.array([repeated_lines(d.text) for d in found], pa.int64()),
+                    pa.array([d.same_lines for d in found], pa.int64()),
                     pa.array(repeats, pa.int64()),
                     pa.array([n < 50 or 100 * r > 50 * n for n, r in zip(words, repeats)]),
                     pa.array([v is None for v in verdicts]),

@@ -47,7 +47,7 @@ def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.source_rates(docs))
 
 
@@ -91,10 +91,9 @@ rates AS (SELECT source, (SELECT COUNT(*) FROM documents)::DOUBLE / ((SELECT COU
 steps AS (SELECT source, rate, 0 AS k, -rate AS lg, exp(-rate) AS cdf FROM rates
   UNION ALL SELECT source, rate, k + 1, lg + ln(rate) - ln((k + 1)::DOUBLE), cdf + exp(lg + ln(rate) - ln((k + 1)::DOUBLE))
   FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
-draws AS (SELECT doc_id, source, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-counts AS (SELECT d.doc_id, d.source, COUNT(s.k) AS n FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.cdf <= d.u
-  GROUP BY d.doc_id, d.source)
-SELECT doc_id, source, UNNEST(range(n))::INTEGER AS copy FROM counts""",
+draws AS (SELECT *, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+counts AS (SELECT d.doc_id, COUNT(s.k) AS n FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.cdf <= d.u GROUP BY d.doc_id)
+SELECT doc_id, text, lang, source, n_chars, UNNEST(range(n))::INTEGER AS copy FROM counts JOIN documents USING (doc_id)""",
     "op8_quality_rules": "WITH " + _WORDS + r""",
 windows AS (SELECT doc_id, i, w || ' ' || LEAD(w) OVER p || ' ' || LEAD(w, 2) OVER p AS g FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM windows WHERE g IS NOT NULL) WHERE n > 1),
@@ -106,14 +105,13 @@ counts AS (SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(coales
   length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
   len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS upper_n, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS letters,
-  len(regexp_extract_all(coalesce(text, ''), '!!')) AS bangs, len(regexp_extract_all(coalesce(text, ''), chr(10))) + 1 AS all_lines,
-  strlen(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), ' ')) AS dense FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '!!')) AS bangs, len(regexp_extract_all(coalesce(text, ''), chr(10))) + 1 AS all_lines FROM documents),
 base AS (SELECT c.*, coalesce(n_dup_lines, 0) AS dups, coalesce(n_repeat_words, 0) AS reps,
   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS failed
   FROM counts c LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines,
   reps::BIGINT AS n_repeat_words, failed AS base_failed,
   NOT (failed OR 10 * n_symbols > n_words OR 10 * upper_n > 3 * letters OR 10 * bangs > n_words OR 2 * dups > all_lines
-       OR NOT (2 * n_words <= dense AND dense <= 20 * n_words)) AS kept
+       OR NOT (2 * n_words <= word_chars AND word_chars <= 20 * n_words)) AS kept
 FROM base""",
 }
