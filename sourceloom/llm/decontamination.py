@@ -1,18 +1,20 @@
-"""Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max bounds.
+"""Benchmark decontamination: a BM25 inverted index of the test items, searched by block-max WAND.
 
-The items are sorted by length and cut into blocks; for each term the index holds its impact on every item and, for each
-block, the largest of them. Every passage of every document (overlapping windows that cover the whole text) is a query. A passage is
-first bounded block by block with the block maxima, and only blocks whose bound reaches the threshold are scored item by item. Impacts are
-divided by the item's own score, so one threshold serves all items. What scores above it is verified by alignment: in one place the
+The items are sorted by length and cut into blocks; for each term the index holds its impact on every item, its largest impact and, for each
+block, the largest within it. Every passage of every document (overlapping windows that cover the whole text) is a query. Impacts are
+divided by the item's own score, so one threshold serves all items. The block maxima first bound many passages at once, a few megabytes at a time; most reach the threshold in no block and
+end there. For the others WAND moves sorted cursors over the postings: the pivot is the first item that the terms before it can lift to the threshold; where the pivot's block cannot reach it,
+all cursors before it skip the block, and only pivots that all cursors have reached are scored. What scores above it is verified by alignment at its passage: in one place the
 document must hold, in order, enough words of the item's question (its first three quarters) and of its answer (the rest, three
 words at least), each at most ``SLIP`` words off its place, so no single edit fails a part. An item of fewer than ``RUN`` words must be whole.
+Items of up to 64, 256 and 1,024 words have an index each, with windows of twice its longest item, so a long item does not widen the passages of short ones.
 
 Items are dealt to shards of about ``SHARD_BYTES`` of text and ``SHARD`` items by a hash. Spark tasks build the indexes; the driver passes one
 pickled index at a time to a broadcast, and each shard has its own pass over the documents. An item of more than ``ENTRY`` words is
 indexed as several entries that overlap by half, and a document that holds one of them holds the item.
 
 Defined cases: null, empty and blank texts match nothing; items without words are left out; repeated items are found
-under each id; an empty table on either side gives an empty result; long texts are read whole; clashing column names do not matter,
+under each id, and of passages that match equally well the first counts; an empty table on either side gives an empty result; long texts are read whole; clashing column names do not matter,
 because only id and text are read.
 """
 
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sourceloom.llm.text import Block, blocks, letters_only, word_hashes, words_block
 
@@ -39,6 +42,8 @@ SLIP = 3
 OVERLAP = 0.6
 SHARD_BYTES = 1 << 24
 ENTRY = 1024  # words
+CLASSES = (64, 256, ENTRY)  # words
+BOUNDS = 1 << 20  # passages x blocks that are bounded at once
 _BETWEEN = letters_only()
 
 
@@ -51,19 +56,32 @@ def _chain(j: np.ndarray) -> int:
     return len(ends)
 
 
+def entries(ids: list, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    """The word hashes of the items' entries and the item of each."""
+    hashes, first = word_hashes(words_block(texts or [""]), between=_BETWEEN)
+    own, source = [], []
+    for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        # The last entry ends with the item, so the entries cover it.
+        starts = [0] if b - a <= ENTRY else [*range(0, b - a - ENTRY, ENTRY // 2), b - a - ENTRY]
+        own += [hashes[a + x : min(b, a + x + ENTRY)] for x in starts]
+        source += [k] * len(starts)
+    return own, source
+
+
+def indexes(ids: list, texts: list[str]) -> list[ItemIndex]:
+    """An index for each class of lengths in use."""
+    own, source = entries(ids, texts)
+    cuts = (0, *CLASSES)
+    parts = [[k for k in range(len(own)) if a < len(own[k]) <= b] for a, b in zip(cuts, cuts[1:])]
+    return [ItemIndex([ids[source[k]] for k in p], [own[k] for k in p], [source[k] for k in p]) for p in parts if p]
+
+
 class ItemIndex:
     """Impacts of terms on items and on blocks of items, and the words that verification asks for."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        hashes, first = word_hashes(words_block(texts or [""]), between=_BETWEEN)
-        own, source = [], []
-        for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
-            # The last entry ends with the item, so the entries cover it.
-            starts = [0] if b - a <= ENTRY else [*range(0, b - a - ENTRY, ENTRY // 2), b - a - ENTRY]
-            own += [hashes[a + x : min(b, a + x + ENTRY)] for x in starts]
-            source += [k] * len(starts)
+    def __init__(self, ids: list, own: list[np.ndarray], source: list[int]):
         order = sorted((k for k in range(len(own)) if len(own[k])), key=lambda k: (len(own[k]), k))
-        self.ids, self.words, self.source = [ids[source[k]] for k in order], [own[k] for k in order], [source[k] for k in order]
+        self.ids, self.words, self.source = [ids[k] for k in order], [own[k] for k in order], [source[k] for k in order]
         n = len(order)
         self.n_blocks = -(-n // BLOCK_ITEMS)
         sizes = np.array([len(w) for w in self.words], float)
@@ -90,36 +108,81 @@ class ItemIndex:
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             self.block, self.block_max = (key[cut] % self.n_blocks).astype(np.int32), np.maximum.reduceat(self.impact, cut)
             self.block_start = np.searchsorted(key[cut] // self.n_blocks, np.arange(len(self.terms) + 1))
+            self.most = np.maximum.reduceat(self.impact, self.start[:-1])
 
-    def candidates(self, found: np.ndarray, threshold: float) -> np.ndarray:
-        """Items with a passage at or above the threshold; ``found`` holds term numbers of the text's words, -1 for others."""
+    def candidates(self, found: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(passage, item) at or above the threshold; ``found`` holds term numbers of the text's words, -1 for others. Passage q begins at word q * window / 2."""
         half = self.window // 2
-        known = np.flatnonzero(found >= 0)
-        if not len(known):
-            return np.zeros(0, np.int64)
         last = max(0, -(-len(found) // half) - 2)
-        passage = known // half
-        key = np.concatenate([np.minimum(passage, last), np.clip(passage - 1, 0, last)]) * len(self.terms) + np.tile(found[known], 2)
-        key = np.unique(key)
-        query, term = np.divmod(key, len(self.terms))
-        rows, at = _expand(self.block_start, term)
-        bound = np.bincount(query[rows] * self.n_blocks + self.block[at], self.block_max[at], (last + 1) * self.n_blocks)
-        alive = bound >= threshold - 1e-5
-        if not alive.any():
-            return np.zeros(0, np.int64)
-        busy = alive.reshape(last + 1, self.n_blocks).any(1)
-        keep = busy[query]
-        query, term = query[keep], term[keep]
-        rows, at = _expand(self.start, term)
-        live = alive[query[rows] * self.n_blocks + self.item[at] // BLOCK_ITEMS]
-        rows, at = rows[live], at[live]
-        pair, where = np.unique(query[rows] * len(self.ids) + self.item[at], return_inverse=True)
-        return np.unique(pair[np.bincount(where, self.impact[at]) >= threshold] % len(self.ids))
-
-    def verified(self, hashes: np.ndarray, items: np.ndarray, overlap: float) -> Iterator[tuple[int, float, float]]:
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        for k in items.tolist():
+        step = max(1, BOUNDS // self.n_blocks)
+        for low in range(0, last + 1, step):
+            high = min(low + step, last + 1)
+            begin = low * half
+            known = np.flatnonzero(found[begin : len(found) if high > last else (high + 1) * half] >= 0) + begin
+            if not len(known):
+                continue
+            part = known // half
+            query = np.concatenate([np.minimum(part, last), np.clip(part - 1, 0, last)])
+            inside = (query >= low) & (query < high)
+            key = np.unique((query[inside] - low) * len(self.terms) + np.tile(found[known], 2)[inside])
+            query, term = np.divmod(key, len(self.terms))
+            rows, at = _expand(self.block_start, term)
+            bound = np.bincount(query[rows] * self.n_blocks + self.block[at], self.block_max[at], (high - low) * self.n_blocks)
+            busy = np.flatnonzero((bound >= threshold - 1e-5).reshape(high - low, self.n_blocks).any(1))
+            for q, a, b in zip(busy.tolist(), np.searchsorted(query, busy).tolist(), np.searchsorted(query, busy, "right").tolist()):
+                for item in self.wand(term[a:b], threshold):
+                    yield low + q, item
+
+    def wand(self, terms: np.ndarray, threshold: float) -> list[int]:
+        """The items that a query of distinct terms scores at or above the threshold, by block-max WAND."""
+        least = threshold - 1e-5  # bounds are sums in another order than scores
+        lists = []
+        for t in terms.tolist():
+            a, b, c, d = self.start[t], self.start[t + 1], self.block_start[t], self.block_start[t + 1]
+            lists.append([int(self.item[a]), 0, self.item[a:b].tolist(), self.impact[a:b].tolist(), float(self.most[t]), dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist()))])
+        out = []
+        while lists:
+            lists.sort(key=lambda x: x[0])
+            total, k = 0.0, -1
+            for k, x in enumerate(lists):
+                total += x[4]
+                if total >= least:
+                    break
+            else:
+                break
+            pivot = lists[k][0]
+            while k + 1 < len(lists) and lists[k + 1][0] == pivot:
+                k += 1
+            block = pivot // BLOCK_ITEMS
+            if sum(x[5].get(block, 0.0) for x in lists[: k + 1]) < least:
+                beyond = (block + 1) * BLOCK_ITEMS
+                target = min(beyond, lists[k + 1][0]) if k + 1 < len(lists) else beyond
+            elif lists[0][0] == pivot:
+                if sum(x[3][x[1]] for x in lists[: k + 1]) >= threshold:
+                    out.append(pivot)
+                target = pivot + 1
+            else:
+                target = pivot
+            done = False
+            for x in lists[: k + 1]:
+                if x[0] < target:
+                    x[1] = bisect_left(x[2], target, x[1])
+                    if x[1] < len(x[2]):
+                        x[0] = x[2][x[1]]
+                    else:
+                        x[0], done = -1, True
+            if done:
+                lists = [x for x in lists if x[0] >= 0]
+        return out
+
+    def verified(self, hashes: np.ndarray, hits: Iterator[tuple[int, int]], overlap: float) -> Iterator[tuple[int, float, float]]:
+        """(item, question share, answer share) of hits that alignment finds in their passage and half a window around it."""
+        half, place, order, ordered = self.window // 2, None, None, None
+        for q, k in hits:
+            if q != place:
+                near = hashes[max(0, q - 1) * half : (q + 4) * half]
+                place, order = q, np.argsort(near, kind="stable")
+                ordered = near[order]
             question, answer = max(shares for shares in self._shares(k, order, ordered, overlap))
             if question:
                 yield k, question, answer
@@ -162,21 +225,20 @@ def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[term], n)
 
 
-def search(block: Block, index: ItemIndex, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float]]:
-    """(row, entry, question share, answer share) for a block; of an item's entries in a row the one with the largest shares."""
-    if not index.ids:
-        return
+def search(block: Block, shard: list[ItemIndex], threshold: float, overlap: float) -> Iterator[tuple[int, object, float, float]]:
+    """(row, item id, question share, answer share) for a block; of an item's entries and passages in a row the one with the largest shares."""
     hashes, first = word_hashes(block, between=_BETWEEN)
-    at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-    found = np.where(index.terms[at] == hashes, at, -1)
-    for row, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
-        items = index.candidates(found[a:b], threshold)
-        if len(items):
-            best: dict[int, tuple[float, float, int]] = {}
-            for k, q, r in index.verified(hashes[a:b], items, overlap):
-                best[index.source[k]] = max(best.get(index.source[k], (0.0, 0.0, k)), (q, r, k))
-            for q, r, k in best.values():
-                yield row, k, q, r
+    best: dict[tuple[int, int], tuple[float, float, object]] = {}
+    for index in shard:
+        at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
+        found = np.where(index.terms[at] == hashes, at, -1)
+        for row, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            for k, q, r in index.verified(hashes[a:b], index.candidates(found[a:b], threshold), overlap):
+                key = row, index.source[k]
+                if key not in best or best[key][:2] < (q, r):
+                    best[key] = q, r, index.ids[k]
+    for (row, _), (q, r, item) in sorted(best.items(), key=lambda x: x[0]):
+        yield row, item, q, r
 
 
 def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[bytes]:
@@ -187,7 +249,7 @@ def item_shards(items: DataFrame, item_id: str = "item_id", text: str = "text")
     def build(table: pa.Table) -> pa.Table:
         ids, texts = (table.column(name).to_pylist() for name in (item_id, text))
         by = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0, texts[k]))
-        made = pickle.dumps(ItemIndex([ids[k] for k in by], [texts[k] for k in by]), protocol=5)
+        made = pickle.dumps(indexes([ids[k] for k in by], [texts[k] for k in by]), protocol=5)
         return pa.table({"made": pa.array([made], pa.large_binary()).cast(pa.binary())})
 
     dealt = items.where(F.col(text).isNotNull()).select(item_id, text, F.pmod(F.xxhash64(item_id, text), F.lit(shards)).alias("shard"))
@@ -204,12 +266,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(shared.value)
+            shard = pickle.loads(shared.value)
             for block in blocks(batches, text):
-                rows = list(search(block, index, threshold, overlap))
+                rows = list(search(block, shard, threshold, overlap))
                 if rows:
                     row, item, q, a = zip(*rows)
-                    cols = [block.rows.column(0).take(pa.array(row)), pa.array([index.ids[k] for k in item]), pa.array(q), pa.array(a)]
+                    cols = [block.rows.column(0).take(pa.array(row)), pa.array(item, to_arrow_type(item_kind)), pa.array(q), pa.array(a)]
                     yield pa.RecordBatch.from_arrays(cols, names=[id_col, item_id, "question_overlap", "answer_overlap"])
 
         return docs.select(id_col, text).mapInArrow(scan, schema)
@@ -225,9 +287,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
         shared = docs.sparkSession.sparkContext.broadcast(made)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(shared.value)
+            shard = pickle.loads(shared.value)
             for block in blocks(batches, text):
-                bad = {row for row, *_ in search(block, index, threshold, overlap)}
+                bad = {row for row, *_ in search(block, shard, threshold, overlap)}
                 yield block.rows.filter(pa.array([k not in bad for k in range(len(block))])) if bad else block.rows
 
         out = out.mapInArrow(scan, docs.schema)
