@@ -15,8 +15,10 @@ an empty table trains on the prior alone and gives an empty result; long texts a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ LABELS = ("none", *KINDS)
 SURE = 0.9
 PRIOR_WEIGHT = 5.0
 ROUNDS = 12
+FLOOR = -4.0  # log-odds
+AGREED = 1000  # what repeated mentions have agreed before any count
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -101,7 +105,7 @@ class Tokens:
 
     def __init__(self, block: Block):
         n, data = len(block.data), block.data
-        self.rows, self.starts, self.ends, self.shapes, self.labels = [], [], [], [], []
+        self.rows, self.starts, self.ends, self.shapes, self.labels, self.groups = [], [], [], [], [], []
         self.spans: dict[int, list] = {}
         self.texts: dict[int, str] = {}
         self.adjacent: list[tuple[int, int]] = []
@@ -148,19 +152,24 @@ class Tokens:
             key = key_of(token)
             if key in last_key:
                 self.skips.append((last_key[key], number))
+            self.groups.append(self.groups[last_key[key]] if key in last_key else number)
             last_key[key] = number
 
 
 def field_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(part, a, b, n): how often a shape has a label, adjacent labels follow one another, and repeated tokens agree."""
+    """(part, a, b, n): how often a shape has a label, adjacent labels follow one another, and repeated tokens that both have a label agree.
+
+    A token without label that repeats a labelled one is what the field is to decide, so it counts for neither.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for block in blocks(batches, text):
             t = Tokens(block)
-            seen.update(("shape", s, LABELS[x]) for s, x in zip(t.shapes, t.labels))
+            sure = {g for g, x in zip(t.groups, t.labels) if x}
+            seen.update(("shape", s, LABELS[x]) for s, x, g in zip(t.shapes, t.labels, t.groups) if x or g not in sure)
             seen.update(("next", LABELS[t.labels[i]], LABELS[t.labels[j]]) for i, j in t.adjacent)
-            seen.update(("same", str(t.labels[i] == t.labels[j]), "") for i, j in t.skips)
+            seen.update(("same", str(t.labels[i] == t.labels[j]), "") for i, j in t.skips if t.labels[i] and t.labels[j])
         rows = list(zip(*((*k, n) for k, n in seen.items()))) or [[], [], [], []]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["part", "a", "b", "n"])
@@ -175,7 +184,7 @@ class Field:
     def __init__(self, counts: list[tuple[str, str, str, int]]):
         number = {x: k for k, x in enumerate(LABELS)}
         shapes: dict[str, np.ndarray] = {}
-        follow, same = np.full((5, 5), 1.0), {"True": 1, "False": 1}
+        follow, same = np.full((5, 5), 1.0), {"True": AGREED, "False": 1}
         for part, a, b, n in counts:
             if part == "shape":
                 shapes.setdefault(a, np.zeros(5))[number[b]] += n
@@ -185,13 +194,16 @@ class Field:
                 same[a] += n
         prior = sum(shapes.values(), np.ones(5))
         self.prior = prior / prior.sum()
-        self.shapes = {s: np.log((c + PRIOR_WEIGHT * self.prior) / (c.sum() + PRIOR_WEIGHT)) for s, c in shapes.items()}
+        # However often a shape stands there without label, a kind keeps ``FLOOR``, so the skip edges of a sure mention decide alike in corpora of any size.
+        node = lambda c: np.maximum(c, c[0] + FLOOR)
+        self.shapes = {s: node(np.log((c + PRIOR_WEIGHT * self.prior) / (c.sum() + PRIOR_WEIGHT))) for s, c in shapes.items()}
+        self.unseen = node(np.log(self.prior))
         joint = follow / follow.sum()
         self.follow = np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -2.0, 2.0)
-        self.same = np.eye(5) * np.clip(np.log(same["True"] / same["False"]), 0.0, 3.0)
+        self.same = np.eye(5) * np.clip(np.log(same["True"] / same["False"]), 0.0, 12.0)
 
     def node(self, shape_: str) -> np.ndarray:
-        return self.shapes.get(shape_, np.log(self.prior))
+        return self.shapes.get(shape_, self.unseen)
 
     def marginals(self, t: Tokens) -> np.ndarray:
         """Loopy sum-product over all tokens of a block at once; a base label is certain."""
@@ -253,9 +265,14 @@ def all_spans(block: Block, model: Field) -> dict[int, tuple[list, list]]:
             runs[-1][2] = t.ends[k]
         else:
             runs.append([t.rows[k], t.starts[k], t.ends[k], int(best[k]) - 1])
+    reach: dict[int, tuple[list, list]] = {}
     for row, a, b, kind in runs:
         base, every = found[row]
-        if _supported(kind, t.texts[row][a:b]) and not any(s < b and a < e for s, _, e in base):
+        if row not in reach:
+            reach[row] = [s for s, *_ in base], list(accumulate((e for *_, e in base), max))
+        starts, ends = reach[row]
+        k = bisect_left(starts, b)
+        if _supported(kind, t.texts[row][a:b]) and not (k and ends[k - 1] > a):
             every.append((a, kind, b))
     return found
 
