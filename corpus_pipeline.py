@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sourceloom.llm import decontamination, jaccard_join, mixing, quality, secret_scan
-from sourceloom.plans.durable import shared_folder
+from sourceloom.plans.durable import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``; stage results lie in the shared checkpoint folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages applied to ``documents``; each stage's table lies in the shared checkpoint folder until the next one is written."""
+    work = Workspace(spark)
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+        docs = work.keep(stage(spark, docs, sf_dir))
+        work.free()
+        if k:
+            work.drop(before)
+        before = docs
     return docs

@@ -330,6 +330,7 @@ def components(sets: DataFrame, work: Workspace) -> DataFrame:
     rows = lists.join(seen(lists).where("m > 1"), "code").where(useful).select(lists.columns)
     packed = F.min_by(F.shiftleft("n", 32) + F.col("most"), "node").alias("hub_is")
     hubs = rows.groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub"), packed).where("m > 1")
+    work.free()
     postings = work.keep(rows.join(hubs, "code").select("code", "node", "n", "most", "hub", F.shiftright("hub_is", 32).alias("hub_n"), F.col("hub_is").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hub_most")))
     # Each set against the smallest set of its lists that shares most of them with it.
     best = postings.where((F.col("node") != F.col("hub")) & _fit("n", "most", "hub_n", "hub_most")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("hub", "c").alias("hub"))
@@ -359,6 +360,8 @@ def components(sets: DataFrame, work: Workspace) -> DataFrame:
         names = stars.select(F.col("node").alias("comp"), F.col("component").alias("whole"))
         labels = work.keep(labels.join(names, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
         left = state.where("not hub").select("code", "node", "n", "most")
+        del live, mixed, pairs, found, stars, names
+        work.free()
         turn, hubs = turn + 1, 4 * hubs
 
 
@@ -368,7 +371,8 @@ def linked_rows(docs: DataFrame, key: str, order: Column, text: str = "text", wo
     ``order`` is made of the column ``key``.
     """
     work = Workspace(docs.sparkSession)
-    rows = work.keep(divided(docs, long_lists(docs, work, text, words), key, text, words), free=True)
+    rows = work.keep(divided(docs, long_lists(docs, work, text, words), key, text, words))
+    work.free()
     full = rows.where("n > 0")
     classes = full.groupBy("s1", "s2").agg(F.min(order).alias("own"))
     reps = full.where("k > 0").groupBy("s1", "s2").agg(F.min("uid").alias("uid"))
@@ -378,6 +382,8 @@ def linked_rows(docs: DataFrame, key: str, order: Column, text: str = "text", wo
     best = named.groupBy("comp").agg(F.min("own").alias("best"))
     found = work.keep(named.join(best, "comp").select("s1", "s2", "best"))
     work.drop(sets)
+    del labels, named, best
+    work.free()
     return rows.select("key", "n", "s1", "s2"), classes.join(found, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("best", "own").alias("best"))
 
 
