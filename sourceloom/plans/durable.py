@@ -37,18 +37,19 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame, free: bool = False) -> DataFrame:
-        """The same rows, written once and read from there on; ``free`` asks the driver for a collection, so that Spark removes the job's shuffle files."""
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, written once and read from there on."""
         path = f"{self.base}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
-        if free:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         return out
 
+    def free(self) -> None:
+        """Ask the driver for a collection, so that Spark removes the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove the files of tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
