@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +29,54 @@ def keep_sources(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("language", language).where(F.col("language").isNotNull() & ~out)
 
 
+def _kept_files(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]:
+    """The root in full, and address and size of the files below it that the path rules may take; skipped folders are not listed. No content is read."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = store.makeQualified(top).toString().rstrip("/")
+    found, folders = [], [store.makeQualified(top)]
+    while folders:
+        for status in store.listStatus(folders.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if not name.startswith(".") and name not in SKIPPED:
+                    folders.append(status.getPath())
+            elif any(re.search(p, name) for _, p in EXTENSIONS):
+                found.append((status.getPath().toString(), status.getLen()))
+    return base, found
+
+
+def _read_hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of files whose names Spark's own sources hide."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, inner = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            with store.open_input_stream(inner) as stream:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stream.read()], pa.binary())], names=["path", "content"])
+
+
 def scan_corpus(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     """(repo, path, language, text) of the source files below a folder, empty ones included.
 
-    Only the files that the path rules take have their content read: paths and sizes come first, without it. Bytes that are no UTF-8 are left out.
+    The driver lists names and sizes; Spark tasks read the files that the path rules take, and no others. Spark's sources hide names that begin with ``_``
+    and skip empty files, so those are read by address and written as empty. Bytes that are no UTF-8 are left out. Corpora of many millions of files are better kept as tables.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    rows = files.where(F.col("path").startswith(f"{base}/")).select(F.lit(repo).alias("repo"), F.expr(f"substring(path, {len(base) + 2})").alias("path"), "content")
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "�", "")
-    return keep_sources(rows).select("repo", "path", "language", text.alias("text"))
+    base, found = _kept_files(spark, root)
+    hidden = lambda p: p.rsplit("/", 1)[-1][0] in "_."
+    plain = [re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p, size in found if size and not hidden(p)]
+    rows = spark.createDataFrame([(p, b"") for p, size in found if not size], "path string, content binary")
+    if plain:
+        rows = rows.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content"))
+    rest = [(p,) for p, size in found if size and hidden(p)]
+    if rest:
+        rows = rows.unionByName(spark.createDataFrame(rest, "path string").repartition(max(1, len(rest) // 64)).mapInArrow(_read_hidden, "path string, content binary"))
+    raw = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "\ufffd", ""))
+    rows = rows.select(F.lit(repo).alias("repo"), F.expr(f"substring(path, {len(base) + 2})").alias("path"), text.alias("text"))
+    return keep_sources(rows).select("repo", "path", "language", "text")
 
 
 def read_graph_json(spark: SparkSession, path: str, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
