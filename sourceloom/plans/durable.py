@@ -35,16 +35,23 @@ class Workspace:
     """Parquet tables of one job in the shared folder. What a returned plan still reads stays; the job drops the rest as it goes."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.number = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The same rows, written once and read from there on."""
-        path = f"{self.base}/{len(self.paths)}"
+        path = f"{self.base}/{self.number}"
+        self.number += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
 
+    def drops_with(self, view: DataFrame, table: DataFrame) -> DataFrame:
+        """``view``, which reads ``table`` and may be given to ``drop`` in its place."""
+        self.paths[id(view)] = (view, self.paths[id(table)][1])
+        return view
+
     def free(self) -> None:
         """Ask the driver for a collection, so that Spark removes the shuffle files of plans that nothing refers to any more."""
         gc.collect()
