@@ -314,11 +314,9 @@ def _roots(parents: DataFrame, work: Workspace) -> DataFrame:
         old, state = state, work.keep(state.join(up, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")))
         moved = not state.where("moved").isEmpty()
         work.drop(old)
-        state_rows = state.select("node", "comp")
+        state = work.drops_with(state.select("node", "comp"), state)
         if not moved:
-            return state_rows
-        work.paths[id(state_rows)] = work.paths[id(state)]
-        state = state_rows
+            return state
 
 
 def components(sets: DataFrame, work: Workspace) -> DataFrame:

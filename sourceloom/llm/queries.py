@@ -82,6 +82,14 @@ _WORDS = r"""words AS (SELECT doc_id, t, w, ROW_NUMBER() OVER (PARTITION BY doc_
          generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, UNNEST(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+cc(doc_id, comp) USING KEY (doc_id) AS (SELECT doc_id, doc_id FROM w UNION (SELECT u.doc_id, MIN(v.comp) FROM recurring.cc u JOIN ways ON ways.x = u.doc_id JOIN cc v ON v.doc_id = ways.y WHERE v.comp < u.comp GROUP BY u.doc_id))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, comp AS component_id FROM cc LEFT JOIN sizes USING (doc_id)""",
     "op6_fixity_audit": r"""WITH marked AS (SELECT page_id, strlen(html) AS bytes, substr(md5(page_id::VARCHAR), 1, 2) AS mark FROM pages),
 placed AS (SELECT page_id, page_id // 1024 AS archive, mark, bytes, (SUM(bytes) OVER (PARTITION BY page_id // 1024 ORDER BY page_id))::BIGINT AS "end" FROM marked)
 SELECT page_id, archive, ("end" - bytes)::BIGINT AS start, "end", CASE mark WHEN '00' THEN 'changed' ELSE 'missing' END AS state
