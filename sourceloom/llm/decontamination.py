@@ -2,9 +2,9 @@
 
 The items are sorted by length and cut into blocks; for each term the index holds its impact on every item, its largest impact and, for each
 block, the largest within it. Every passage of every document (overlapping windows that cover the whole text) is a query. Impacts are
-divided by the item's own score, so one threshold serves all items. The block maxima first bound many passages at once, a few megabytes at a time; most reach the threshold in no block and
-end there. For the others WAND moves sorted cursors over the postings: the pivot is the first item that the terms before it can lift to the threshold; where the pivot's block cannot reach it,
-all cursors before it skip the block, and only pivots that all cursors have reached are scored. What scores above it is verified by alignment at its passage: in one place the
+divided by the item's own score, so one threshold serves all items. The maxima of large blocks first bound many passages at once, a few megabytes at a time, and those of small blocks bound what
+is left; whatever cannot reach the threshold is skipped. In the remaining blocks WAND moves sorted cursors over the postings: the pivot is the first item that the terms before it can lift to the threshold,
+cursors before it skip to it, and only pivots that they reach are scored. What scores above it is verified by alignment at its passage: in one place the
 document must hold, in order, enough words of the item's question (its first three quarters) and of its answer (the rest, three
 words at least), each at most ``SLIP`` words off its place, so no single edit fails a part. An item of fewer than ``RUN`` words must be whole.
 Items of up to 64, 256 and 1,024 words have an index each, with windows of twice its longest item, so a long item does not widen the passages of short ones.
@@ -35,7 +35,7 @@ from sourceloom.llm.text import Block, blocks, letters_only, word_hashes, words_
 
 K1, B = 1.2, 0.75
 SHARD = 20_000
-BLOCK_ITEMS = 8
+BLOCK_ITEMS, SMALL_BLOCK = 8, 2
 THRESHOLD = 0.4
 RUN = 4
 SLIP = 3
@@ -108,13 +108,20 @@ class ItemIndex:
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             self.block, self.block_max = (key[cut] % self.n_blocks).astype(np.int32), np.maximum.reduceat(self.impact, cut)
             self.block_start = np.searchsorted(key[cut] // self.n_blocks, np.arange(len(self.terms) + 1))
-            self.most = np.maximum.reduceat(self.impact, self.start[:-1])
+            n_small = -(-n // SMALL_BLOCK)
+            key = term[by].astype(np.int64) * n_small + self.item // SMALL_BLOCK
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            self.small, self.small_max = (key[cut] % n_small).astype(np.int32), np.maximum.reduceat(self.impact, cut)
+            self.small_start = np.searchsorted(key[cut] // n_small, np.arange(len(self.terms) + 1))
+        self.cursors: dict[int, tuple[list[int], list[float]]] = {}
 
     def candidates(self, found: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
         """(passage, item) at or above the threshold; ``found`` holds term numbers of the text's words, -1 for others. Passage q begins at word q * window / 2."""
         half = self.window // 2
         last = max(0, -(-len(found) // half) - 2)
         step = max(1, BOUNDS // self.n_blocks)
+        least = threshold - 1e-5
+        spans: dict[int, tuple[list[int], list[int]]] = {}
         for low in range(0, last + 1, step):
             high = min(low + step, last + 1)
             begin = low * half
@@ -128,51 +135,61 @@ class ItemIndex:
             query, term = np.divmod(key, len(self.terms))
             rows, at = _expand(self.block_start, term)
             bound = np.bincount(query[rows] * self.n_blocks + self.block[at], self.block_max[at], (high - low) * self.n_blocks)
-            busy = np.flatnonzero((bound >= threshold - 1e-5).reshape(high - low, self.n_blocks).any(1))
-            for q, a, b in zip(busy.tolist(), np.searchsorted(query, busy).tolist(), np.searchsorted(query, busy, "right").tolist()):
-                for item in self.wand(term[a:b], threshold):
-                    yield low + q, item
-
-    def wand(self, terms: np.ndarray, threshold: float) -> list[int]:
-        """The items that a query of distinct terms scores at or above the threshold, by block-max WAND."""
+            alive = bound >= least
+            busy = alive.reshape(high - low, self.n_blocks).any(1)[query]
+            query, term = query[busy], term[busy]
+            rows, at = _expand(self.small_start, term)
+            kept = alive[query[rows] * self.n_blocks + self.small[at] // (BLOCK_ITEMS // SMALL_BLOCK)]
+            rows, at = rows[kept], at[kept]
+            n_small = self.n_blocks * (BLOCK_ITEMS // SMALL_BLOCK)
+            bound = np.bincount(query[rows] * n_small + self.small[at], self.small_max[at], 1)
+            asked, blocks_ = np.divmod(np.flatnonzero(bound >= least), n_small)
+            for q, a, b in zip(asked.tolist(), np.searchsorted(query, asked).tolist(), np.searchsorted(query, asked, "right").tolist()):
+                spans.setdefault(q + low, (term[a:b].tolist(), []))
+            for q, block in zip(asked.tolist(), blocks_.tolist()):
+                spans[q + low][1].append(block)
+            for q in sorted(spans):
+                for item in self.wand(*spans[q], threshold):
+                    yield q, item
+            spans.clear()
+
+    def wand(self, terms: list[int], small_blocks: list[int], threshold: float) -> list[int]:
+        """The items of some small blocks that a query of distinct terms scores at or above the threshold."""
         least = threshold - 1e-5  # bounds are sums in another order than scores
-        lists = []
-        for t in terms.tolist():
-            a, b, c, d = self.start[t], self.start[t + 1], self.block_start[t], self.block_start[t + 1]
-            lists.append([int(self.item[a]), 0, self.item[a:b].tolist(), self.impact[a:b].tolist(), float(self.most[t]), dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist()))])
+        postings = []
+        for t in terms:
+            if t not in self.cursors:
+                a, b = self.start[t], self.start[t + 1]
+                self.cursors[t] = self.item[a:b].tolist(), self.impact[a:b].tolist()
+            postings.append(self.cursors[t])
         out = []
-        while lists:
-            lists.sort(key=lambda x: x[0])
-            total, k = 0.0, -1
-            for k, x in enumerate(lists):
-                total += x[4]
-                if total >= least:
+        for block in small_blocks:
+            begin, end = block * SMALL_BLOCK, (block + 1) * SMALL_BLOCK
+            lists = []  # [current item, place, place of the end, bound, items, impacts]
+            for items, impacts in postings:
+                at = bisect_left(items, begin)
+                if at < len(items) and items[at] < end:
+                    stop = bisect_left(items, end, at)
+                    lists.append([items[at], at, stop, max(impacts[at:stop]), items, impacts])
+            while lists:
+                lists.sort(key=lambda x: x[0])
+                total, k = 0.0, 0
+                while k < len(lists) and total < least:
+                    total += lists[k][3]
+                    k += 1
+                if total < least:
                     break
-            else:
-                break
-            pivot = lists[k][0]
-            while k + 1 < len(lists) and lists[k + 1][0] == pivot:
-                k += 1
-            block = pivot // BLOCK_ITEMS
-            if sum(x[5].get(block, 0.0) for x in lists[: k + 1]) < least:
-                beyond = (block + 1) * BLOCK_ITEMS
-                target = min(beyond, lists[k + 1][0]) if k + 1 < len(lists) else beyond
-            elif lists[0][0] == pivot:
-                if sum(x[3][x[1]] for x in lists[: k + 1]) >= threshold:
-                    out.append(pivot)
-                target = pivot + 1
-            else:
+                pivot = lists[k - 1][0]
                 target = pivot
-            done = False
-            for x in lists[: k + 1]:
-                if x[0] < target:
-                    x[1] = bisect_left(x[2], target, x[1])
-                    if x[1] < len(x[2]):
-                        x[0] = x[2][x[1]]
-                    else:
-                        x[0], done = -1, True
-            if done:
-                lists = [x for x in lists if x[0] >= 0]
+                if lists[0][0] == pivot:
+                    if sum(x[5][x[1]] for x in lists if x[0] == pivot) >= threshold:
+                        out.append(pivot)
+                    target = pivot + 1
+                for x in lists:
+                    while x[0] < target:
+                        x[1] += 1
+                        x[0] = x[4][x[1]] if x[1] < x[2] else end
+                lists = [x for x in lists if x[0] < end]
         return out
 
     def verified(self, hashes: np.ndarray, hits: Iterator[tuple[int, int]], overlap: float) -> Iterator[tuple[int, float, float]]:
