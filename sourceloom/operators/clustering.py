@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import common_prefix, path_basename, path_segments
 from sourceloom.operators import grouping, measures
-from sourceloom.operators.components import connected_components, star_components
+from sourceloom.operators.components import connected_components, follow_pointers
 from sourceloom.operators.measures import MAIN
 from sourceloom.plans.durable import Workspace
 from sourceloom.plans.ranking import numbered
@@ -45,16 +45,20 @@ def minimum_spanning_forest(weighted: DataFrame) -> DataFrame:
     chosen = []
     while not live.isEmpty():
         sides = live.select("repo", F.explode(F.array("a", "b")).alias("c"), "a", "b", "edge")
-        best = work.keep(sides.groupBy("c").agg(F.min(F.struct("edge", "a", "b", "repo")).alias("m")).select("m.*").distinct())
+        best = work.keep(sides.groupBy("c").agg(F.min(F.struct("edge", "a", "b", "repo")).alias("m")).select("c", "m.*"))
         chosen.append(best)
-        names = star_components(best.select("a", "b"))
+        # Each component points at the other end of its edge; in a strict order two may point at each other, and longer circles cannot be.
+        to = best.select("c", F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("p"))
+        back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        pointers = to.join(back, "p").select(F.col("c").alias("node"), F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("comp"))
+        names = follow_pointers(pointers, work)
         rows = live
         for side in ("a", "b"):
-            rows = rows.join(names.select(F.col("node").alias(side), F.col("component").alias(f"{side}_to")), side, "left").withColumn(side, F.coalesce(f"{side}_to", side)).drop(f"{side}_to")
+            rows = rows.join(names.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_to")), side, "left").withColumn(side, F.coalesce(f"{side}_to", side)).drop(f"{side}_to")
         rows = rows.where("a <> b").groupBy("repo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
         old, live = live, work.keep(rows)
-        work.drop(old)
-    out = [c.select("repo", "edge.source", "edge.target", "edge.weight", "edge.ord") for c in chosen]
+        work.drop(old, names)
+    out = [c.select("repo", "edge").distinct().select("repo", "edge.source", "edge.target", "edge.weight", "edge.ord") for c in chosen]
     if not out:
         return weighted.limit(0)
     forest = out[0]

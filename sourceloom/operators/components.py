@@ -48,6 +48,22 @@ def star_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFra
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(hubs)
 
 
+def follow_pointers(pointers: DataFrame, work: Workspace) -> DataFrame:
+    """(node, comp) with every pointer of (node, comp) followed to its end, a node that points at itself; a table of the workspace.
+
+    Every ``comp`` is a node of the table, and pointers run in no other circle. Each round doubles the steps and replaces the table of the round before.
+    """
+    state = work.keep(pointers)
+    while True:
+        up = state.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        old, state = state, work.keep(state.join(up, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")))
+        moved = not state.where("moved").isEmpty()
+        work.drop(old)
+        state = work.drops_with(state.select("node", "comp"), state)
+        if not moved:
+            return state
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, id, cluster_id) for all nodes; cluster_id is the smallest id of the component, nodes without edges stand alone.
 
