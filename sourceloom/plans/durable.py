@@ -42,7 +42,7 @@ class Workspace:
         """The same rows, written once and read from there on."""
         path = f"{self.base}/{self.number}"
         self.number += 1
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
