@@ -34,12 +34,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from sourceloom.llm.text import Block, blocks, mix64, word_hashes
-from sourceloom.operators.components import star_components
+from sourceloom.operators.components import follow_pointers, star_components
 from sourceloom.plans.durable import Workspace
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # a similarity of 0.75
-HELD = 1 << 21  # words of a block of documents that is sorted at once
+HELD = 1 << 20  # words of a block of documents that is sorted at once
 HELD_DOCS = 1 << 16
 LONG_SHARE = 1024  # a list is long from this part of the documents on
 LONG_LEAST = 32
@@ -306,19 +306,6 @@ def _fit(n: str, most: str, other_n: str, other_most: str) -> Column:
     return (DENOMINATOR * F.least(n, other_n) >= NUMERATOR * F.greatest(n, other_n)) & (F.col(other_n) <= F.col(most)) & (F.col(n) <= F.col(other_most))
 
 
-def _roots(parents: DataFrame, work: Workspace) -> DataFrame:
-    """(node, comp) from (node, comp) with comp <= node, followed to its end; a table of the workspace."""
-    state = work.keep(parents)
-    while True:
-        up = state.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        old, state = state, work.keep(state.join(up, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")))
-        moved = not state.where("moved").isEmpty()
-        work.drop(old)
-        state = work.drops_with(state.select("node", "comp"), state)
-        if not moved:
-            return state
-
-
 def components(sets: DataFrame, work: Workspace) -> DataFrame:
     """(node, comp) of the sets that share a short list with another one; comp is the smallest linked number. ``sets``: (node, n, own, k, codes)."""
     lists = sets.select("node", "n", "own", F.posexplode(F.slice("codes", F.lit(1), F.col("k").cast("int"))).alias("pos", "code")).withColumn("pos", F.col("pos") + F.col("own"))
@@ -334,7 +321,7 @@ def components(sets: DataFrame, work: Workspace) -> DataFrame:
     best = postings.where((F.col("node") != F.col("hub")) & _fit("n", "most", "hub_n", "hub_most")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("hub", "c").alias("hub"))
     linked = probe(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets)
     nodes = postings.select("node").distinct()
-    labels = _roots(nodes.join(linked.select(F.col("b").alias("node"), F.col("a").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("comp")), work)
+    labels = follow_pointers(nodes.join(linked.select(F.col("b").alias("node"), F.col("a").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("comp")), work)
     left, turn, hubs = postings.select("code", "node", "n", "most"), 0, 4
     while True:
         live = left.join(labels, "node")
