@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sourceloom.llm.text import LOWER, Block, blocks, sha256_hex, span_text
+from sourceloom.llm.text import LOWER, Block, blocks, sha256_hex, span_text, well_formed
 
 MAX_STRINGS = 64  # alternatives of an exact string that are followed before it counts as "anything"
 
@@ -234,7 +234,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, text:
             found = find_secrets(block, rules, compiled, queries, vocabulary)
             if any(found):
                 column = block.rows.column(place)
-                texts = [_cover(t, s, mark) if s else t for t, s in zip(column.to_pylist(), found)]
+                texts = [_cover(t, s, mark) if s else t for t, s in zip(well_formed(column).to_pylist(), found)]
                 arrays = list(block.rows.columns)
                 arrays[place] = pa.array(texts, column.type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=block.rows.schema)

@@ -1,4 +1,8 @@
-"""Texts as byte blocks: what the Arrow-side operators of this subpackage share."""
+"""Texts as byte blocks: what the Arrow-side operators of this subpackage share.
+
+A Spark string may hold bytes that are no UTF-8 (a cast from binary makes one). One rule holds for all operators that read texts by ``blocks``: each ill-formed
+sequence of bytes counts as one U+FFFD, and where an operator returns a changed text, it returns that; rows that pass as they are keep their bytes.
+"""
 
 from __future__ import annotations
 
@@ -35,12 +39,22 @@ class Block:
         return (raw[a:b] for a, b in zip(off, off[1:]))
 
 
+def well_formed(column: pa.Array) -> pa.Array:
+    """A column of texts with ill-formed sequences replaced; nearly always the same column, after one pass of Arrow's validation."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.binary()).to_pylist()
+        column = pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string())
+    return column
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut Arrow batches into blocks of about ``limit`` bytes of text, without copying."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        column = well_formed(batch.column(batch.schema.get_field_index(text))).cast(pa.large_binary())
         if column.null_count:
             column = column.fill_null(b"")
         _, where, what = column.buffers()

@@ -58,3 +58,17 @@ def test_filters_keep_all_columns(spark, name):
     assert apply(docs_of(spark, [])).count() == 0
 
 
+
+
+def test_bytes_that_are_no_utf8(spark):
+    raw = b"ok \xff\xfe token: abcdef1 mail a@b.cd " + b"\xc3 word" * 60
+    docs = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"plain token: abcdef1"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw AS string) AS text")
+    known = spark.createDataFrame([(1, raw.decode("utf-8", "replace")), (2, "plain token: abcdef1")], "doc_id long, text string")
+    for name, op in OPERATORS.items():
+        rows = lambda d: sorted(map(tuple, op(spark, d).collect()))  # noqa: B023, E731
+        assert rows(docs) == rows(known), name
+    apply = (secret_scan.redact_secrets, lambda d: quality.keep_good(d, quality.RULES), lambda d: decontamination.drop_contaminated(d, items_of(spark)))
+    for f in apply:
+        assert f(docs).count() == f(known).count()
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    assert "abcdef1" not in masked[1] and masked[1].startswith("ok \ufffd\ufffd")
