@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import chat_repair, decontamination, fixity, jaccard_join, license_scan, mixing, pii, quality, secret_scan, toxicity
+from sourceloom.llm import chat_repair, decontamination, exact_dedup, fill_middle, fixity, jaccard_join, license_scan, mixing, pii, quality, secret_scan, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_chat_repair": op10_chat_repair,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_whitening": op12_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _WORDS = r"""words AS (SELECT doc_id, t, w, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i FROM (
@@ -122,4 +137,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT (failed OR 10 * n_symbols > n_words OR 10 * upper_n > 3 * letters OR 10 * bangs > n_words OR 2 * dups > all_lines
        OR NOT (2 * n_words <= word_chars AND word_chars <= 20 * n_words)) AS kept
 FROM base""",
+    "op11_fill_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(w) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT doc_id, t, n, form, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+    "op13_exact_dedup": r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, MIN(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size, doc_id = MIN(doc_id) OVER g AS kept, h AS text_sha256 FROM d WINDOW g AS (PARTITION BY h)""",
 }
