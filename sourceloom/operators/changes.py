@@ -11,6 +11,10 @@ from sourceloom.plans.ranking import numbered
 
 BUCKET = 256  # lines
 
+#: The formats of the version-control tool's outputs, a hunk header and the header line of a blame entry.
+_HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+_BLAME = r"^([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?$"
+
 
 def _lines(texts: DataFrame, by: str = r"\n") -> DataFrame:
     """The texts' lines with their place; a text is one file's or one repository's output, and is split within its row."""
@@ -34,17 +38,14 @@ def parse_status(texts: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "file").agg(F.max_by(F.struct("unstaged", "staged"), "pos").alias("s")).select("repo", "file", "s.unstaged", "s.staged")
 
 
-_HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-
-
 def parse_diff(texts: DataFrame) -> DataFrame:
     """(repo, staged, file, start, end, is_new) from (repo, root, staged, text): the new sides of the hunks of a diff without context.
 
-    A missing count is 1; a hunk of no new lines covers its start; a hunk that replaces no line is new; hunks before the first file are left out.
+    White space that ends a path goes: the tool puts a tab behind a path that holds a blank, and a carriage return may stand before the line end. A missing count is 1; a hunk of no new lines covers its start; a hunk that replaces no line is new; hunks before the first file are left out.
     Lines are carried within one text, which is one command's output.
     """
     rows = _lines(texts.withColumn("doc", F.monotonically_increasing_id())).where(F.col("line").startswith("+++ b/") | F.col("line").startswith("@@"))
-    file = F.when(F.col("line").startswith("+++ b/"), _under(F.col("root"), F.rtrim(F.expr("substring(line, 7)"))))
+    file = F.when(F.col("line").startswith("+++ b/"), _under(F.col("root"), F.regexp_replace(F.expr("substring(line, 7)"), r"\s+$", "")))
     carried = F.last(file, ignorenulls=True).over(Window.partitionBy("repo", "staged", "doc").orderBy("pos"))
     hunks = rows.withColumn("file", carried).where(F.col("line").startswith("@@") & F.col("file").isNotNull() & F.col("line").rlike(_HUNK))
     group = lambda k: F.regexp_extract("line", _HUNK, k)
@@ -53,9 +54,6 @@ def parse_diff(texts: DataFrame) -> DataFrame:
     return hunks.select("repo", "staged", "file", start.alias("start"), F.when(count(4) > 0, start + count(4) - 1).otherwise(start).alias("end"), (count(2) == 0).alias("is_new"))
 
 
-_BLAME = r"^([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?$"
-
-
 def parse_blame(texts: DataFrame) -> DataFrame:
     """(repo, file, line, sha, author_time) from (repo, file, text): a commit's time stands at its first entry and holds for its later ones. Lines without a known time are left out."""
     rows = _lines(texts)

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import common_prefix, path_basename, path_segments
 from sourceloom.operators import grouping, measures
-from sourceloom.operators.components import connected_components, follow_pointers
+from sourceloom.operators.forests import level_cuts, merge_tree, minimum_spanning_forest
 from sourceloom.operators.measures import MAIN
-from sourceloom.plans.durable import Workspace
 from sourceloom.plans.ranking import numbered
 
 #: The levels from which everything stands alone or is one cluster, and what a common file takes off an edge's weight.
 FULL, NONE, AFFINITY = 0.999, 0.001, 0.05
 
 
-def merge_budget(n: Column, level: float) -> Column:
+def merge_budget(n: Column, level: float | Column) -> Column:
     """How many merges a level asks for among n parts."""
     return F.floor(((FULL - level) / (FULL - NONE)) * F.greatest(n - 1, F.lit(0)))
 
@@ -32,56 +31,28 @@ def edge_weights(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataF
     return rows.select("repo", "source", "target", ((F.col("source_score") + F.col("target_score")) - near).alias("weight"), "ord")
 
 
-def minimum_spanning_forest(weighted: DataFrame) -> DataFrame:
-    """The edges (repo, source, target, weight, ord) of the minimum spanning forest under the strict order (weight, ord, source, target).
+def cluster_levels(nodes: DataFrame, tree: DataFrame, levels: list[float]) -> DataFrame:
+    """(repo, level, id, cluster_id): the clusters of every level from one merge tree.
 
-    Borůvka's rounds: every component takes its lightest edge, the chosen edges unite components, edges within one go, and of parallel edges
-    the lightest stays. The number of components halves each round at least; each round's tables replace those of the round before.
-    """
-    work = Workspace(weighted.sparkSession)
-    edge = F.struct("weight", "ord", "source", "target").alias("edge")
-    end = lambda c: F.struct("repo", F.col(c).alias("id"))
-    live = work.keep(weighted.where("source <> target").select("repo", end("source").alias("a"), end("target").alias("b"), edge))
-    chosen = []
-    while not live.isEmpty():
-        sides = live.select("repo", F.explode(F.array("a", "b")).alias("c"), "a", "b", "edge")
-        best = work.keep(sides.groupBy("c").agg(F.min(F.struct("edge", "a", "b", "repo")).alias("m")).select("c", "m.*"))
-        chosen.append(best)
-        # Each component points at the other end of its edge; in a strict order two may point at each other, and longer circles cannot be.
-        to = best.select("c", F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("p"))
-        back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        pointers = to.join(back, "p").select(F.col("c").alias("node"), F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("comp"))
-        names = follow_pointers(pointers, work)
-        rows = live
-        for side in ("a", "b"):
-            rows = rows.join(names.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_to")), side, "left").withColumn(side, F.coalesce(f"{side}_to", side)).drop(f"{side}_to")
-        rows = rows.where("a <> b").groupBy("repo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
-        old, live = live, work.keep(rows)
-        work.drop(old, names)
-    out = [c.select("repo", "edge").distinct().select("repo", "edge.source", "edge.target", "edge.weight", "edge.ord") for c in chosen]
-    if not out:
-        return weighted.limit(0)
-    forest = out[0]
-    for c in out[1:]:
-        forest = forest.unionByName(c)
-    return forest
-
-
-def cluster_by_connectivity(nodes: DataFrame, edges: DataFrame, scores: DataFrame, level: float, forest: DataFrame | None = None) -> DataFrame:
-    """(repo, id, cluster_id): the lightest edges of the spanning forest unite nodes until the level's merges are used up.
-
-    A greedy loop over all edges by weight accepts exactly the forest's edges, so its first k merges are the k lightest ones of the forest. The forest
-    does not depend on the level; pass it in to cut at several.
+    A greedy loop over all edges by weight accepts exactly the forest's edges, so the merges of a level are the lowest ones of the tree. From ``FULL`` on every node stands
+    alone, and down from ``NONE`` a repository is one cluster, connected or not.
     """
     own = nodes.where(F.col("id") != MAIN).select("repo", "id").distinct()
-    if level >= FULL:
-        return own.withColumn("cluster_id", F.col("id"))
-    if level <= NONE:
-        return own.join(own.groupBy("repo").agg(F.min("id").alias("cluster_id")), "repo")
-    forest = minimum_spanning_forest(edge_weights(nodes, edges, scores)) if forest is None else forest
-    budget = own.groupBy("repo").agg(merge_budget(F.count(F.lit(1)), level).alias("k"))
-    ranked = numbered(forest, ["repo"], [F.col(c) for c in ("weight", "ord", "source", "target")], "place")
-    return connected_components(own, ranked.join(budget, "repo").where("place < k").select("repo", "source", "target"))
+    sizes = own.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels))))
+    level = F.col("level")
+    k = F.when(level >= FULL, F.lit(0)).otherwise(merge_budget(F.col("n"), level)).cast("long")
+    asked = own.join(sizes.select("repo", "level", k.alias("k"), F.when(level <= NONE, F.col("first")).alias("whole")), "repo")
+    cuts = level_cuts(asked.where("whole is null").select("repo", "level", "id", "k"), tree)
+    return cuts.unionByName(asked.where("whole is not null").select("repo", "level", "id", F.col("whole").alias("cluster_id")))
+
+
+def cluster_by_connectivity(nodes: DataFrame, edges: DataFrame, scores: DataFrame, level: float, tree: DataFrame | None = None) -> DataFrame:
+    """(repo, id, cluster_id): the lightest edges of the spanning forest unite nodes until the level's merges are used up. The merge tree does not depend on the level; pass it in to move between levels."""
+    if level >= FULL or level <= NONE:
+        tree = nodes.limit(0).select("repo", "id", F.col("id").alias("up"), F.lit(0).cast("long").alias("height"))
+    elif tree is None:
+        tree = merge_tree(minimum_spanning_forest(edge_weights(nodes, edges, scores)))
+    return cluster_levels(nodes, tree, [level]).select("repo", "id", "cluster_id")
 
 
 def _base_groups(nodes: DataFrame, mode: str) -> DataFrame:

@@ -95,18 +95,17 @@ def inheritance_edges(classes: DataFrame) -> DataFrame:
     return wanted.join(classes.select("repo", "class_name", F.col("class_key").alias("target")), ["repo", "class_name"]).where("source <> target").select("repo", "source", "target", "kind").distinct()
 
 
-
-
 def doc_comments(wanted: DataFrame, declarations: DataFrame) -> DataFrame:
     """(package, name, doc) for ``wanted`` (package, name): the first commented declaration of the function in a package's files, '' without one.
 
     ``declarations``: (package, rank, file, text); files are tried by rank, then name. A comment block belongs to a function whose name and ``(`` or ``<``
-    follow within 300 characters; tag lines and empty lines are left out, and a block without other lines is passed over.
+    follow within 300 characters; tag lines and empty lines are left out, and a block without other lines is passed over. Lines are joined by line ends. The pattern repeats
+    single characters only, so a comment of any length needs no stack.
     """
-    blocks = declarations.select("package", "rank", "file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(/\*\*(?:[^*]|\*(?!/))*\*/(?=([\s\S]{0,300})))"), F.lit(1))).alias("pos", "block"),
-                                 F.regexp_extract_all("text", F.lit(r"/\*\*(?:[^*]|\*(?!/))*\*/(?=([\s\S]{0,300}))"), F.lit(1)).alias("after"))
-    lines = F.transform(F.split(F.regexp_replace("block", r"^/\*\*|\*/$", ""), r"\r?\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*\*?", "")))
-    doc = F.array_join(F.filter(lines, lambda s: (s != "") & ~s.startswith("@")), " ")
+    found = lambda k: F.regexp_extract_all("text", F.lit(r"(?s)(/\*\*.*?\*/)(?=(.{0,300}))"), F.lit(k))
+    blocks = declarations.select("package", "rank", "file", F.posexplode(found(1)).alias("pos", "block"), found(2).alias("after"))
+    lines = F.transform(F.split(F.regexp_replace("block", r"^/\*\*|\*/$", ""), r"\n"), lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s*\*\s?", ""), r"^\s+|\s+$", ""))
+    doc = F.array_join(F.filter(lines, lambda s: (s != "") & ~s.startswith("@")), "\n")
     rows = blocks.select("package", "rank", "file", "pos", doc.alias("doc"), F.try_element_at("after", F.col("pos") + 1).alias("after")).where("doc <> ''")
     names = rows.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("after", F.lit(r"([A-Za-z_$][\w$]*)\s*[(<]"), F.lit(1)))))
     best = names.groupBy("package", "name").agg(F.min_by("doc", F.struct("rank", "file", "pos")).alias("doc"))

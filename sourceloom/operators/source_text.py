@@ -71,27 +71,29 @@ def function_source(extents: DataFrame, lines: DataFrame) -> DataFrame:
 _ID, _STRING = r"[A-Za-z_$][\w$]*", r"['\"]([^'\"]+)['\"]"
 
 
+#: Statements that bind modules, in the order of the text: an import with its clause, and each declarator of a declaration, with or without a require.
+_BINDING = (
+    rf"(?m)^import\s+([^'\";]+?)\s*from\s*{_STRING}"
+    rf"|(?:^(?:const|let|var)\s+|\G\s*,\s*)({_ID}|\{{[^}}]*\}})\s*=\s*(?:require\(\s*{_STRING}[^)]*\)(?:\.{_ID})?|[^,;\n]*)"
+)
+
+
 def scan_js_imports(files: DataFrame) -> DataFrame:
-    """(repo, file, local, module): what imports and requires at the start of a line bind; relative modules are skipped, and the last binding of a name counts."""
-    found = [
-        (rf"(?m)^import\s+({_ID})\s*(?:,\s*[^'\"]*)?\s+from\s+{_STRING}", "one"),
-        (rf"(?m)^import\s+(?:{_ID}\s*,\s*)?\*\s+as\s+({_ID})\s+from\s+{_STRING}", "one"),
-        (rf"(?m)^import\s+(?:{_ID}\s*,\s*)?(\{{[^}}]*\}})\s*from\s+{_STRING}", "many"),
-        (rf"(?m)^(?:const|let|var)\s+({_ID})\s*=\s*require\(\s*{_STRING}\s*\)", "one"),
-        (rf"(?m)^(?:const|let|var)\s+(\{{[^}}]*\}})\s*=\s*require\(\s*{_STRING}\s*\)", "many"),
-    ]
-    parts = []
-    for pattern, kind in found:
-        names, modules = (F.regexp_extract_all("text", F.lit(pattern), F.lit(k)) for k in (1, 2))
-        rows = files.select("repo", "file", "text", F.explode(F.arrays_zip(names.alias("names"), modules.alias("module"))).alias("b")).select("repo", "file", F.col("b.names").alias("names"), F.col("b.module").alias("module"), F.instr("text", F.col("b.names")).alias("pos"))
-        if kind == "many":
-            rows = rows.withColumn("names", F.explode(F.split(F.regexp_replace("names", r"[{}\s]+", " "), ",")))
-            rows = rows.withColumn("names", F.regexp_extract(F.trim("names"), rf"({_ID})$", 1)).where("names <> ''")
-        parts.append(rows.select("repo", "file", F.col("names").alias("local"), "module", "pos"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(~F.col("module").startswith(".")).groupBy("repo", "file", "local").agg(F.max_by("module", F.struct("pos", "module")).alias("module"))
+    """(repo, file, local, module): what imports and requires at the start of a line bind; relative modules are skipped, and of a name's bindings the one that stands last counts.
+
+    One pattern finds imports and declarators in the order of the text; a declarator after a comma belongs to the declaration where it follows the one before at once.
+    """
+    part = lambda k: F.regexp_extract_all("text", F.lit(_BINDING), F.lit(k))
+    found = files.select("repo", "file", F.posexplode(F.arrays_zip(*(part(k).alias(n) for k, n in enumerate(("clause", "origin", "target", "required"), 1)))).alias("pos", "b"))
+    clause, target = F.col("b.clause"), F.col("b.target")
+    module = F.when(clause != "", F.col("b.origin")).otherwise(F.col("b.required"))
+    plain = F.when(clause != "", F.regexp_extract(clause, rf"^(?:type\s+)?({_ID})\s*(?:,|$)", 1)).otherwise(F.regexp_extract(target, rf"^{_ID}$", 0))
+    space = F.regexp_extract(clause, rf"\*\s*as\s+({_ID})", 1)
+    braces = F.split(F.regexp_extract(F.concat(clause, target), r"\{([^}]*)\}", 1), ",")
+    named = F.transform(braces, lambda x: F.regexp_extract(F.regexp_replace(x, r"=.*", ""), rf"({_ID})\s*$", 1))
+    rows = found.select("repo", "file", "pos", module.alias("module"), F.posexplode(F.concat(F.array(plain, space), named)).alias("place", "local"))
+    kept = rows.where("local <> '' and module <> '' and not startswith(module, '.')")
+    return kept.groupBy("repo", "file", "local").agg(F.max_by("module", F.struct("pos", "place")).alias("module"))
 
 
 def scan_class_headers(files: DataFrame) -> DataFrame:

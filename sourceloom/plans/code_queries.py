@@ -140,18 +140,19 @@ def class_headers(spark, sf_dir):
 
 
 def js_imports(spark, sf_dir):
-    """Every part imports its brand's module whole, by names and by require; the last binding of ``a`` counts."""
+    """Every part imports its brand's module whole, by names and by require; the last binding of ``a`` and ``q`` counts, and a declaration has several declarators."""
     part = table(spark, sf_dir, "part")
-    text = F.format_string("import def%s, { x as y, z } from '%s'\nimport * as ns from \"%s/ns\"\nconst a = require('old')\nconst { b, c: a } = require('%s')\nimport rel from './rel'\n", F.col("p_size").cast("string"), "p_brand", "p_brand", "p_type")
+    text = F.format_string("import def%s, { x as y, z } from '%s'\nimport * as ns from \"%s/ns\"\nconst a = require('old')\nconst { b, c: a } = require('%s')\nimport rel from './rel'\nconst q = require('zeta')\nvar q = require('beta')\nlet m1 = require('one'), k = 5, m2 = require('two').sub, { m3 = 1 } = require('three')\n", F.col("p_size").cast("string"), "p_brand", "p_brand", "p_type")
     return source_text.scan_js_imports(part.select(F.lit("shop").alias("repo"), text_id("p", "p_partkey").alias("file"), text.alias("text"))).drop("repo")
 
 
 def doc_lookup(spark, sf_dir):
-    """Declarations of brands: a part's comment documents its function; a wanted function of an unknown name has none."""
+    """Declarations of brands: a part's comment of several lines, long for some, documents its function; a wanted function of an unknown name has none."""
     part = table(spark, sf_dir, "part")
-    one = F.format_string("/**\n * %s %s\n * @param x\n */\nexport function part_%s(x: number): void;\n", "p_name", "p_type", F.col("p_partkey").cast("string"))
+    more = F.when(F.col("p_size") == 7, F.expr("repeat('word ', 1500)")).otherwise("short")
+    one = F.concat(F.lit("/**\n * "), "p_name", F.lit(" "), "p_type", F.lit("\r\n *\n * "), more, F.lit("\n * @param x\n */\nexport function part_"), F.col("p_partkey").cast("string"), F.lit("(x: number): void;\n"))
     declared = part.select(F.col("p_brand").alias("package"), F.lit(1).alias("rank"), text_id("d", "p_partkey").alias("file"), one.alias("text"))
-    empty = declared.withColumn("rank", F.lit(0)).withColumn("text", F.regexp_replace("text", r" \* .* .*\n \* @", " * @"))
+    empty = declared.withColumn("rank", F.lit(0)).withColumn("text", F.regexp_replace("text", r"(?s)/\*\*.*\*/", "/**\n * @param x\n */"))
     wanted = part.select(F.col("p_brand").alias("package"), text_id("part_", "p_partkey").alias("name")).unionByName(part.where("p_size < 5").select(F.col("p_brand").alias("package"), text_id("none_", "p_partkey").alias("name")))
     return resolution.doc_comments(wanted, declared.unionByName(empty))
 
@@ -235,8 +236,9 @@ SELECT 'o' || o || ':f' || n AS id, a::INTEGER AS start, (a + k + 1)::INTEGER AS
     "function_sources": _ITEMS + "s AS (SELECT 1) SELECT 'o' || o || ':f' || n AS id, (length('function f' || n || '() {') + 18 * k + 2)::INTEGER AS chars, NULL::VARCHAR AS error FROM f",
     "class_headers": "SELECT DISTINCT 'o' || l_orderkey || '::A' AS source, 'o' || l_orderkey || '::B' AS target, 'extends' AS kind FROM lineitem",
     "js_imports": """SELECT 'p' || p_partkey AS file, x.local, x.module FROM part, LATERAL (SELECT 'def' || p_size AS local, p_brand AS module UNION ALL SELECT 'y', p_brand UNION ALL SELECT 'z', p_brand
-  UNION ALL SELECT 'ns', p_brand || '/ns' UNION ALL SELECT 'b', p_type UNION ALL SELECT 'a', p_type) x""",
-    "doc_lookup": "SELECT p_brand AS package, 'part_' || p_partkey AS name, p_name || ' ' || p_type AS doc FROM part UNION ALL SELECT p_brand, 'none_' || p_partkey, '' FROM part WHERE p_size < 5",
+  UNION ALL SELECT 'ns', p_brand || '/ns' UNION ALL SELECT 'b', p_type UNION ALL SELECT 'a', p_type
+  UNION ALL SELECT 'q', 'beta' UNION ALL SELECT 'm1', 'one' UNION ALL SELECT 'm2', 'two' UNION ALL SELECT 'm3', 'three') x""",
+    "doc_lookup": "SELECT p_brand AS package, 'part_' || p_partkey AS name, p_name || ' ' || p_type || chr(10) || CASE WHEN p_size = 7 THEN rtrim(repeat('word ', 1500)) ELSE 'short' END AS doc FROM part UNION ALL SELECT p_brand, 'none_' || p_partkey, '' FROM part WHERE p_size < 5",
     "layouts_found": """SELECT printf('%08d.json', event_id) AS file, CASE WHEN event_id % 3 = 0 THEN event_type || ' ' || user_id ELSE printf('%08d', event_id) END AS name,
   CASE WHEN event_id % 3 = 1 THEN 'Of ' || event_type ELSE '' END AS description, CASE WHEN event_id % 3 = 0 THEN value END AS x FROM events WHERE event_id % 3 < 2 AND event_type LIKE '%click%'""",
     "layouts_written": "SELECT event_type || '_' || user_id || '.json' AS file, event_type || '/' || user_id AS name, COUNT(*)::INTEGER AS n FROM events GROUP BY ALL",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom import streaming
 from sourceloom.functions import effective_status
-from sourceloom.operators import changes, clustering, components, extents, grouping, hierarchy, measures, views
+from sourceloom.operators import changes, clustering, components, extents, forests, grouping, hierarchy, measures, views
 from sourceloom.plans.tables import table, text_id
 
 LEVEL = 0.4
@@ -28,7 +28,7 @@ def sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 def forest_sizes(spark, sf_dir):
     nodes, edges, scores = sales(spark, sf_dir)
-    return clustering.minimum_spanning_forest(clustering.edge_weights(nodes, edges, scores)).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    return forests.minimum_spanning_forest(clustering.edge_weights(nodes, edges, scores)).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
 def detail_clusters(spark, sf_dir):
@@ -194,11 +194,11 @@ def parsed_status(spark, sf_dir):
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diff text an order: a file a line number, with a hunk of its quantity's lines."""
+    """A diff text an order: a file a line number, with a hunk of its quantity's lines; one path holds a blank, so a tab follows it, and one line ends with a carriage return."""
     i = table(spark, sf_dir, "lineitem")
     old = F.when(F.col("l_returnflag") == "R", "5,0").otherwise("5")
     new = F.when(F.col("l_quantity") == 1, F.col("l_linenumber").cast("string")).otherwise(F.concat_ws(",", F.col("l_linenumber").cast("string"), F.floor(F.col("l_quantity") / 10).cast("string")))
-    one = F.concat(F.lit("diff\n--- a/x\n+++ b/f"), F.col("l_linenumber").cast("string"), F.lit("\n@@ -"), old, F.lit(" +"), new, F.lit(" @@ def\n-x"))
+    one = F.concat(F.lit("diff\n--- a/x\n+++ b/f"), F.when(F.col("l_linenumber") == 2, " ").otherwise(""), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") == 2, "\t").when(F.col("l_linenumber") == 3, "\r").otherwise(""), F.lit("\n@@ -"), old, F.lit(" +"), new, F.lit(" @@ def\n-x"))
     rows = i.select("l_orderkey", F.struct("l_linenumber", one.alias("e")).alias("x")).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), "\n").alias("text"))
     return rows.select(text_id("o", "l_orderkey").alias("repo"), F.lit("/ws").alias("root"), F.lit(False).alias("staged"), F.concat(F.lit("@@ -1 +1 @@\n"), F.col("text")).alias("text"))
 

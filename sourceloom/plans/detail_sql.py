@@ -71,7 +71,7 @@ SELECT file, n, coalesce(lang, 'javascript') AS language FROM f UNION ALL SELECT
     "parsed_status": """WITH c AS (SELECT 'n' || c_nationkey AS repo, '/ws/src/c' || c_custkey AS file, ['M ', ' M', 'A ', ' D', '??', 'RM', 'D ', 'AM'][c_custkey % 8 + 1] AS s FROM customer),
 d AS (SELECT repo, file, CASE WHEN s = '??' THEN 'added' WHEN s[2] = 'M' THEN 'modified' WHEN s[2] = 'D' THEN 'deleted' WHEN s = 'A ' THEN 'added' END AS unstaged,
   CASE WHEN s[1] = 'A' THEN 'added' WHEN s[1] = 'D' THEN 'deleted' WHEN s[1] NOT IN (' ', '?') THEN 'modified' END AS staged FROM c) SELECT *, coalesce(unstaged, staged) AS effective FROM d""",
-    "parsed_diff": """WITH h AS (SELECT 'o' || l_orderkey AS repo, '/ws/f' || l_linenumber AS file, l_linenumber::INTEGER AS start, CASE WHEN l_quantity = 1 THEN 1 ELSE floor(l_quantity / 10)::INTEGER END AS d, l_returnflag = 'R' AS is_new FROM lineitem)
+    "parsed_diff": """WITH h AS (SELECT 'o' || l_orderkey AS repo, '/ws/f' || CASE WHEN l_linenumber = 2 THEN ' ' ELSE '' END || l_linenumber AS file, l_linenumber::INTEGER AS start, CASE WHEN l_quantity = 1 THEN 1 ELSE floor(l_quantity / 10)::INTEGER END AS d, l_returnflag = 'R' AS is_new FROM lineitem)
 SELECT repo, file, start, CASE WHEN d > 0 THEN start + d - 1 ELSE start END::INTEGER AS "end", is_new, COUNT(*) AS n FROM h GROUP BY ALL""",
     "parsed_blame": """SELECT 'c' || o_custkey AS file, (ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS line, sha1(strftime(o_orderdate, '%Y-%m')) AS sha, epoch(date_trunc('month', o_orderdate))::BIGINT AS author_time FROM orders""",
     "introduced": """WITH b AS (SELECT o_custkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, epoch(date_trunc('month', o_orderdate))::BIGINT AS ts FROM orders)

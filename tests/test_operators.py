@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom import sources, streaming
-from sourceloom.operators import changes, clustering, components, measures, source_text
+from sourceloom.operators import changes, clustering, components, forests, measures, resolution, source_text
 
 NODE = "repo string, id string, name string, file string, class_name string, language string, line int"
 EDGE = "repo string, source string, target string"
@@ -61,6 +61,56 @@ def test_connectivity_equals_greedy(spark, level):
     assert partition(got.collect()) == want
 
 
+def random_weights(r, n, dense):
+    """Edges of some repositories with few different weights, and the merges of a greedy loop over them."""
+    rows, merges = [], {}
+    for case in range(6):
+        ids = [f"i{k:03}" for k in range(n)]
+        own = {(r.choice(ids), r.choice(ids)): r.choice([0.5, 1.0, 2.0, 3.5]) for _ in range(dense * n)}
+        rows += [(f"r{case}", a, b, w, 0) for (a, b), w in own.items()]
+        done, taken = {i: i for i in ids}, []
+        for w, a, b in sorted((w, a, b) for (a, b), w in own.items() if a != b):
+            if done[a] != done[b]:
+                taken.append((a, b, w))
+                old, new = max(done[a], done[b]), min(done[a], done[b])
+                done = {i: new if c == old else c for i, c in done.items()}
+        merges[f"r{case}"] = taken
+    return rows, merges
+
+
+@pytest.mark.parametrize(("packet", "n", "dense"), [(1 << 19, 40, 3), (64, 60, 1), (9, 50, 2), (25, 40, 8)])
+def test_forest_tree_and_all_levels(spark, packet, n, dense):
+    """A small packet forces thinning, contraction and halving; the forest, and the clusters of every number of merges, equal the greedy loop's."""
+    rows, merges = random_weights(random.Random(packet), n, dense)
+    weighted = spark.createDataFrame(rows, "repo string, source string, target string, weight double, ord long").repartition(5)
+    forest = forests.minimum_spanning_forest(weighted, packet).collect()
+    assert sorted((x.repo, x.source, x.target, x.weight) for x in forest) == sorted((repo, *e) for repo, own in merges.items() for e in own)
+    tree = forests.merge_tree(spark.createDataFrame(forest, weighted.schema), packet)
+    asked = [(repo, float(k), f"i{i:03}", k) for repo in merges for k in (0, 1, 2, 5, n // 2, n - 2, n) for i in range(n)]
+    cuts = forests.level_cuts(spark.createDataFrame(asked, "repo string, level double, id string, k long"), tree).collect()
+    assert len(cuts) == len(asked)
+    got = {}
+    for x in cuts:
+        got.setdefault((x.repo, x.level), {}).setdefault(x.cluster_id, set()).add(x.id)
+    for (repo, k), sets in got.items():
+        assert {frozenset(s) for s in sets.values()} == unite([f"i{i:03}" for i in range(n)], [e[:2] for e in merges[repo][: int(k)]])
+        assert all(c == min(s) for c, s in sets.items())
+
+
+def test_levels_from_one_tree_equal_single_runs(spark):
+    r = random.Random(8)
+    ids = [f"i{k:02}" for k in range(50)]
+    nodes = spark.createDataFrame([(repo, i, i, None, None, None, 1) for repo in "xy" for i in ids] + [("x", "::MAIN::0", "MAIN", None, None, None, 0)], NODE)
+    edges = spark.createDataFrame(list({(repo, r.choice(ids), r.choice(ids)) for repo in "xy" for _ in range(90)}), EDGE)
+    scores = spark.createDataFrame([(repo, i, r.random()) for repo in "xy" for i in ids], "repo string, id string, score double")
+    tree = forests.merge_tree(forests.minimum_spanning_forest(clustering.edge_weights(nodes, edges, scores)))
+    levels = [0.0, 0.1, 0.5, 0.9, 1.0]
+    every = clustering.cluster_levels(nodes, tree, levels).collect()
+    for level in levels:
+        one = {(x.repo, x.id, x.cluster_id) for x in clustering.cluster_by_connectivity(nodes, edges, scores, level).collect()}
+        assert {(x.repo, x.id, x.cluster_id) for x in every if x.level == level} == one and len(one) == 100
+
+
 @pytest.mark.parametrize("mode", ["file", "class"])
 def test_structure_equals_greedy(spark, mode):
     r = random.Random(2)
@@ -241,3 +291,34 @@ def test_changed_files_replace_their_facts(spark, tmp_path):
     stream = spark.readStream.schema(saved.schema).parquet(str(tmp_path / "saves"))
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert {(x.file, x.name) for x in spark.read.parquet(str(tmp_path / "1")).collect()} == {("a", "new"), ("a", "two"), ("b", "kept")}
+
+
+def test_comments_of_any_length_and_lines(spark):
+    long = "/** " + "word " * 200_000 + "*/\nfunction big(x) {}\n"
+    many = "/**\n * one\n *   two \n *\n * @tag no\n */\nexport function lines<T>() {}\n/** @only tag */\nfunction lines() {}\n" + " " * 300 + "/** star * in / it */ function star() {}"
+    declared = spark.createDataFrame([("p", 0, "a", "/** @x */ function big() {}"), ("p", 1, "b", long), ("p", 1, "c", many)], "package string, rank int, file string, text string")
+    wanted = spark.createDataFrame([("p", n) for n in ("big", "lines", "star", "none")], "package string, name string")
+    got = {r.name: r.doc for r in resolution.doc_comments(wanted, declared).collect()}
+    assert got == {"big": ("word " * 200_000).strip(), "lines": "one\ntwo", "star": "star * in / it", "none": ""}
+
+
+def test_bindings_in_the_order_of_the_text(spark):
+    cases = {
+        "var a = require('zeta')\nvar a = require('beta')": {"a": "beta"},
+        "var a = require('beta')\nvar a = require('zeta')": {"a": "zeta"},
+        "const a = require('x'), b = require('y')": {"a": "x", "b": "y"},
+        "const k = 1, { c, d: e, f = 2 } = require( \"z\" ).part, g = require('./rel')\nfoo(a, h = require('no'))": {"c": "z", "e": "z", "f": "z"},
+        "import D, { x as y, type T } from 'm'\nimport * as ns from 'n'\nimport type { U } from 'u'\nimport E, * as all from 'e'\nimport 'side'\nimport r from '../r'": {"D": "m", "y": "m", "T": "m", "ns": "n", "U": "u", "E": "e", "all": "e"},
+        "import {\n  a,\n  b as c,\n} from 'many'\nlet q = require('q')": {"a": "many", "c": "many", "q": "q"},
+    }
+    files = spark.createDataFrame([("r", str(k), text) for k, text in enumerate(cases)], "repo string, file string, text string")
+    got = {}
+    for r in source_text.scan_js_imports(files).collect():
+        got.setdefault(r.file, {})[r.local] = r.module
+    assert got == {str(k): want for k, want in enumerate(cases.values())}
+
+
+def test_diff_paths_with_blanks_and_line_ends(spark):
+    text = "+++ b/a b.py\t\n@@ -1 +2,3 @@\n+++ b/c.py\r\n@@ -1,0 +5 @@\r\n"
+    got = changes.parse_diff(spark.createDataFrame([("r", "/w", False, text)], "repo string, root string, staged boolean, text string")).collect()
+    assert {(x.file, x.start, x.end, x.is_new) for x in got} == {("/w/a b.py", 2, 4, False), ("/w/c.py", 5, 5, True)}
