@@ -1,5 +1,6 @@
 """The methods against plain versions of themselves, and what callers may do with results."""
 
+import bisect
 import math
 import random
 import re
@@ -165,7 +166,7 @@ def test_block_max_wand_equals_plain_bm25():
     r = random.Random(4)
     word = lambda: int(200 * r.random() ** 2)
     own = [np.array([word() for _ in range(r.randrange(5, 60))], np.uint64) for _ in range(90)]
-    index = decontamination.ItemIndex(list(range(90)), own, list(range(90)))
+    index = decontamination.ItemIndex(list(range(90)), own)
     text = np.array([word() for _ in range(3000)] + own[7].tolist() + [word() for _ in range(40)], np.uint64)
     at = np.minimum(np.searchsorted(index.terms, text), len(index.terms) - 1)
     found = np.where(index.terms[at] == text, at, -1)
@@ -181,6 +182,73 @@ def test_block_max_wand_equals_plain_bm25():
     assert want
 
 
+def aligned(item, words):
+    """The best shares of question and answer over all places of an item in a text, by its definition."""
+    size, best = len(item), (0.0, 0.0)
+    need = decontamination.OVERLAP if size >= decontamination.RUN else 1.0
+    tail = min(size, max(3, -(-size // 4)))
+    head = max(size - tail, min(size, 3))
+    slip = 2 * decontamination.SLIP
+
+    def longest(pairs):
+        ends = []
+        for _, j in sorted(pairs, key=lambda p: (p[0], -p[1])):
+            k = bisect.bisect_left(ends, j)
+            ends[k : k + 1] = [j]
+        return len(ends)
+
+    for place in range(-size, len(words)):
+        pairs = [(i, j) for i in range(size) for j in range(max(0, place + i), min(len(words), place + i + slip + 1)) if words[j] == item[i]]
+        if len({i for i, _ in pairs}) >= need * size:
+            shares = longest([p for p in pairs if p[0] < head]) / head, longest([p for p in pairs if p[0] >= size - tail]) / tail
+            if min(shares) >= need:
+                best = max(best, shares)
+    return best
+
+
+@pytest.mark.parametrize(("shard", "pairs"), [(20_000, 1 << 22), (13, 50), (4, 1 << 22)])
+def test_matches_equal_plain_bm25_and_alignment_for_any_shards(spark, monkeypatch, shard, pairs):
+    """All items against all passages by dictionaries; items of 1 to 300 words, some in pieces, with edits, without their answer, in ties."""
+    monkeypatch.setattr(decontamination, "SHARD", shard)
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
+    r = random.Random(11)
+    word = lambda: f"w{int(150 * r.random() ** 2)}"
+    items = [[word() for _ in range(size)] for size in (1, 2, 3, 5, 9, 20, 28, 28, 28, 64, 65, 100, 300)] + [[f"o{k}x{j}" for j in range(28)] for k in range(8)]
+    items.append(items[-1])
+    texts = [[word() for _ in range(r.randrange(0, 400))] for _ in range(14)]
+    for k, text in enumerate(texts):
+        own = list(items[(3 * k + 6) % len(items)])
+        if k % 4 == 1:
+            own[len(own) // 2 : len(own) // 2 + 1] = ["other", "more"]
+        if k % 4 == 2:
+            own = own[: -(-2 * len(own) // 3)]
+        if k % 4 == 3:
+            own = [w if r.random() < 0.75 else "else" for w in own]
+        at = r.randrange(len(text) + 1)
+        text[at:at] = own
+    want = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            half = decontamination._class_of(len(item))
+            last = max(0, -(-len(text) // half) - 2)
+            for q in range(last + 1):
+                if plain_bm25(text[q * half : (q + 2) * half if q < last else None], items)[k] >= decontamination.THRESHOLD - 1e-7:
+                    shares = aligned(item, text[max(0, q - 1) * half : (q + 4) * half])
+                    if shares[0]:
+                        want |= {(d, k)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").repartition(3)
+    got = decontamination.contaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) and len(want) > 8
+
+
+def test_a_long_item_needs_its_answer(spark):
+    item = [f"q{j}" for j in range(1500)]
+    bench = spark.createDataFrame([(1, " ".join(item)), *((k, " ".join(f"o{k}x{j}" for j in range(28))) for k in range(2, 9))], "item_id long, text string")
+    texts = [item, item[:1024], item[:1100] + item[1300:], ["a"] * 3000 + item + ["b"] * 50]
+    got = decontamination.contaminated(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
+    assert {x.doc_id for x in got} == {0, 3}
+
+
 def test_decontamination_memory_follows_the_passage(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BOUNDS", 8)
     items = [(k, " ".join(f"t{k}x{j}" for j in range(30))) for k in range(40)]
