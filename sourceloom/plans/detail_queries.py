@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourceloom import streaming
 from sourceloom.functions import effective_status
 from sourceloom.operators import changes, clustering, components, extents, forests, grouping, hierarchy, measures, views
+from sourceloom.plans.durable import Workspace
 from sourceloom.plans.tables import table, text_id
 
 LEVEL = 0.4
@@ -18,6 +19,7 @@ def sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     orders, items, c, s = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "customer", "supplier"))
     bought = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     edges = bought.select(F.col("o_orderpriority").alias("repo"), text_id("c", "o_custkey").alias("source"), text_id("s", "l_suppkey").alias("target")).distinct()
+    edges = Workspace(spark).keep(edges)
     ends = edges.select("repo", F.explode(F.array("source", "target")).alias("id")).distinct()
     known = c.select(text_id("c", "c_custkey").alias("id"), text_id("n", "c_nationkey").alias("file"), F.col("c_acctbal").alias("score")).unionByName(
         s.select(text_id("s", "s_suppkey").alias("id"), text_id("n", "s_nationkey").alias("file"), F.col("s_acctbal").alias("score"))
@@ -36,6 +38,26 @@ def detail_clusters(spark, sf_dir):
     return clustering.cluster_by_connectivity(nodes, edges, scores, LEVEL).groupBy("repo").agg(F.countDistinct("cluster_id").alias("n_clusters"))
 
 
+def _ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph for each market segment: a customer's orders call the next one by date, and a hub a customer calls all of them, by edges that are heavier and close circles."""
+    from pyspark.sql import Window
+
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("repo"))
+    o = table(spark, sf_dir, "orders").join(segments, "o_custkey").withColumn("id", text_id("o", "o_orderkey")).withColumn("hub", text_id("c", "o_custkey"))
+    following = F.lead("id").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = o.select("repo", F.col("id").alias("source"), following.alias("target")).where("target is not null").unionByName(o.select("repo", F.col("hub").alias("source"), F.col("id").alias("target")))
+    hubs = o.select("repo", F.col("hub").alias("id"), F.lit(None).cast("string").alias("file"), (F.col("o_custkey") + 1e7).alias("score")).distinct()
+    nodes = o.select("repo", "id", F.col("o_orderpriority").alias("file"), F.col("o_totalprice").cast("double").alias("score")).unionByName(hubs)
+    return nodes.select("repo", "id", "file"), edges, nodes.select("repo", "id", "score")
+
+
+def detail_levels(spark, sf_dir):
+    """The assignment at nine levels from one merge tree."""
+    nodes, edges, scores = _ledgers(spark, sf_dir)
+    tree = forests.merge_tree(forests.minimum_spanning_forest(clustering.edge_weights(nodes, edges, scores)))
+    return clustering.cluster_levels(nodes, tree, [k / 10 for k in range(1, 10)])
+
+
 def graph_components(spark, sf_dir):
     """On the orders of one day's customers and suppliers: a graph of many components."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
@@ -330,7 +352,7 @@ def feed_replaced(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    forest_sizes, detail_clusters, graph_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
+    forest_sizes, detail_clusters, detail_levels, graph_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
     ego_links, cluster_labels, view_filters, visible_links, file_rollup, class_rollup, folder_tree, folder_pages, folder_siblings, parsed_status, parsed_diff, parsed_blame, introduced, attributed_changes,
     library_first_seen, snapshot_counts, edge_growth, brand_centroids, file_circles, folder_boxes, feed_debounce, feed_status, feed_first_seen, feed_edges, feed_routes, feed_replaced,
 )}

@@ -108,3 +108,14 @@ SELECT repo, file AS cluster_id, top || CASE WHEN n > 1 THEN ' +' || (n - 1) ELS
 ORACLE_SQL["detail_view"] = TRADE + _LIBS + """, deg AS (SELECT n.id, COUNT(e.id) AS d FROM own n LEFT JOIN (SELECT source AS id FROM calls WHERE target NOT LIKE 'r%' UNION ALL SELECT target FROM calls WHERE target NOT LIKE 'r%') e ON e.id = n.id GROUP BY n.id)
 SELECT id, id AS label, round(greatest(6, 6 + sqrt(d) * 2.5), 6) AS size, id IN (SELECT target FROM all_calls WHERE source = '::MAIN::0') AS is_entry, false AS is_library FROM deg
 UNION ALL SELECT id, id, 6, NULL, true FROM nodes WHERE id LIKE 'r%' UNION ALL SELECT source, target, NULL, NULL, target LIKE 'r%' FROM calls"""
+ORACLE_SQL["detail_levels"] = """WITH o AS (SELECT c_mktsegment AS repo, o_custkey AS c, 'o' || o_orderkey AS id, o_orderpriority AS f, o_totalprice::DOUBLE AS s, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+chain AS (SELECT a.repo, a.c, b.i, a.id AS source, b.id AS target, (a.s + b.s) - CASE WHEN a.f = b.f THEN 0.05 ELSE 0.0 END::DOUBLE AS w, true AS chained FROM o a JOIN o b ON a.c = b.c AND b.i = a.i + 1),
+hub AS (SELECT repo, c, i, 'c' || c AS source, id AS target, (c::DOUBLE + 1e7::DOUBLE) + s AS w, false AS chained FROM o QUALIFY ROW_NUMBER() OVER (PARTITION BY c ORDER BY (c::DOUBLE + 1e7::DOUBLE) + s, id) = 1),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo ORDER BY w, source, target) - 1 AS place FROM (FROM chain UNION ALL FROM hub)),
+sizes AS (SELECT repo, COUNT(*) + COUNT(DISTINCT c) AS n FROM o GROUP BY repo),
+asked AS (SELECT repo, level, floor(((0.999::DOUBLE - level) / (0.999::DOUBLE - 0.001::DOUBLE)) * (n - 1)) AS k FROM sizes, (SELECT UNNEST([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS level)),
+runs AS (SELECT o.repo, level, o.c, o.id, o.i, SUM(CASE WHEN p.place < k THEN 0 ELSE 1 END) OVER (PARTITION BY level, o.c ORDER BY o.i) AS run FROM o JOIN asked USING (repo) LEFT JOIN placed p ON p.c = o.c AND p.i = o.i AND p.chained),
+members AS (SELECT repo, level, c, id, run FROM runs UNION ALL
+  SELECT r.repo, r.level, r.c, p.source, CASE WHEN p.place < k THEN run ELSE 0 END FROM placed p JOIN runs r ON r.c = p.c AND r.i = p.i JOIN asked a ON a.repo = r.repo AND a.level = r.level WHERE NOT p.chained)
+SELECT repo, level, id, MIN(id) OVER (PARTITION BY level, c, run) AS cluster_id FROM members"""
