@@ -31,12 +31,17 @@ def name_index(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("repo", "language", "name").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def resolve_calls(definitions: DataFrame, calls: DataFrame, resolve_this: bool = False) -> DataFrame:
-    """(repo, source, target): each call to every definition of its name in the language; f() counts, and x.f() where x is the object itself."""
+def resolvable(calls: DataFrame, resolve_this: bool = False) -> DataFrame:
+    """The calls that may mean a definition: f(), and x.f() where x is the object itself."""
     own = (F.col("language") == "python") & F.col("obj").isin(*SELF)
     if resolve_this:
         own = own | ((F.col("language") != "python") & (F.col("obj") == "this"))
-    wanted = calls.where((F.col("kind") == "bare") | ((F.col("kind") == "attr") & own)).select("repo", "language", F.col("caller_id").alias("source"), "name").distinct()
+    return calls.where((F.col("kind") == "bare") | ((F.col("kind") == "attr") & own))
+
+
+def resolve_calls(definitions: DataFrame, calls: DataFrame, resolve_this: bool = False) -> DataFrame:
+    """(repo, source, target): each call to every definition of its name in the language."""
+    wanted = resolvable(calls, resolve_this).select("repo", "language", F.col("caller_id").alias("source"), "name").distinct()
     targets = definitions.select("repo", "language", "name", F.col("id").alias("target"))
     return wanted.join(targets, ["repo", "language", "name"]).where("source <> target").select("repo", "source", "target").distinct()
 

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sourceloom.plans import code_queries, detail_queries, detail_sql, queries, queries_sql
+from sourceloom.plans import code_queries, detail_queries, detail_sql, queries, queries_sql, stream_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**queries.QUERIES, **detail_queries.QUERIES, **code_queries.QUERIES}
-SQL = {**queries_sql.ORACLE_SQL, **detail_sql.ORACLE_SQL, **code_queries.ORACLE_SQL}
+QUERIES = {**queries.QUERIES, **detail_queries.QUERIES, **code_queries.QUERIES, **stream_queries.QUERIES}
+SQL = {**queries_sql.ORACLE_SQL, **detail_sql.ORACLE_SQL, **code_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL}
 
 
 def test_all_queries_have_sql():
