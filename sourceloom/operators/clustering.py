@@ -138,21 +138,36 @@ def node_size(degree: Column) -> Column:
     return F.greatest(F.lit(6.0), 6 + F.sqrt(degree.cast("double")) * 2.5)
 
 
-def cluster_nodes(assignment: DataFrame, nodes: DataFrame, edges: DataFrame, scores: DataFrame, level: float, structural: DataFrame | None = None) -> DataFrame:
-    """(repo, id, label, n, size, is_cluster, is_synthetic, file, line, language, class_name, is_entry): one row a cluster; the member's fields where it has one member only."""
+def cluster_nodes(assignment: DataFrame, nodes: DataFrame, edges: DataFrame, scores: DataFrame, level: float, structural: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """(repo, id, label, n, size, is_cluster, is_synthetic, file, line, language, class_name, is_entry): one row a cluster; the member's fields where it has one member only.
+
+    A cluster of more than one member among ``expanded`` (repo, cluster_id) is shown as its members instead, each by its own name.
+    """
     names = cluster_names(assignment, nodes, scores, level, structural)
     entries = edges.where(F.col("source") == MAIN).select("repo", F.col("target").alias("id")).distinct().withColumn("is_entry", F.lit(True))
     columns = [c if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in ("file", "line", "language", "class_name")]
-    members = assignment.join(nodes.select("repo", "id", *columns), ["repo", "id"]).join(measures.degrees(nodes, edges), ["repo", "id"]).join(entries, ["repo", "id"], "left")
+    members = assignment.join(nodes.select("repo", "id", "name", *columns), ["repo", "id"]).join(measures.degrees(nodes, edges), ["repo", "id"]).join(entries, ["repo", "id"], "left")
+    members = members.join(_open_clusters(assignment, expanded), ["repo", "cluster_id"], "left") if expanded is not None else members.withColumn("open", F.lit(None).cast("boolean"))
+    opened = members.where("open").select(
+        "repo", "id", F.col("name").alias("label"), F.lit(1).cast("long").alias("n"), node_size(F.col("degree")).alias("size"), F.lit(False).alias("is_cluster"), F.lit(False).alias("is_synthetic"),
+        "file", "line", "language", "class_name", F.coalesce("is_entry", F.lit(False)).alias("is_entry"),
+    )
     one = lambda c: F.first(c).alias(c)
-    rows = members.groupBy("repo", "cluster_id").agg(F.count(F.lit(1)).alias("m"), *(one(c) for c in ("file", "line", "language", "class_name", "is_entry", "degree")))
+    rows = members.where("open is null").groupBy("repo", "cluster_id").agg(F.count(F.lit(1)).alias("m"), *(one(c) for c in ("file", "line", "language", "class_name", "is_entry", "degree")))
     rows = rows.join(names, ["repo", "cluster_id"])
     single = F.col("m") == 1
     only = lambda c: F.when(single, F.col(c)).alias(c)
     synthetic = F.lit(level <= NONE)
     size = F.when(single, node_size(F.col("degree"))).otherwise(36 * F.greatest(F.lit(1.0), F.log2(F.col("m") + 1)))
-    return rows.select("repo", F.col("cluster_id").alias("id"), "label", F.col("m").alias("n"), size.alias("size"), ((F.col("m") > 1) & ~synthetic).alias("is_cluster"), synthetic.alias("is_synthetic"),
-                       only("file"), only("line"), only("language"), only("class_name"), (single & F.coalesce("is_entry", F.lit(False))).alias("is_entry"))
+    closed = rows.select("repo", F.col("cluster_id").alias("id"), "label", F.col("m").alias("n"), size.alias("size"), ((F.col("m") > 1) & ~synthetic).alias("is_cluster"), synthetic.alias("is_synthetic"),
+                         only("file"), only("line"), only("language"), only("class_name"), (single & F.coalesce("is_entry", F.lit(False))).alias("is_entry"))
+    return closed.unionByName(opened)
+
+
+def _open_clusters(assignment: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(repo, cluster_id, open) of the expanded clusters that have more than one member."""
+    many = assignment.groupBy("repo", "cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return many.join(expanded.select("repo", "cluster_id"), ["repo", "cluster_id"], "left_semi").select("repo", "cluster_id", F.lit(True).alias("open"))
 
 
 def group_libraries(libraries: DataFrame, level: float, expanded: DataFrame | None = None) -> DataFrame:
@@ -176,20 +191,26 @@ def reroute_library_edges(edges: DataFrame, shown: DataFrame, rendered: DataFram
     return rows.select("repo", F.coalesce("rendered", "source").alias("source"), F.col("to").alias("target")).distinct()
 
 
-def detail_view(nodes: DataFrame, edges: DataFrame, level: float, mode: str = "connectivity", libraries: bool = True) -> tuple[DataFrame, DataFrame]:
-    """View nodes (repo, id, label, n, size, ...) and edges (repo, source, target, is_library) of a graph with ``is_library`` columns, at a level of detail."""
+def detail_view(
+    nodes: DataFrame, edges: DataFrame, level: float, mode: str = "connectivity", libraries: bool = True,
+    expanded: DataFrame | None = None, packages: DataFrame | None = None, scores: DataFrame | None = None, tree: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """View nodes (repo, id, label, n, size, ...) and edges (repo, source, target, is_library) of a graph with ``is_library`` columns, at a level of detail.
+
+    ``expanded`` (repo, cluster_id) and ``packages`` (repo, library_name) are the clusters and library packages that are shown open. Scores and the merge tree are made where they are not given; keep them to move between levels.
+    """
     own, calls = measures.project_subgraph(nodes, edges)
-    scores = measures.importance(own, calls)
+    scores = measures.importance(own, calls) if scores is None else scores
     structural = None
     if mode == "connectivity":
-        assignment = cluster_by_connectivity(own, calls, scores, level)
+        assignment = cluster_by_connectivity(own, calls, scores, level, tree)
     else:
         assignment, structural = cluster_by_structure(own, mode, level)
-    shown = cluster_nodes(assignment, own, calls, scores, level, structural).withColumn("is_library", F.lit(False))
-    rendered = assignment.select("repo", "id", F.col("cluster_id").alias("rendered"))
+    shown = cluster_nodes(assignment, own, calls, scores, level, structural, expanded).withColumn("is_library", F.lit(False))
+    rendered = assignment.select("repo", "id", F.col("cluster_id").alias("rendered")) if expanded is None else grouping.rendered_ids(assignment, expanded)
     links = grouping.quotient_edges(calls, rendered).select("repo", "source", "target").withColumn("is_library", F.lit(False))
     if libraries:
-        packages = group_libraries(nodes.where("is_library"), level)
-        shown = shown.unionByName(packages.drop("node").distinct().withColumn("is_library", F.lit(True)), allowMissingColumns=True)
-        links = links.unionByName(reroute_library_edges(edges.where("is_library"), packages, rendered).withColumn("is_library", F.lit(True)))
+        shelf = group_libraries(nodes.where("is_library"), level, packages)
+        shown = shown.unionByName(shelf.drop("node").distinct().withColumn("is_library", F.lit(True)), allowMissingColumns=True)
+        links = links.unionByName(reroute_library_edges(edges.where("is_library"), shelf, rendered).withColumn("is_library", F.lit(True)))
     return shown, links

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.plans.durable import Workspace, cut
+from sourceloom.plans.durable import Workspace
 
 MAIN = "::MAIN::0"
 FOLD = 16
@@ -34,52 +36,80 @@ def in_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("repo", "id").join(found, ["repo", "id"], "left").fillna(0, ["in_degree"])
 
 
+def _anchors(calls: DataFrame, ids: DataFrame, entries: DataFrame, work: Workspace) -> DataFrame:
+    """(repo, id, up, steps, settled): the first node at or above each one that is an entry or has not exactly one caller, and how many calls lead down from it.
+
+    A node with one caller is one step deeper than that caller, whatever else there is, so trees and paths of such nodes hang on their anchors. Three doublings of the pointers a table find them;
+    what is not settled after as many steps as there are nodes lies on or below a circle that nothing enters.
+    """
+    caller = calls.groupBy("repo", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("caller")).where("n = 1")
+    alone = ids.join(caller, ["repo", "id"], "left").join(entries.withColumn("entry", F.lit(True)), ["repo", "id"], "left")
+    hangs = F.col("caller").isNotNull() & F.col("entry").isNull()
+    state = work.keep(alone.select("repo", "id", F.when(hangs, F.col("caller")).otherwise(F.col("id")).alias("up"), F.when(hangs, 1).otherwise(0).cast("long").alias("steps"), (~hangs).alias("settled")))
+    total, reach = None, 1
+    while not state.where("not settled").isEmpty():
+        total = state.count() if total is None else total
+        if reach > total:
+            break
+        rows = state.select("repo", "id", "up", "steps")
+        for _ in range(3):
+            above = rows.select("repo", F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+            rows = rows.join(above, ["repo", "up"]).select("repo", "id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        tops = state.where("id = up").select("repo", F.col("id").alias("up"), F.lit(True).alias("top"))
+        old, state = state, work.keep(rows.join(tops, ["repo", "up"], "left").select("repo", "id", "up", "steps", F.coalesce("top", F.lit(False)).alias("settled")))
+        work.drop(old)
+        reach *= 8
+    return state
+
+
 def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, id, depth, max_depth): steps from the entry points; what they do not reach gets one more than the repo's depth (at least 2).
 
-    Each level joins the newest nodes with the calls and marks what they reach among the nodes not reached yet, a table that shrinks; one table a
-    level is written to the shared folder, and the levels are folded together every ``FOLD`` of them. The walk ends when a level reaches nothing.
+    Nodes with one caller are contracted to their anchors first, and the calls between anchors weigh the steps that they stand for, so a chain costs the logarithm of its length. Then each round
+    relaxes the calls of the anchors that the last one brought nearer; a round is one table, and the tables are folded every ``FOLD`` of them. The walk ends when a round brings none nearer.
     """
     work = Workspace(nodes.sparkSession)
-    ids = nodes.where(F.col("id") != MAIN).select("repo", "id").distinct()
-    calls = work.keep(_calls(edges).select("repo", F.col("source").alias("id"), "target").distinct())
-    entries = edges.where(F.col("source") == MAIN).select("repo", F.col("target").alias("id"), F.lit(True).alias("found")).distinct()
-    state = work.keep(ids.join(entries, ["repo", "id"], "left").select("repo", "id", F.coalesce("found", F.lit(False)).alias("found")))
-    seen, level, fresh = None, 0, []
-    while True:
-        front = state.where("found").select("repo", "id")
-        if front.isEmpty():
-            break
-        rows = front.withColumn("depth", F.lit(level))
-        seen = rows if seen is None else seen.unionByName(rows)
-        fresh.append(state)
-        reached = front.join(calls, ["repo", "id"]).select("repo", F.col("target").alias("id"), F.lit(True).alias("hit")).distinct()
-        state = work.keep(state.where("not found").select("repo", "id").join(reached, ["repo", "id"], "left").select("repo", "id", F.coalesce("hit", F.lit(False)).alias("found")))
-        level += 1
-        if level % FOLD == 0:
-            seen = work.keep(seen)
-            work.drop(*fresh)
-            fresh = [seen]
-    rest = state.select("repo", "id")
-    if seen is None:
-        return rest.select("repo", "id", F.lit(2).alias("depth"), F.lit(1).alias("max_depth"))
-    deepest = seen.groupBy("repo").agg(F.greatest(F.lit(1), F.max("depth")).alias("max_depth"))
-    out = seen.unionByName(rest.withColumn("depth", F.lit(None).cast("int"))).join(deepest, "repo", "left")
-    m = F.coalesce("max_depth", F.lit(1))
-    return out.select("repo", "id", F.coalesce("depth", m + 1).alias("depth"), m.alias("max_depth"))
+    ids = work.keep(nodes.where(F.col("id") != MAIN).select("repo", "id").distinct())
+    calls = _calls(edges).select("repo", "source", "target").where("source <> target").distinct()
+    for end in ("source", "target"):
+        calls = calls.join(ids.withColumnRenamed("id", end), ["repo", end], "left_semi")
+    calls = work.keep(calls.select("repo", "source", "target"))
+    entries = work.keep(edges.where(F.col("source") == MAIN).select("repo", F.col("target").alias("id")).distinct().join(ids, ["repo", "id"], "left_semi"))
+    state = _anchors(calls, ids, entries, work)
+    below = state.where("settled").select("repo", F.col("id").alias("source"), F.col("up").alias("anchor"), "steps")
+    joints = state.where("id = up").select("repo", F.col("id").alias("target")).join(entries.withColumnRenamed("id", "target"), ["repo", "target"], "left_anti")
+    links = calls.join(joints, ["repo", "target"], "left_semi").join(below, ["repo", "source"]).groupBy("repo", "anchor", "target").agg((F.min("steps") + 1).alias("weight"))
+    links = work.keep(links)
+    layers = [work.keep(entries.select("repo", "id", F.lit(0).cast("long").alias("depth")))]
+    nearest = lambda: reduce(DataFrame.unionByName, layers).groupBy("repo", "id").agg(F.min("depth").alias("depth"))
+    while not layers[-1].isEmpty():
+        front = layers[-1].select("repo", F.col("id").alias("anchor"), "depth")
+        reached = front.join(links, ["repo", "anchor"]).groupBy("repo", F.col("target").alias("id")).agg(F.min(F.col("depth") + F.col("weight")).alias("depth"))
+        known = nearest().select("repo", "id", F.col("depth").alias("was"))
+        fresh = work.keep(reached.join(known, ["repo", "id"], "left").where("was is null or depth < was").select("repo", "id", "depth"))
+        if len(layers) == FOLD:
+            old, layers = layers, [work.keep(nearest())]
+            work.drop(*old)
+        layers.append(fresh)
+    at = nearest().select("repo", F.col("id").alias("up"), F.col("depth").alias("base"))
+    found = work.keep(state.join(at, ["repo", "up"], "left").select("repo", "id", (F.col("base") + F.col("steps")).cast("int").alias("depth")))
+    work.drop(*layers, links, state, entries, calls, ids)
+    deepest = found.groupBy("repo").agg(F.greatest(F.lit(1), F.max("depth")).alias("max_depth"))
+    return found.join(deepest, "repo").select("repo", "id", F.coalesce("depth", F.col("max_depth") + 1).alias("depth"), "max_depth")
 
 
 def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, id, score): 0.4 for closeness to entry points and 0.6 for calls received, each relative to the repo; MAIN has 0."""
+    work = Workspace(nodes.sparkSession)
+    nodes, edges = work.keep(nodes.select("repo", "id")), work.keep(edges.select("repo", "source", "target"))
     depth, calls = bfs_depth(nodes, edges), in_degrees(nodes, edges)
     has_entry = edges.where(F.col("source") == MAIN).select("repo").distinct().withColumn("has_entry", F.lit(True))
-    both = cut(calls.where(F.col("id") != MAIN).join(depth, ["repo", "id"]))
+    both = work.keep(calls.where(F.col("id") != MAIN).join(depth, ["repo", "id"]).join(has_entry, "repo", "left"))
     most = both.groupBy("repo").agg(F.greatest(F.lit(1), F.max("in_degree")).alias("most"))
-    rows = both.join(most, "repo").join(has_entry, "repo", "left")
     near = 0.4 * (1 - F.least("depth", F.col("max_depth") + 1) / (F.col("max_depth") + 1))
     score = F.when(F.col("has_entry"), near).otherwise(F.lit(0.0)) + 0.6 * (F.col("in_degree") / F.col("most"))
     main = nodes.where(F.col("id") == MAIN).select("repo", "id", F.lit(0.0).alias("score"))
-    return rows.select("repo", "id", score.alias("score")).unionByName(main)
+    return both.join(most, "repo").select("repo", "id", score.alias("score")).unionByName(main)
 
 
 def connected_nodes(view_nodes: DataFrame, view_edges: DataFrame) -> DataFrame:

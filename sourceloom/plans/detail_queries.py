@@ -58,8 +58,24 @@ def detail_levels(spark, sf_dir):
     return clustering.cluster_levels(nodes, tree, [k / 10 for k in range(1, 10)])
 
 
+def detail_expanded(spark, sf_dir):
+    """A view of the ledgers at level 0.4 with some clusters and one library package open: every order uses a library of its status, packaged by its priority."""
+    nodes, edges, scores = _ledgers(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    used = o.select(F.col("c_mktsegment").alias("repo"), text_id("o", "o_orderkey").alias("source"), F.concat_ws("::", F.lit("library"), "o_orderpriority", "o_orderstatus").alias("target"), F.col("o_orderpriority").alias("library_name"), F.col("o_orderstatus").alias("name"))
+    shelf = used.select("repo", F.col("target").alias("id"), "name", F.lit(None).cast("string").alias("file"), F.lit("python").alias("language"), F.lit(True).alias("is_library"), "library_name").distinct()
+    all_nodes = nodes.withColumn("name", F.upper("id")).withColumn("is_library", F.lit(False)).unionByName(shelf, allowMissingColumns=True)
+    all_edges = edges.withColumn("is_library", F.lit(False)).unionByName(used.select("repo", "source", "target", F.lit(True).alias("is_library")))
+    expanded = nodes.where("id like '%7'").select("repo", F.col("id").alias("cluster_id"))
+    packages = shelf.where("library_name like '1%'").select("repo", "library_name")
+    shown, links = clustering.detail_view(all_nodes, all_edges, LEVEL, expanded=expanded, packages=packages, scores=scores)
+    rows = shown.select("repo", "id", "label", F.round("size", 6).alias("size"), "n", "is_library")
+    none = F.lit(None).cast("double")
+    return rows.unionByName(links.select("repo", F.col("source").alias("id"), F.col("target").alias("label"), none.alias("size"), F.lit(0).cast("long").alias("n"), "is_library"))
+
+
 def graph_components(spark, sf_dir):
-    """On the orders of one day's customers and suppliers: a graph of many components."""
+    """Customers and the parts of their first order's first line: a graph of many components."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     first = orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("k"))
     calls = items.join(first, F.col("l_orderkey") == F.col("k")).where("l_linenumber = 1")
@@ -68,6 +84,20 @@ def graph_components(spark, sf_dir):
     return components.connected_components(nodes, edges).drop("repo")
 
 
+def trade_components(spark, sf_dir):
+    """All orders and lines: an order holds its lines' parts, and its customer and suppliers; regions stand alone."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    end = lambda mark, key: text_id(mark, key)
+    shop = F.lit("shop").alias("repo")
+    edges = items.select(shop, end("o", "l_orderkey").alias("source"), end("p", "l_partkey").alias("target")).unionByName(items.select(shop, end("o", "l_orderkey").alias("source"), end("s", "l_suppkey").alias("target"))).unionByName(orders.select(shop, end("o", "o_orderkey").alias("source"), end("c", "o_custkey").alias("target")))
+    tables = (("orders", "o", "o_orderkey"), ("part", "p", "p_partkey"), ("supplier", "s", "s_suppkey"), ("customer", "c", "c_custkey"), ("region", "r", "r_regionkey"))
+    nodes = None
+    for name, mark, key in tables:
+        rows = table(spark, sf_dir, name).select(shop, end(mark, key).alias("id"))
+        nodes = rows if nodes is None else nodes.unionByName(rows)
+    return components.connected_components(nodes, edges).drop("repo")
+
+
 def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each customer's orders call the next one by date; MAIN calls the first ones: as deep as a customer has orders."""
     from pyspark.sql import Window
@@ -352,7 +382,7 @@ def feed_replaced(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    forest_sizes, detail_clusters, detail_levels, graph_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
+    forest_sizes, detail_clusters, detail_levels, detail_expanded, graph_components, trade_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
     ego_links, cluster_labels, view_filters, visible_links, file_rollup, class_rollup, folder_tree, folder_pages, folder_siblings, parsed_status, parsed_diff, parsed_blame, introduced, attributed_changes,
     library_first_seen, snapshot_counts, edge_growth, brand_centroids, file_circles, folder_boxes, feed_debounce, feed_status, feed_first_seen, feed_edges, feed_routes, feed_replaced,
 )}

@@ -108,7 +108,7 @@ SELECT repo, file AS cluster_id, top || CASE WHEN n > 1 THEN ' +' || (n - 1) ELS
 ORACLE_SQL["detail_view"] = TRADE + _LIBS + """, deg AS (SELECT n.id, COUNT(e.id) AS d FROM own n LEFT JOIN (SELECT source AS id FROM calls WHERE target NOT LIKE 'r%' UNION ALL SELECT target FROM calls WHERE target NOT LIKE 'r%') e ON e.id = n.id GROUP BY n.id)
 SELECT id, id AS label, round(greatest(6, 6 + sqrt(d) * 2.5), 6) AS size, id IN (SELECT target FROM all_calls WHERE source = '::MAIN::0') AS is_entry, false AS is_library FROM deg
 UNION ALL SELECT id, id, 6, NULL, true FROM nodes WHERE id LIKE 'r%' UNION ALL SELECT source, target, NULL, NULL, target LIKE 'r%' FROM calls"""
-ORACLE_SQL["detail_levels"] = """WITH o AS (SELECT c_mktsegment AS repo, o_custkey AS c, 'o' || o_orderkey AS id, o_orderpriority AS f, o_totalprice::DOUBLE AS s, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i
+_LEDGERS = """WITH o AS (SELECT c_mktsegment AS repo, o_custkey AS c, 'o' || o_orderkey AS id, o_orderpriority AS f, o_totalprice::DOUBLE AS s, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i
   FROM orders JOIN customer ON c_custkey = o_custkey),
 chain AS (SELECT a.repo, a.c, b.i, a.id AS source, b.id AS target, (a.s + b.s) - CASE WHEN a.f = b.f THEN 0.05 ELSE 0.0 END::DOUBLE AS w, true AS chained FROM o a JOIN o b ON a.c = b.c AND b.i = a.i + 1),
 hub AS (SELECT repo, c, i, 'c' || c AS source, id AS target, (c::DOUBLE + 1e7::DOUBLE) + s AS w, false AS chained FROM o QUALIFY ROW_NUMBER() OVER (PARTITION BY c ORDER BY (c::DOUBLE + 1e7::DOUBLE) + s, id) = 1),
@@ -117,5 +117,26 @@ sizes AS (SELECT repo, COUNT(*) + COUNT(DISTINCT c) AS n FROM o GROUP BY repo),
 asked AS (SELECT repo, level, floor(((0.999::DOUBLE - level) / (0.999::DOUBLE - 0.001::DOUBLE)) * (n - 1)) AS k FROM sizes, (SELECT UNNEST([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS level)),
 runs AS (SELECT o.repo, level, o.c, o.id, o.i, SUM(CASE WHEN p.place < k THEN 0 ELSE 1 END) OVER (PARTITION BY level, o.c ORDER BY o.i) AS run FROM o JOIN asked USING (repo) LEFT JOIN placed p ON p.c = o.c AND p.i = o.i AND p.chained),
 members AS (SELECT repo, level, c, id, run FROM runs UNION ALL
-  SELECT r.repo, r.level, r.c, p.source, CASE WHEN p.place < k THEN run ELSE 0 END FROM placed p JOIN runs r ON r.c = p.c AND r.i = p.i JOIN asked a ON a.repo = r.repo AND a.level = r.level WHERE NOT p.chained)
-SELECT repo, level, id, MIN(id) OVER (PARTITION BY level, c, run) AS cluster_id FROM members"""
+  SELECT r.repo, r.level, r.c, p.source, CASE WHEN p.place < k THEN run ELSE 0 END FROM placed p JOIN runs r ON r.c = p.c AND r.i = p.i JOIN asked a ON a.repo = r.repo AND a.level = r.level WHERE NOT p.chained),
+cut AS (SELECT repo, level, c, id, MIN(id) OVER (PARTITION BY level, c, run) AS cluster_id FROM members)
+"""
+ORACLE_SQL["detail_levels"] = _LEDGERS + "SELECT repo, level, id, cluster_id FROM cut"
+ORACLE_SQL["detail_expanded"] = _LEDGERS + """, known AS (SELECT id, s AS score, i, c FROM o UNION ALL SELECT DISTINCT 'c' || c, c::DOUBLE + 1e7::DOUBLE, NULL, c FROM o),
+edges AS (SELECT repo, source, target FROM chain UNION ALL SELECT repo, 'c' || c, id FROM o),
+deg AS (SELECT id, COUNT(*) AS d FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id),
+a AS (SELECT repo, id, cluster_id, COUNT(*) OVER g AS n, score, d, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) AS place, cluster_id LIKE '%7' AND COUNT(*) OVER g > 1 AS open
+  FROM cut JOIN known USING (id) JOIN deg USING (id) WHERE level = 0.4::DOUBLE WINDOW g AS (PARTITION BY cluster_id)),
+r AS (SELECT repo, id, CASE WHEN open THEN id ELSE cluster_id END AS rendered FROM a),
+used AS (SELECT c_mktsegment AS repo, 'o' || o_orderkey AS source, o_orderpriority AS lib, o_orderstatus AS fn FROM orders JOIN customer ON o_custkey = c_custkey),
+libs AS (SELECT repo, lib, COUNT(DISTINCT fn) AS n FROM used GROUP BY repo, lib),
+shelf AS (SELECT DISTINCT repo, lib, fn, CASE WHEN lib LIKE '1%' THEN 'library::' || lib || '::' || fn ELSE 'libcluster::' || lib END AS id FROM used)
+SELECT repo, CASE WHEN open THEN id ELSE cluster_id END AS id, CASE WHEN n > 1 AND NOT open THEN upper(id) || ' +' || (n - 1) ELSE upper(id) END AS label,
+  round(CASE WHEN n = 1 OR open THEN greatest(6, 6 + sqrt(d) * 2.5) ELSE 36 * greatest(1, log2(n + 1)) END, 6) AS size, CASE WHEN open THEN 1 ELSE n END AS n, false AS is_library FROM a WHERE open OR place = 1
+UNION ALL SELECT DISTINCT repo, s.id, CASE WHEN lib LIKE '1%' THEN fn ELSE lib || ' (' || n || ')' END, CASE WHEN lib LIKE '1%' THEN 6 ELSE 8 END, CASE WHEN lib LIKE '1%' THEN 1 ELSE n END, true FROM shelf s JOIN libs USING (repo, lib)
+UNION ALL SELECT DISTINCT e.repo, x.rendered, y.rendered, NULL, 0, false FROM edges e JOIN r x ON x.id = e.source JOIN r y ON y.id = e.target WHERE x.rendered <> y.rendered
+UNION ALL SELECT DISTINCT u.repo, rendered, s.id, NULL, 0, true FROM used u JOIN r ON r.id = u.source JOIN shelf s ON s.repo = u.repo AND s.lib = u.lib AND s.fn = u.fn"""
+ORACLE_SQL["trade_components"] = """WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+nodes AS (SELECT 'o' || o_orderkey AS id FROM orders UNION ALL SELECT 'p' || p_partkey FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 'r' || r_regionkey FROM region),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT u.id, MIN(v.comp) FROM recurring.cc u JOIN w ON w.a = u.id JOIN cc v ON v.id = w.b WHERE v.comp < u.comp GROUP BY u.id))
+SELECT id, comp AS cluster_id FROM cc"""

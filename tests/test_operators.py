@@ -172,6 +172,39 @@ def test_depth_of_a_long_chain_and_loops(spark):
     assert {(r.depth, r.max_depth) for r in empty.collect()} == {(2, 1)}
 
 
+def test_depth_of_random_graphs_equals_a_plain_walk(spark):
+    r = random.Random(12)
+    nodes, edges, want = [], [], {}
+    for case in range(60):
+        n, repo = r.randrange(2, 40), f"r{case}"
+        out = {k: {r.randrange(n) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))} for k in range(n)}
+        starts = {r.randrange(n) for _ in range(r.choice([0, 1, 2]))}
+        nodes += [(repo, f"i{k}") for k in range(n)]
+        edges += [(repo, f"i{a}", f"i{b}") for a, bs in out.items() for b in bs] + [(repo, "::MAIN::0", f"i{k}") for k in starts] + [(repo, "i0", "nowhere"), (repo, "nowhere", "i1")]
+        depth, front = dict.fromkeys(starts, 0), list(starts)
+        while front:
+            front = [b for a in front for b in out[a] if b not in depth and not depth.update({b: depth[a] + 1})]
+        most = max(1, *depth.values(), 1)
+        want |= {(repo, f"i{k}"): (depth.get(k, most + 1), most) for k in range(n)}
+    got = measures.bfs_depth(spark.createDataFrame(nodes, "repo string, id string"), spark.createDataFrame(edges, EDGE))
+    assert {(x.repo, x.id): (x.depth, x.max_depth) for x in got.collect()} == want
+
+
+def test_depth_of_ten_thousand_in_few_rounds(spark, monkeypatch):
+    from sourceloom.plans.durable import Workspace
+
+    tables, keep = [], Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df: tables.append(1) or keep(self, df))
+    n = 10_000
+    nodes = spark.range(n + 3).select(F.lit("r").alias("repo"), F.concat(F.lit("i"), "id").alias("id"))
+    chain = spark.range(n).select(F.lit("r").alias("repo"), F.concat(F.lit("i"), "id").alias("source"), F.concat(F.lit("i"), F.col("id") + 1).alias("target"))
+    more = spark.createDataFrame([("r", "::MAIN::0", "i0"), ("r", f"i{n + 1}", f"i{n + 2}"), ("r", f"i{n + 2}", f"i{n + 1}")], EDGE)
+    got = measures.bfs_depth(nodes, chain.unionByName(more))
+    assert got.where(F.col("id") == F.concat(F.lit("i"), "depth")).count() == n + 1
+    assert {x.depth for x in got.where(f"id in ('i{n + 1}', 'i{n + 2}')").collect()} == {n + 1}
+    assert len(tables) < 40
+
+
 def test_components_of_a_long_path(spark):
     n = 3000
     edges = spark.range(n).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(7, 7), (None, 3), (9001, 9002)], "a long, b long"))
