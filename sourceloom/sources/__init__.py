@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that a scan leaves out, by language, and extensions by language.
-SKIPPED = ("node_modules", "out", "dist")
-SKIPPED_PYTHON = ("__pycache__",)
-EXTENSIONS = (("python", r"\.py$"), ("typescript", r"(?<!\.d)\.tsx?$"), ("javascript", r"\.(?:js|jsx|mjs|cjs)$"))
+from sourceloom.sources.files import EXTENSIONS, SKIPPED, SKIPPED_PYTHON, CorpusSource, DocumentFiles
 
 GRAPH = (
     "nodes array<struct<id:string,name:string,file:string,line:int,language:string,isLibrary:boolean,libraryName:string,className:string,classExtends:string,classImplements:array<string>>>,"
     "edges array<struct<source:string,target:string,isLibraryEdge:boolean>>, files array<string>"
 )
-LAYOUT = "version int, name string, description string, savedAt string, settings map<string,string>, nodePositions map<string,struct<x:double,y:double>>, _corrupt_record string"
+LAYOUT = "version int, name string, description string, savedAt string, nodePositions map<string,struct<x:double,y:double>>, _corrupt_record string"
 
 
 def keep_sources(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -29,54 +22,16 @@ def keep_sources(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("language", language).where(F.col("language").isNotNull() & ~out)
 
 
-def _kept_files(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]:
-    """The root in full, and address and size of the files below it that the path rules may take; skipped folders are not listed. No content is read."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = store.makeQualified(top).toString().rstrip("/")
-    found, folders = [], [store.makeQualified(top)]
-    while folders:
-        for status in store.listStatus(folders.pop()):
-            name = status.getPath().getName()
-            if status.isDirectory():
-                if not name.startswith(".") and name not in SKIPPED:
-                    folders.append(status.getPath())
-            elif any(re.search(p, name) for _, p in EXTENSIONS):
-                found.append((status.getPath().toString(), status.getLen()))
-    return base, found
-
-
-def _read_hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The content of files whose names Spark's own sources hide."""
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            store, inner = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as stream:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stream.read()], pa.binary())], names=["path", "content"])
-
-
 def scan_corpus(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """(repo, path, language, text) of the source files below a folder, empty ones included.
+    """(repo, path, language, text, reason) of the source files below a folder, empty ones included, as ``CorpusSource`` reads them: tasks list folders and read files."""
+    spark.dataSource.register(CorpusSource)
+    return spark.read.format("source_corpus").option("repo", repo).load(root)
 
-    The driver lists names and sizes; Spark tasks read the files that the path rules take, and no others. Spark's sources hide names that begin with ``_``
-    and skip empty files, so those are read by address and written as empty. Bytes that are no UTF-8 are left out. Corpora of many millions of files are better kept as tables.
-    """
-    base, found = _kept_files(spark, root)
-    hidden = lambda p: p.rsplit("/", 1)[-1][0] in "_."
-    plain = [re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p, size in found if size and not hidden(p)]
-    rows = spark.createDataFrame([(p, b"") for p, size in found if not size], "path string, content binary")
-    if plain:
-        rows = rows.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content"))
-    rest = [(p,) for p, size in found if size and hidden(p)]
-    if rest:
-        rows = rows.unionByName(spark.createDataFrame(rest, "path string").repartition(max(1, len(rest) // 64)).mapInArrow(_read_hidden, "path string, content binary"))
-    raw = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "\ufffd", ""))
-    rows = rows.select(F.lit(repo).alias("repo"), F.expr(f"substring(path, {len(base) + 2})").alias("path"), text.alias("text"))
-    return keep_sources(rows).select("repo", "path", "language", "text")
+
+def write_documents(documents: DataFrame, folder: str, mode: str = "append") -> None:
+    """(file, text) as files below a folder; they appear together once all are written."""
+    documents.sparkSession.dataSource.register(DocumentFiles)
+    documents.select("file", "text").write.format("document_files").mode(mode).save(folder)
 
 
 def read_graph_json(spark: SparkSession, path: str, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,10 +52,10 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def parse_layouts(texts: DataFrame) -> DataFrame:
-    """(file, name, description, saved_at, node_positions) from (file, text); broken documents go, a missing name is the file's."""
-    rows = texts.select("file", F.from_json("text", LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).where("d is not null and d._corrupt_record is null")
+    """(file, name, description, saved_at, node_positions, settings) from (file, text); broken documents go, a missing name is the file's, and settings stay JSON text."""
+    rows = texts.select("file", F.from_json("text", LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.get_json_object("text", "$.settings").alias("settings")).where("d is not null and d._corrupt_record is null")
     name = F.coalesce("d.name", F.regexp_replace("file", r"\.json$", ""))
-    return rows.select("file", name.alias("name"), F.coalesce("d.description", F.lit("")).alias("description"), F.coalesce("d.savedAt", F.lit("")).alias("saved_at"), F.col("d.nodePositions").alias("node_positions"))
+    return rows.select("file", name.alias("name"), F.coalesce("d.description", F.lit("")).alias("description"), F.coalesce("d.savedAt", F.lit("")).alias("saved_at"), F.col("d.nodePositions").alias("node_positions"), "settings")
 
 
 def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,23 +64,31 @@ def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
     return parse_layouts(texts).orderBy("file")
 
 
-def layout_file(name):
+def layout_file(name: Column) -> Column:
     """The file name of a layout: letters, digits, ``_``, ``-`` and blanks stay."""
     return F.concat(F.regexp_replace(name, r"[^a-zA-Z0-9_\- ]", "_"), F.lit(".json"))
 
 
 def layout_documents(layouts: DataFrame, positions: DataFrame) -> DataFrame:
-    """(file, text) of layouts (name, saved_at) and their positions (name, id, x, y)."""
+    """(file, text) of layouts (name, saved_at, and if there are any description and settings, JSON text) and their positions (name, id, x, y).
+
+    Of layouts whose names give one file the one saved last stays, of those the one of the larger name. A position without both numbers is left out.
+    """
     places = positions.where("x is not null and y is not null").groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("x", "y"))))).alias("nodePositions"))
-    rows = layouts.join(places, "name", "left")
-    doc = F.to_json(F.struct(F.lit(1).alias("version"), "name", F.lit("").alias("description"), F.col("saved_at").alias("savedAt"), F.coalesce("nodePositions", F.create_map().cast("map<string,struct<x:double,y:double>>")).alias("nodePositions")))
-    return rows.select(layout_file(F.col("name")).alias("file"), doc.alias("text"))
+    given = lambda c, other: F.col(c) if c in layouts.columns else other
+    rows = layouts.select("name", "saved_at", given("description", F.lit("")).alias("description"), given("settings", F.lit(None).cast("string")).alias("settings"), layout_file(F.col("name")).alias("file"))
+    last = rows.groupBy("file").agg(F.max_by(F.struct("name", "saved_at", "description", "settings"), F.struct("saved_at", "name")).alias("l")).select("file", "l.*")
+    known = last.join(places, "name", "left")
+    doc = F.struct(
+        F.lit(1).alias("version"), "name", F.coalesce("description", F.lit("")).alias("description"), F.col("saved_at").alias("savedAt"), F.try_parse_json(F.col("settings")).alias("settings"),
+        F.coalesce("nodePositions", F.create_map().cast("map<string,struct<x:double,y:double>>")).alias("nodePositions"),
+    )
+    return known.select("file", F.to_json(doc).alias("text"))
 
 
 def write_layouts(layouts: DataFrame, positions: DataFrame, folder: str) -> None:
-    """Layout documents as text files, one folder a layout; a layout of the same file name is replaced."""
-    rows = layout_documents(layouts, positions)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(folder)
+    """One JSON document a layout, over the one of the same file name."""
+    write_documents(layout_documents(layouts, positions), folder)
 
 
 def search_layouts(layouts: DataFrame, query: str) -> DataFrame:

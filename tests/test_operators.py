@@ -267,6 +267,9 @@ def test_corpus_scan_and_graph_documents(spark, tmp_path):
         (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "src" / path).write_bytes(text.encode() + (b"\xff" if path == "a%20b.mjs" else b""))
     got = sources.scan_corpus(spark, str(tmp_path / "src"), "r").collect()
+    assert {x.path for x in got if x.reason} == {"a%20b.mjs"}
+    few = spark.read.format("source_corpus").option("repo", "r").option("folders", 1).load(str(tmp_path / "src"))
+    assert few.rdd.getNumPartitions() == 1 and sorted(map(tuple, few.collect())) == sorted(map(tuple, got))
     assert {(x.path, x.language, x.text) for x in got} == {("a b/x.py", "python", "é = 1"), ("a b/y.py", "python", ""), ("a b/__init__.py", "python", "init"), ("src[1]/_k.ts", "typescript", "k"), ("src[1]/{x}.tsx", "typescript", "x"), ("__pycache__/d.ts", "typescript", "2"), ("a%20b.mjs", "javascript", "m")}
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "one.json").write_text(json.dumps({"nodes": [{"id": "a", "name": "a", "file": "", "line": 1}], "edges": [{"source": "a", "target": "b", "isLibraryEdge": True}]}))
@@ -285,9 +288,25 @@ def test_layouts_round_trip(spark, tmp_path):
     (tmp_path / "d.txt").write_text("{}")
     got = sources.read_layouts(spark, str(tmp_path)).collect()
     assert [(x.file, x.name, x.description) for x in got] == [("a.json", "N", "d"), ("b.json", "b", "")]
-    layouts = spark.createDataFrame([("my/plan", "t")], "name string, saved_at string")
-    sources.write_layouts(layouts, spark.createDataFrame([("my/plan", "i", 1.0, 2.0)], "name string, id string, x double, y double"), str(tmp_path / "out"))
-    assert os.listdir(tmp_path / "out" / "file=my_plan.json")
+    rows = [("my/plan", "2024-01-02", "new", '{"repel":1.5,"on":true,"s":["a"]}'), ("my_plan", "2024-01-01", "old", None), ("other é", "t", None, None)]
+    layouts = spark.createDataFrame(rows, "name string, saved_at string, description string, settings string").repartition(3)
+    places = spark.createDataFrame([("my/plan", "i", 1.0, 2.0), ("my/plan", "j", None, 2.0), ("my_plan", "k", 1.0, 1.0)], "name string, id string, x double, y double")
+    folder = str(tmp_path / "out")
+    for _ in range(2):  # saved again: still one document a layout
+        sources.write_layouts(layouts, places, folder)
+        assert sorted(os.listdir(folder)) == ["my_plan.json", "other _.json"]
+        back = sources.read_layouts(spark, folder).collect()
+        assert [(x.name, x.saved_at, x.description) for x in back] == [("my/plan", "2024-01-02", "new"), ("other é", "t", "")]
+        assert json.loads(back[0].settings) == {"repel": 1.5, "on": True, "s": ["a"]} and back[1].settings is None
+        assert {k: (v.x, v.y) for k, v in back[0].node_positions.items()} == {"i": (1.0, 2.0)} and back[1].node_positions == {}
+    sources.write_layouts(layouts.where("name = 'my_plan'"), places, folder)
+    assert [x.name for x in sources.read_layouts(spark, folder).collect()] == ["my_plan", "other é"]
+    bad = spark.createDataFrame([("a.json", "{}"), ("../b.json", "{}")], "file string, text string")
+    with pytest.raises(Exception, match="not a place below"):
+        sources.write_documents(bad, folder)
+    assert sorted(os.listdir(folder)) == ["my_plan.json", "other _.json"]
+    sources.write_documents(bad.limit(1), folder, "overwrite")
+    assert os.listdir(folder) == ["a.json"]
 
 
 def test_feeds_on_a_stream(spark, tmp_path):
