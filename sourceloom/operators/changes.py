@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators.hierarchy import _flag
 from sourceloom.operators.measures import MAIN
+from sourceloom.plans.durable import Workspace
 from sourceloom.plans.ranking import numbered
 
 BUCKET = 256  # lines
@@ -74,35 +75,48 @@ def node_ranges(nodes: DataFrame) -> DataFrame:
     return nodes.where("file is not null and file <> ''").select("repo", "id", "file", F.col("line").alias("start"), (F.lead("line").over(order) - 1).alias("end"))
 
 
-def hunk_status(ranges: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(repo, id, status): ``added`` where a new hunk holds the first line, ``modified`` where any hunk overlaps, else null.
-
-    A hunk meets the ranges that start within it, by buckets of lines, and the range that holds its first line, which a carried window finds;
-    so no file joins all its ranges with all its hunks, and work grows with the lines that change. Of ranges that start on one line all but the last are empty and take hunks that hold the line.
-    """
-    h = hunks.where("start is not null and end >= start").select("repo", "file", F.col("start").alias("hs"), F.col("end").alias("he"), F.coalesce("is_new", F.lit(False)).alias("is_new")).distinct()
+def _met(ranges: DataFrame, hunks: DataFrame, bucket: int) -> DataFrame:
+    """(repo, id, staged, status) of the ranges that hunks of a side meet, both sides in one pass."""
+    h = hunks.where("start is not null and end >= start").select("repo", "file", F.col("start").alias("hs"), F.col("end").alias("he"), F.coalesce("is_new", F.lit(False)).alias("is_new"), "staged").distinct()
     whole = F.expr(f"floor(hs / {bucket})").cast("long"), F.expr(f"floor(he / {bucket})").cast("long")
     dealt = h.withColumn("b", F.explode(F.sequence(*whole)))
-    starts = ranges.where("start is not null").withColumn("b", F.floor(F.col("start") / bucket).cast("long"))
+    placed = ranges.where("start is not null")
+    starts = placed.withColumn("b", F.floor(F.col("start") / bucket).cast("long"))
     within = starts.join(dealt, ["repo", "file", "b"]).where("hs <= start and he >= start and hs <= coalesce(end, 2147483647)")
-    within = within.groupBy("repo", "id").agg(F.max("is_new").alias("new"))
+    within = within.groupBy("repo", "id", "staged").agg(F.max("is_new").alias("new"))
     # The range that a hunk begins in: the last one at or before its first line.
-    points = ranges.where("start is not null").select("repo", "file", F.col("start").alias("at"), F.lit(0).alias("kind"), "id", "end").unionByName(
-        h.select("repo", "file", F.col("hs").alias("at"), F.lit(1).alias("kind")).distinct(), allowMissingColumns=True
+    points = placed.select("repo", "file", F.col("start").alias("at"), F.lit(0).alias("kind"), "id", "end").unionByName(
+        h.select("repo", "file", F.col("hs").alias("at"), F.lit(1).alias("kind"), "staged").distinct(), allowMissingColumns=True
     )
     last = F.last(F.when(F.col("kind") == 0, F.struct("id", "end")), ignorenulls=True).over(Window.partitionBy("repo", "file").orderBy("at", "kind", "id"))
-    begun = points.withColumn("r", last).where("kind = 1 and r is not null and at <= coalesce(r.end, 2147483647)").select("repo", F.col("r.id").alias("id")).distinct()
-    found = within.unionByName(begun.withColumn("new", F.lit(False))).groupBy("repo", "id").agg(F.when(F.max("new"), "added").otherwise("modified").alias("status"))
-    return ranges.select("repo", "id").join(found, ["repo", "id"], "left")
+    begun = points.withColumn("r", last).where("kind = 1 and r is not null and at <= coalesce(r.end, 2147483647)").select("repo", F.col("r.id").alias("id"), "staged").distinct()
+    both = within.unionByName(begun.withColumn("new", F.lit(False)))
+    return both.groupBy("repo", "id", "staged").agg(F.when(F.max("new"), "added").otherwise("modified").alias("status"))
+
+
+def _kept(ranges: DataFrame) -> DataFrame:
+    """Ranges that several joins read, made once."""
+    return Workspace(ranges.sparkSession).keep(ranges.select("repo", "id", "file", "start", "end"))
+
+
+def hunk_status(ranges: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(repo, id, status): ``added`` where a new hunk holds the first line, ``modified`` where any hunk overlaps, else null.
+
+    A hunk meets the ranges that start within it, by buckets of lines, and the range that holds its first line, which a carried window finds;
+    so no file joins all its ranges with all its hunks, and work grows with the lines that change. Of ranges that start on one line all but the last are empty and take hunks that hold the line.
+    """
+    ranges = _kept(ranges)
+    found = _met(ranges, hunks.withColumn("staged", F.lit(False)), bucket)
+    return ranges.select("repo", "id").join(found.drop("staged"), ["repo", "id"], "left")
 
 
-def attribute_changes(nodes: DataFrame, status: DataFrame, hunks: DataFrame) -> DataFrame:
+def attribute_changes(nodes: DataFrame, status: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(repo, id, unstaged, staged) of nodes with a file: a file that is added or deleted as a whole gives its status, others by their hunks; a file without status gives none."""
-    ranges = node_ranges(nodes)
+    ranges = _kept(node_ranges(nodes))
+    side = lambda staged, name: F.max(F.when(F.col("staged") == staged, F.col("status"))).alias(name)
+    found = _met(ranges, hunks, bucket).groupBy("repo", "id").agg(side(False, "hu"), side(True, "hs"))
     rows = ranges.select("repo", "id", "file").join(status.select("repo", "file", F.col("unstaged").alias("fu"), F.col("staged").alias("fs"), F.lit(True).alias("known")), ["repo", "file"], "left")
-    for name, staged in (("hu", False), ("hs", True)):
-        side = hunk_status(ranges, hunks.where(F.col("staged") == staged)).withColumnRenamed("status", name)
-        rows = rows.join(side, ["repo", "id"])
+    rows = rows.join(found, ["repo", "id"], "left")
     whole = F.col("fu").isin("added", "deleted")
     pick = lambda a, b: F.when(F.col("known"), F.when(F.coalesce(whole, F.lit(False)), F.col(a)).otherwise(F.col(b)))
     return rows.select("repo", "id", pick("fu", "hu").alias("unstaged"), pick("fs", "hs").alias("staged"))

@@ -46,6 +46,23 @@ def resolve_calls(definitions: DataFrame, calls: DataFrame, resolve_this: bool =
     return wanted.join(targets, ["repo", "language", "name"]).where("source <> target").select("repo", "source", "target").distinct()
 
 
+def factored_degrees(definitions: DataFrame, calls: DataFrame, resolve_this: bool = False) -> DataFrame:
+    """(repo, id, in_degree, out_degree, degree) of every definition in the graph of ``resolve_calls``, without its edges.
+
+    The edges are, name by name, all callers times all definitions, less what calls itself. So a definition is called by the callers of its name, and a caller calls as many as its names have
+    definitions: counts of one side joined to rows of the other. A name with very many callers and definitions costs their sum, not their product.
+    """
+    key = ["repo", "language", "name"]
+    wanted = resolvable(calls, resolve_this).select(*key, F.col("caller_id").alias("id")).distinct()
+    targets = definitions.select(*key, "id").distinct()
+    own = wanted.join(targets, [*key, "id"], "left_semi").select("repo", "id", F.lit(-1).cast("long").alias("in_degree"), F.lit(-1).cast("long").alias("out_degree"))
+    called = targets.join(wanted.groupBy(*key).agg(F.count(F.lit(1)).alias("in_degree")), key).select("repo", "id", "in_degree", F.lit(0).cast("long").alias("out_degree"))
+    calling = wanted.join(targets.groupBy(*key).agg(F.count(F.lit(1)).alias("out_degree")), key).select("repo", "id", F.lit(0).cast("long").alias("in_degree"), "out_degree")
+    sums = own.unionByName(called).unionByName(calling).groupBy("repo", "id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
+    rows = definitions.select("repo", "id").distinct().join(sums, ["repo", "id"], "left").fillna(0, ["in_degree", "out_degree"])
+    return rows.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+
+
 def bindings(imports: DataFrame) -> DataFrame:
     """(repo, language, file, local, module): the last binding of a name in its file."""
     return imports.groupBy("repo", "language", "file", "local").agg(F.max_by("module", F.struct("ord", "module")).alias("module"))

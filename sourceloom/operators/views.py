@@ -24,11 +24,23 @@ def inside_folder(file: Column, folder: str) -> Column:
     return (own == folder) | own.startswith(f"{folder}/") | own.startswith(f"{folder}\\")
 
 
+def files_inside(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """(repo, file) of the files that lie in or below any of the folders (repo, folder), tables of any size: each file meets its own folders by equality."""
+    own = path_dirname(F.col("file"))
+    place = F.sequence(F.lit(1), F.length(own))
+    above = F.transform(F.filter(place, lambda i: F.substr(own, i, F.lit(1)).isin("/", "\\")), lambda i: F.substr(own, F.lit(1), i - 1))
+    rows = files.select("repo", "file").where("file is not null").distinct().select("repo", "file", F.explode(F.array_union(above, F.array(own))).alias("folder"))
+    return rows.join(folders.select("repo", "folder"), ["repo", "folder"], "left_semi").select("repo", "file").distinct()
+
+
 def visible_nodes(
     view: DataFrame, edges: DataFrame, query: str = "", libraries: bool = True, existing_only: bool = False, orphans: bool = True,
-    only_folder: str | None = None, hidden_folders: tuple[str, ...] = (), seen: DataFrame | None = None,
+    only_folder: str | None = None, hidden_folders: tuple[str, ...] = (), seen: DataFrame | None = None, shown: DataFrame | None = None, hidden: DataFrame | None = None,
 ) -> DataFrame:
-    """The nodes of a view that the filters let pass; library nodes meet the search, their toggle and the time only. ``seen`` (repo, id): what a snapshot holds."""
+    """The nodes of a view that the filters let pass; library nodes meet the search, their toggle and the time only. ``seen`` (repo, id): what a snapshot holds.
+
+    ``shown`` and ``hidden`` (repo, folder) are tables of the folders to which the view is limited, and of those left out.
+    """
     library = _flag(view, "is_library")
     cluster = _flag(view, "is_cluster") | _flag(view, "is_synthetic")
     keep = matches(F.col("label"), query) if query else F.lit(True)
@@ -43,6 +55,10 @@ def visible_nodes(
     for folder in hidden_folders:
         keep = keep & (~placed | ~inside_folder(F.col("file"), folder))
     out = view.where(keep)
+    for folders, inside in ((shown, True), (hidden, False)):
+        if folders is not None:
+            found = files_inside(out.where(placed), folders).withColumn("_inside", F.lit(True))
+            out = out.join(found, ["repo", "file"], "left").where(~placed | (F.col("_inside").isNotNull() if inside else F.col("_inside").isNull())).select(view.columns)
     if not orphans:
         out = out.where(_flag(out, "is_library")).unionByName(connected_nodes(out.where(~_flag(out, "is_library")), edges))
     if seen is not None:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sourceloom import sources
 from sourceloom.functions import documentation_url, language_of, library_module, path_basename, path_dirname
 from sourceloom.operators import clustering, resolution, source_text
+from sourceloom.plans.durable import Workspace
+from sourceloom.plans.queries_sql import TRADE
 from sourceloom.plans.tables import table, text_id
 
 
@@ -59,6 +61,32 @@ def code_calls(spark, sf_dir):
     return resolution.resolve_calls(definitions, calls).drop("repo")
 
 
+def name_degrees(spark, sf_dir):
+    """Degrees in the call graph without its edges."""
+    definitions, _, calls, _ = facts(spark, sf_dir)
+    return resolution.factored_degrees(definitions, calls).drop("repo")
+
+
+def facts_ingested(spark, sf_dir):
+    """Definitions of parts and calls to suppliers as JSON texts, some damaged: how many of each kind are taken, and every record that is not, with its reason."""
+    from sourceloom.sources.facts import ingest_facts
+
+    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    key = F.col("p_partkey")
+    row = F.to_json(F.struct(F.lit("shop").alias("repo"), F.lit("python").alias("language"), F.when(key % 11 == 0, "").otherwise(text_id("p", "p_partkey")).alias("id"), F.when(key % 13 > 0, F.col("p_name")).alias("name"), (F.col("p_size") - 2).alias("line")))
+    texts = part.select(F.when(key % 17 == 0, F.expr("substring(concat('{', p_name), 1, 9)")).otherwise(row).alias("text"))
+    again = part.where("p_partkey % 5 = 1 and p_partkey % 11 > 0 and p_partkey % 13 > 0 and p_partkey % 17 > 0 and p_size > 1").select(F.concat(F.lit('{"repo":"shop","language":"python","id":"p'), key.cast("string"), F.lit('","name":"second","line":0}')).alias("text"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("bare", "attr", "new"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    calls = items.select(F.to_json(F.struct(F.lit("shop").alias("repo"), F.lit("python").alias("language"), text_id("o", "l_orderkey").alias("caller_id"), kind.alias("kind"), F.when(F.col("l_linenumber") > 3, "self").alias("obj"), text_id("s", "l_suppkey").alias("name"))).alias("text"))
+    out = None
+    for name, rows in (("definitions", texts.unionByName(again)), ("calls", calls)):
+        taken, rejected = ingest_facts(rows, name)
+        counts = taken.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), F.lit("taken").alias("reason"), F.lit("").alias("record"), "n")
+        lost = rejected.groupBy("reason", F.col("record") if name == "definitions" else F.lit("").alias("record")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "reason", "record", "n")
+        out = counts.unionByName(lost) if out is None else out.unionByName(counts).unionByName(lost)
+    return out
+
+
 def code_library_edges(spark, sf_dir):
     definitions, imports, calls, _ = facts(spark, sf_dir)
     return resolution.resolve_library_calls(definitions, imports, calls)[1].drop("repo")
@@ -188,13 +216,65 @@ def path_parts(spark, sf_dir):
 
 def kept_sources(spark, sf_dir):
     part = table(spark, sf_dir, "part")
+    return sources.keep_sources(_source_paths(part).select("path"))
+
+
+def _source_paths(part: DataFrame) -> DataFrame:
     folder = F.element_at(F.array(*(F.lit(x) for x in ("src", "out", "__pycache__", ".git", "node_modules", "outer"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     extension = F.element_at(F.array(*(F.lit(x) for x in (".py", ".ts", ".d.ts", ".cjs", ".txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return sources.keep_sources(part.select(F.concat_ws("/", "p_brand", folder, F.concat(text_id("p", "p_partkey"), extension)).alias("path")))
+    return part.withColumn("path", F.concat_ws("/", "p_brand", folder, F.concat(text_id("p", "p_partkey"), extension)))
+
+
+def corpus_scanned(spark, sf_dir):
+    """A source tree of a file a part, some empty, is written and scanned: tasks list its folders."""
+    parts = _source_paths(table(spark, sf_dir, "part"))
+    text = F.when(F.col("p_size") < 5, "").otherwise(F.concat(F.lit("# é "), "p_name", F.lit("\n")))
+    folder = f"{Workspace(spark).base}/tree"
+    sources.write_documents(parts.select(F.col("path").alias("file"), text.alias("text")), folder)
+    return sources.scan_corpus(spark, folder, "shop").select("path", "language", "text", "reason")
+
+
+def graph_documents(spark, sf_dir):
+    """A graph document a nation, of its suppliers and the calls between neighbours, one of them damaged and one without nodes, and what is read back."""
+    s = table(spark, sf_dir, "supplier").where("s_nationkey > 1")
+    node = F.struct(text_id("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, F.concat("s_name", F.lit(".py"))).otherwise("").alias("file"), F.lit(3).alias("line"), (F.col("s_acctbal") < 0).alias("isLibrary"))
+    edge = F.struct(text_id("s", "s_suppkey").alias("source"), text_id("s", "s_nationkey").alias("target"), (F.col("s_acctbal") < 0).alias("isLibraryEdge"))
+    whole = s.groupBy("s_nationkey").agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
+    rows = whole.select(F.concat(text_id("n", "s_nationkey"), F.lit(".json")).alias("file"), F.to_json(F.struct("nodes", "edges")).alias("text"))
+    damaged = table(spark, sf_dir, "nation").where("n_nationkey < 2").select(F.concat(text_id("n", "n_nationkey"), F.lit(".json")).alias("file"), F.when(F.col("n_nationkey") == 0, "{broken").otherwise('{"edges":[]}').alias("text"))
+    folder = f"{Workspace(spark).base}/graphs"
+    sources.write_documents(rows.unionByName(damaged), folder)
+    nodes, edges, _ = sources.read_graph_json(spark, folder, "shop")
+    out = nodes.select("id", F.concat_ws("|", "name", "file").alias("what"), "is_library").unionByName(edges.select(F.col("source").alias("id"), F.col("target").alias("what"), "is_library"))
+    return out.unionByName(sources.damaged_graphs(spark, folder).select(F.col("file").alias("id"), F.col("reason").alias("what"), F.lit(None).cast("boolean").alias("is_library")))
+
+
+def layouts_saved(spark, sf_dir):
+    """Layouts of the events' types and users, saved twice and opened again: names that give one file leave the later one."""
+    e = table(spark, sf_dir, "events")
+    mark = F.when(F.col("event_id") % 2 == 0, "/").otherwise(":")
+    name = F.concat("event_type", mark, F.col("user_id").cast("string"))
+    layouts = e.groupBy(name.alias("name")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("saved_at"), F.to_json(F.struct(F.max("user_id").alias("repel"))).alias("settings"))
+    positions = e.select(name.alias("name"), text_id("e", "event_id").alias("id"), F.col("value").alias("x"), F.lit(0.5).alias("y"))
+    folder = f"{Workspace(spark).base}/layouts"
+    sources.write_layouts(layouts.where("name like 'c%'"), positions, folder)
+    sources.write_layouts(layouts, positions, folder)
+    return sources.read_layouts(spark, folder).select("file", "name", "saved_at", "settings", F.size("node_positions").alias("n"))
+
+
+def stored_degrees(spark, sf_dir):
+    """The trade graph in a store, and its degrees without an exchange."""
+    from sourceloom.plans.queries import trade
+    from sourceloom.sources.store import GraphStore
+
+    work = Workspace(spark)
+    store = GraphStore(spark, f"{work.base}/store", f"graph_{work.base.rpartition('-')[2]}", 8)
+    store.save(*trade(spark, sf_dir))
+    return store.degrees().select("id", "out_degree", "in_degree")
 
 
 QUERIES = {f.__name__: f for f in (
-    code_definitions, code_names, code_calls, code_library_edges, code_library_nodes, code_entry_points, code_graph, library_packages, source_lines, extents_python, extents_braces,
+    corpus_scanned, graph_documents, layouts_saved, stored_degrees, code_definitions, code_names, code_calls, name_degrees, facts_ingested, code_library_edges, code_library_nodes, code_entry_points, code_graph, library_packages, source_lines, extents_python, extents_braces,
     function_sources, class_headers, js_imports, doc_lookup, layouts_found, layouts_written, path_parts, kept_sources,
 )}
 
@@ -247,3 +327,17 @@ SELECT p_partkey, CASE WHEN d = '' THEN '(root)' ELSE d[:-2] END AS dirname, b A
     "kept_sources": """SELECT p_brand || '/' || ['src', 'out', '__pycache__', '.git', 'node_modules', 'outer'][p_partkey % 6 + 1] || '/p' || p_partkey || ['.py', '.ts', '.d.ts', '.cjs', '.txt'][p_partkey % 5 + 1] AS path,
   ['python', 'typescript', NULL, 'javascript', NULL][p_partkey % 5 + 1] AS language FROM part WHERE p_partkey % 5 IN (0, 1, 3) AND (p_partkey % 6 IN (0, 5) OR p_partkey % 6 = 2 AND p_partkey % 5 > 0)""",
 }
+ORACLE_SQL["corpus_scanned"] = f"SELECT path, language, CASE WHEN p_size < 5 THEN '' ELSE '# é ' || p_name || chr(10) END AS text, NULL::VARCHAR AS reason FROM ({ORACLE_SQL['kept_sources'].replace(' AS path,', ' AS path, p_size, p_name,')})"
+ORACLE_SQL["graph_documents"] = """WITH s AS (SELECT *, s_acctbal < 0 AS lib FROM supplier WHERE s_nationkey > 1)
+SELECT 's' || s_suppkey AS id, s_name || CASE WHEN s_acctbal > 0 THEN '|' || s_name || '.py' ELSE '' END AS what, lib AS is_library FROM s UNION ALL SELECT 's' || s_suppkey, 's' || s_nationkey, lib FROM s
+UNION ALL SELECT 'n0.json', 'does not parse', NULL UNION ALL SELECT 'n1.json', 'no nodes', NULL"""
+ORACLE_SQL["layouts_saved"] = """WITH l AS (SELECT event_type || CASE WHEN event_id % 2 = 0 THEN '/' ELSE ':' END || user_id AS name, event_type || '_' || user_id || '.json' AS file, user_id, MAX(ts) AS seen, COUNT(value) AS n FROM events GROUP BY ALL)
+SELECT file, name, strftime(seen, '%Y-%m-%d %H:%M:%S.%f') AS saved_at, '{"repel":' || user_id || '}' AS settings, n::INTEGER AS n FROM l QUALIFY ROW_NUMBER() OVER (PARTITION BY file ORDER BY seen DESC, name DESC) = 1"""
+ORACLE_SQL["stored_degrees"] = TRADE + """SELECT n.id, (SELECT COUNT(*) FROM calls WHERE source = n.id) AS out_degree, (SELECT COUNT(*) FROM calls WHERE target = n.id) AS in_degree FROM nodes n"""
+ORACLE_SQL["name_degrees"] = _DEFS + """SELECT id, (SELECT COUNT(*) FROM inner_calls WHERE target = id) AS in_degree, (SELECT COUNT(*) FROM inner_calls WHERE source = id) AS out_degree, (SELECT COUNT(*) FROM inner_calls WHERE target = id) + (SELECT COUNT(*) FROM inner_calls WHERE source = id) AS degree FROM defs"""
+ORACLE_SQL["facts_ingested"] = r"""WITH r AS (SELECT p_partkey AS k, p_size - 2 AS line, '{"repo":"shop","language":"python","id":"' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'p' || p_partkey END || '"' || CASE WHEN p_partkey % 13 > 0 THEN ',"name":"' || p_name || '"' ELSE '' END || ',"line":' || (p_size - 2) || '}' AS text, p_name FROM part),
+d AS (SELECT CASE WHEN k % 17 = 0 THEN substr('{' || p_name, 1, 9) ELSE text END AS record, CASE WHEN k % 17 = 0 THEN 'no record of this kind' WHEN k % 11 = 0 THEN 'no id' WHEN k % 13 = 0 THEN 'no name' WHEN line < 0 THEN 'line below 0' WHEN k % 5 = 1 AND line = 0 AND p_name < 'second' THEN 'repeated id' END AS reason FROM r
+  UNION ALL SELECT '{"repo":"shop","language":"python","id":"p' || k || '","name":"second","line":0}', CASE WHEN line = 0 AND p_name < 'second' THEN NULL ELSE 'repeated id' END FROM r WHERE k % 5 = 1 AND k % 11 > 0 AND k % 13 > 0 AND k % 17 > 0 AND line >= 0),
+c AS (SELECT CASE WHEN l_linenumber % 3 = 2 THEN 'neither bare nor attr' WHEN l_linenumber % 3 = 1 AND l_linenumber <= 3 THEN 'no object' END AS reason FROM lineitem)
+SELECT 'definitions' AS kind, coalesce(reason, 'taken') AS reason, CASE WHEN reason IS NULL THEN '' ELSE record END AS record, COUNT(*) AS n FROM d GROUP BY ALL
+UNION ALL SELECT 'calls', coalesce(reason, 'taken'), '', COUNT(*) FROM c GROUP BY ALL"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom import streaming
-from sourceloom.functions import effective_status
+from sourceloom.functions import effective_status, path_dirname
 from sourceloom.operators import changes, clustering, components, extents, forests, grouping, hierarchy, measures, views
 from sourceloom.plans.durable import Workspace
 from sourceloom.plans.tables import table, text_id
@@ -204,6 +204,14 @@ def view_filters(spark, sf_dir):
     return rows
 
 
+def folders_hidden(spark, sf_dir):
+    """Pages outside a table of hidden folders, those of every seventh page, and inside a table of shown hosts."""
+    pages = _pages(spark, sf_dir).withColumn("label", F.col("name"))
+    sections = pages.where(F.expr("int(substring(id, 2)) % 7 = 0")).select("repo", path_dirname(F.col("file")).alias("folder")).distinct()
+    hosts = pages.where("id not like '%5'").select("repo", F.regexp_extract("file", r"^https?://[^/]*", 0).alias("folder")).distinct()
+    return views.visible_nodes(pages, pages, shown=hosts, hidden=sections).select("id", "file")
+
+
 def visible_links(spark, sf_dir):
     nodes, edges = _with_libraries(spark, sf_dir)
     return measures.visible_edges(edges, nodes.where("not id like '%3'")).select("source", "target")
@@ -383,6 +391,6 @@ def feed_replaced(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     forest_sizes, detail_clusters, detail_levels, detail_expanded, graph_components, trade_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
-    ego_links, cluster_labels, view_filters, visible_links, file_rollup, class_rollup, folder_tree, folder_pages, folder_siblings, parsed_status, parsed_diff, parsed_blame, introduced, attributed_changes,
+    ego_links, cluster_labels, view_filters, folders_hidden, visible_links, file_rollup, class_rollup, folder_tree, folder_pages, folder_siblings, parsed_status, parsed_diff, parsed_blame, introduced, attributed_changes,
     library_first_seen, snapshot_counts, edge_growth, brand_centroids, file_circles, folder_boxes, feed_debounce, feed_status, feed_first_seen, feed_edges, feed_routes, feed_replaced,
 )}

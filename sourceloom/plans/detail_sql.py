@@ -140,3 +140,6 @@ w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 nodes AS (SELECT 'o' || o_orderkey AS id FROM orders UNION ALL SELECT 'p' || p_partkey FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 'r' || r_regionkey FROM region),
 cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT u.id, MIN(v.comp) FROM recurring.cc u JOIN w ON w.a = u.id JOIN cc v ON v.id = w.b WHERE v.comp < u.comp GROUP BY u.id))
 SELECT id, comp AS cluster_id FROM cc"""
+ORACLE_SQL["folders_hidden"] = _WEB + r""", v AS (SELECT id, file, page_id, regexp_extract(file, '^https?://[^/]*') AS host, regexp_replace(file, '[/\\][^/\\]*$', '') AS dir FROM web),
+gone AS (SELECT DISTINCT dir FROM v WHERE page_id % 7 = 0), hosts AS (SELECT DISTINCT host FROM v WHERE id NOT LIKE '%5')
+SELECT id, file FROM v WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE v.dir = g.dir OR starts_with(v.dir, g.dir || '/')) AND EXISTS (SELECT 1 FROM hosts h WHERE v.dir = h.host OR starts_with(v.dir, h.host || '/'))"""

@@ -45,6 +45,13 @@ def read_graph_json(spark: SparkSession, path: str, repo: str = "") -> tuple[Dat
     return nodes, edges, docs.select("repo", F.explode("files").alias("file"))
 
 
+def damaged_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the graph documents that ``read_graph_json`` takes as empty graphs: those that do not parse, and those that hold no list of nodes."""
+    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"{GRAPH}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    broken = F.col("d").isNull() | F.col("d._corrupt_record").isNotNull()
+    return texts.withColumn("reason", F.when(broken, "does not parse").when(F.col("d.nodes").isNull(), "no nodes")).where("reason is not null").select("file", "reason")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A graph as two Parquet tables, by repository."""
     nodes.write.mode("overwrite").partitionBy("repo").parquet(f"{path}/nodes")

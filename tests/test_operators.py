@@ -6,10 +6,13 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sourceloom import sources, streaming
-from sourceloom.operators import changes, clustering, components, forests, measures, resolution, source_text
+from sourceloom.operators import changes, clustering, components, forests, grouping, measures, resolution, source_text, views
+from sourceloom.sources.facts import ingest_facts
+from sourceloom.sources.store import GraphStore
 
 NODE = "repo string, id string, name string, file string, class_name string, language string, line int"
 EDGE = "repo string, source string, target string"
@@ -374,3 +377,87 @@ def test_diff_paths_with_blanks_and_line_ends(spark):
     text = "+++ b/a b.py\t\n@@ -1 +2,3 @@\n+++ b/c.py\r\n@@ -1,0 +5 @@\r\n"
     got = changes.parse_diff(spark.createDataFrame([("r", "/w", False, text)], "repo string, root string, staged boolean, text string")).collect()
     assert {(x.file, x.start, x.end, x.is_new) for x in got} == {("/w/a b.py", 2, 4, False), ("/w/c.py", 5, 5, True)}
+
+
+def test_stored_graph_joins_without_moving_it(spark, tmp_path):
+    r = random.Random(3)
+    ids = [f"i{k}" for k in range(60)]
+    nodes = spark.createDataFrame([(repo, i) for repo in "xy" for i in ids], "repo string, id string").withColumn("file", F.lit("f"))
+    edges = spark.createDataFrame(list({(repo, r.choice(ids), r.choice(ids)) for repo in "xy" for _ in range(200)}) + [("x", "::MAIN::0", "i1")], EDGE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        GraphStore(spark, str(tmp_path / "g"), "stored", 4).save(nodes, edges)
+        for name in ("nodes", "calls_out", "calls_in", "files"):
+            spark.sql(f"DROP TABLE stored_{name}")
+        store = GraphStore(spark, str(tmp_path / "g"), "again", 4).open()
+        degrees = store.degrees()
+        assert "Exchange" not in degrees._jdf.queryExecution().executedPlan().toString()
+        assert {(x.repo, x.id): x.degree for x in degrees.collect()} == {(x.repo, x.id): x.degree for x in measures.degrees(nodes, edges).collect()}
+        rendered = store.table("nodes").select("repo", "id", F.substring("id", 1, 2).alias("rendered"))
+        got = store.quotient(rendered)
+        want = grouping.quotient_edges(edges, rendered)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        half = store.table("calls_out").join(rendered.withColumnRenamed("id", "source"), ["repo", "source"])
+        assert "Exchange" not in half._jdf.queryExecution().executedPlan().toString()
+        front = store.callees(nodes.where("id = 'i3'"))
+        assert sorted(map(tuple, front.collect())) == sorted(map(tuple, edges.where("source = 'i3'").collect()))
+        assert front._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") <= 2
+        for name in ("nodes", "calls_out", "calls_in", "files"):
+            spark.sql(f"DROP TABLE again_{name}")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_degrees_without_edges(spark):
+    r = random.Random(7)
+    definitions = [("r", lang, f"{lang}{k}", f"n{r.randrange(8)}") for lang in ("python", "javascript") for k in range(30)]
+    calls = [("r", lang, r.choice(definitions)[2], *r.choice([("bare", None), ("attr", "self"), ("attr", "x")]), f"n{r.randrange(9)}") for lang in ("python", "javascript") for _ in range(120)]
+    d = spark.createDataFrame(definitions, "repo string, language string, id string, name string")
+    c = spark.createDataFrame(calls, "repo string, language string, caller_id string, kind string, obj string, name string")
+    edges = [(x.source, x.target) for x in resolution.resolve_calls(d, c).collect()]
+    got = {x.id: (x.in_degree, x.out_degree, x.degree) for x in resolution.factored_degrees(d, c).collect()}
+    assert got == {i: (sum(b == i for _, b in edges), sum(a == i for a, _ in edges), sum((a == i) + (b == i) for a, b in edges)) for *_, i, _ in definitions}
+    n = 10_000
+    many = spark.range(n).select(F.lit("r").alias("repo"), F.lit("python").alias("language"), F.concat(F.lit("d"), "id").alias("id"), F.lit("run").alias("name"))
+    callers = many.select("repo", "language", F.col("id").alias("caller_id"), F.lit("bare").alias("kind"), F.lit(None).cast("string").alias("obj"), "name")
+    assert resolution.factored_degrees(many, callers).select("in_degree", "out_degree").distinct().collect() == [(n - 1, n - 1)]
+
+
+def test_folder_tables_equal_predicates(spark):
+    r = random.Random(10)
+    path = lambda k: "".join(r.choice("ab") + r.choice("/\\\\/") for _ in range(k))
+    files = [r.choice(["", "/"]) + path(r.randrange(0, 5)) + "f.py" for _ in range(200)] + [None, ""]
+    view = spark.createDataFrame([("r", f"i{k}", f, f"l{k}", k % 11 == 0, 1) for k, f in enumerate(files)], "repo string, id string, file string, label string, is_library boolean, line int")
+    folders = sorted({r.choice(["", "/"]) + path(r.randrange(0, 3)).rstrip("/\\") for _ in range(6)} | {"(root)"})
+    table = spark.createDataFrame([("r", f) for f in folders], "repo string, folder string")
+    ids = lambda df: sorted(x.id for x in df.collect())
+    got = ids(views.visible_nodes(view, view, hidden=table))
+    assert got == ids(views.visible_nodes(view, view, hidden_folders=tuple(folders))) and 0 < len(got) < 202
+    assert ids(views.visible_nodes(view, view, shown=table.where(F.col("folder") == folders[-1]))) == ids(views.visible_nodes(view, view, only_folder=folders[-1]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        many = spark.range(10_000).select(F.lit("r").alias("repo"), F.concat(F.lit("/far/"), "id").alias("folder")).unionByName(table)
+        shown = views.visible_nodes(view, view, hidden=many)
+        assert ids(shown) == got and "Broadcast" not in shown._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quarantine_loses_no_record(spark):
+    definition = lambda **x: json.dumps({"repo": "r", "language": "python", "id": "a", "name": "f", "file": "x.py", "line": 1} | x)
+    texts = [definition(), definition(), definition(line=3), definition(id="b"), definition(id="b", name="g"), definition(id=""), definition(name=None), definition(line="three"), definition(line=-1), "{broken", "[]", "", None, definition(repo=None)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    watch = Observation()
+    taken, rejected = ingest_facts(rows, "definitions", watch)
+    assert {(x.id, x.name, x.line) for x in taken.collect()} == {("a", "f", 3), ("b", "g", 1)}
+    assert watch.get == {"taken": 2, "files": 1}
+    lost = rejected.collect()
+    assert len(lost) == len(texts) - 2
+    want = {"repeated id": 3, "no id": 1, "no name": 1, "no record of this kind": 5, "line below 0": 1, "no repo": 1}
+    assert {k: sum(x.reason == k for x in lost) for k in want} == want
+    calls = spark.createDataFrame([(json.dumps({"repo": "r", "language": "python", "caller_id": "c", "kind": k, "obj": o, "name": "f"}),) for k, o in (("bare", None), ("attr", "x"), ("attr", None), ("other", "x"), (None, None))], "text string")
+    taken, rejected = ingest_facts(calls, "calls")
+    assert taken.count() == 2 and sorted(x.reason for x in rejected.collect()) == ["neither bare nor attr", "neither bare nor attr", "no object"]
+    imports = spark.createDataFrame([('{"repo":"r","language":"python","file":"f","local":"x","module":"m","ord":1}',), ('{"repo":"r","language":"python","file":"f","local":"","module":"m"}',)], "text string")
+    taken, rejected = ingest_facts(imports, "imports")
+    assert taken.count() == 1 and [x.reason for x in rejected.collect()] == ["no local name"]
