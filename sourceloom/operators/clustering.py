@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import common_prefix, path_basename, path_segments
 from sourceloom.operators import grouping, measures
-from sourceloom.operators.forests import level_cuts, merge_tree, minimum_spanning_forest
+from sourceloom.operators.forests import component_labels, level_cuts, merge_tree, minimum_spanning_forest
 from sourceloom.operators.measures import MAIN
 from sourceloom.plans.ranking import numbered
 
@@ -31,6 +31,15 @@ def edge_weights(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataF
     return rows.select("repo", "source", "target", ((F.col("source_score") + F.col("target_score")) - near).alias("weight"), "ord")
 
 
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, id, cluster_id) for all nodes; cluster_id is the smallest id of the component, nodes without edges stand alone.
+
+    ``nodes`` has (repo, id) and ``edges`` (repo, source, target), ids as strings; ends that are no node are ignored by the caller.
+    """
+    own = nodes.select("repo", "id").distinct()
+    return own.join(component_labels(edges), ["repo", "id"], "left").select("repo", "id", F.coalesce("cluster_id", "id").alias("cluster_id"))
+
+
 def cluster_levels(nodes: DataFrame, tree: DataFrame, levels: list[float]) -> DataFrame:
     """(repo, level, id, cluster_id): the clusters of every level from one merge tree.
 

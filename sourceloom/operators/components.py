@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components of edge tables of any size, by alternating large-star and small-star rounds, and pointers that are followed by doubling."""
 
 from __future__ import annotations
 
@@ -62,18 +62,3 @@ def follow_pointers(pointers: DataFrame, work: Workspace) -> DataFrame:
         state = work.drops_with(state.select("node", "comp"), state)
         if not moved:
             return state
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, id, cluster_id) for all nodes; cluster_id is the smallest id of the component, nodes without edges stand alone.
-
-    ``nodes`` has (repo, id) and ``edges`` (repo, source, target); ends that are no node are ignored by the caller.
-    """
-    key = lambda c: F.struct("repo", F.col(c).alias("id"))
-    found = star_components(edges.select(key("source").alias("a"), key("target").alias("b")))
-    labels = found.select(F.col("node.repo").alias("repo"), F.col("node.id").alias("id"), F.col("component.id").alias("cluster_id"))
-    return (
-        nodes.select("repo", "id").distinct()
-        .join(labels, ["repo", "id"], "left")
-        .select("repo", "id", F.coalesce("cluster_id", "id").alias("cluster_id"))
-    )

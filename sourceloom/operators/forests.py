@@ -134,6 +134,47 @@ def _contracted(live: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]
     return chosen, contracted
 
 
+LABELS = "repo string, id string, cluster_id string"
+
+
+def _labels(table: pa.Table) -> pa.Table:
+    """The smallest name of each set that the edges unite, for all their ends."""
+    names = pa.chunked_array([*table.column("source").chunks, *table.column("target").chunks]).combine_chunks()
+    repos = pa.chunked_array([*table.column("repo").chunks, *table.column("repo").chunks]).combine_chunks()
+    a, b = _codes(table, ("repo",), ("source", "target"))
+    both = np.concatenate([a, b])
+    size = int(both.max()) + 1
+    at = np.zeros(size, np.int64)
+    at[both] = np.arange(len(both))
+    order = np.empty(size, np.int64)
+    order[pc.sort_indices(names.take(pa.array(at))).to_numpy()] = np.arange(size)
+    _, gone, stays = _united(a, b, order)
+    root = np.arange(size)
+    for x, y in zip(reversed(gone), reversed(stays)):  # what stays was settled before, as it goes later or never
+        root[x] = root[y]
+    return pa.table({"repo": repos.take(pa.array(at)), "id": names.take(pa.array(at)), "cluster_id": names.take(pa.array(at[root]))})
+
+
+def component_labels(edges: DataFrame, packet: int = PACKET) -> DataFrame:
+    """(repo, id, cluster_id) for every end of the edges (repo, source, target): the smallest id of its component.
+
+    Tasks thin the edges to forests first. Repositories that then fit a packet are labelled by tasks, all others by star rounds over what is left of them.
+    """
+    work = Workspace(edges.sparkSession)
+    plain = edges.where("source <> target").select("repo", "source", "target", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("ord"))
+    live = work.keep(local_forests(plain, packet).select("repo", "source", "target"))
+    sizes = live.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    fits = live if row.most <= packet else live.join(sizes.where(F.col("n") <= packet), "repo", "left_semi")
+    out = fits.groupBy(F.pmod(F.xxhash64("repo"), F.lit(max(1, -(-row.total // packet)))).alias("bin")).applyInArrow(_labels, LABELS)
+    if row.most > packet:
+        large = live.join(sizes.where(F.col("n") > packet), "repo", "left_semi")
+        end = lambda c: F.struct("repo", F.col(c).alias("id"))
+        found = star_components(large.select(end("source").alias("a"), end("target").alias("b")))
+        out = out.unionByName(found.select("node.repo", "node.id", F.col("component.id").alias("cluster_id")))
+    return out
+
+
 TREE = "repo string, id string, up string, height long"
 
 

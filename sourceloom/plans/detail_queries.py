@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom import streaming
 from sourceloom.functions import effective_status, path_dirname
-from sourceloom.operators import changes, clustering, components, extents, forests, grouping, hierarchy, measures, views
+from sourceloom.operators import changes, clustering, extents, forests, grouping, hierarchy, measures, views
 from sourceloom.plans.durable import Workspace
 from sourceloom.plans.tables import table, text_id
 
@@ -24,7 +24,7 @@ def sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     known = c.select(text_id("c", "c_custkey").alias("id"), text_id("n", "c_nationkey").alias("file"), F.col("c_acctbal").alias("score")).unionByName(
         s.select(text_id("s", "s_suppkey").alias("id"), text_id("n", "s_nationkey").alias("file"), F.col("s_acctbal").alias("score"))
     )
-    nodes = ends.join(known, "id").withColumn("name", F.col("id"))
+    nodes = Workspace(spark).keep(ends.join(known, "id").withColumn("name", F.col("id")))
     return nodes.drop("score"), edges, nodes.select("repo", "id", "score")
 
 
@@ -81,7 +81,7 @@ def graph_components(spark, sf_dir):
     calls = items.join(first, F.col("l_orderkey") == F.col("k")).where("l_linenumber = 1")
     edges = calls.select(F.lit("shop").alias("repo"), text_id("c", "o_custkey").alias("source"), text_id("p", "l_partkey").alias("target"))
     nodes = table(spark, sf_dir, "customer").select(F.lit("shop").alias("repo"), text_id("c", "c_custkey").alias("id")).unionByName(table(spark, sf_dir, "part").select(F.lit("shop").alias("repo"), text_id("p", "p_partkey").alias("id")))
-    return components.connected_components(nodes, edges).drop("repo")
+    return clustering.connected_components(nodes, edges).drop("repo")
 
 
 def trade_components(spark, sf_dir):
@@ -95,7 +95,7 @@ def trade_components(spark, sf_dir):
     for name, mark, key in tables:
         rows = table(spark, sf_dir, name).select(shop, end(mark, key).alias("id"))
         nodes = rows if nodes is None else nodes.unionByName(rows)
-    return components.connected_components(nodes, edges).drop("repo")
+    return clustering.connected_components(nodes, edges).drop("repo")
 
 
 def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

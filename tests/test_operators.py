@@ -215,6 +215,18 @@ def test_components_of_a_long_path(spark):
     assert got == {**{k: 0 for k in range(n + 1)}, 9001: 9001, 9002: 9001}
 
 
+@pytest.mark.parametrize("packet", [1 << 19, 12])
+def test_component_labels_equal_plain_sets(spark, packet):
+    rows, _ = random_weights(random.Random(1), 30, 1)
+    rows += [("tiny", "b", "a", 1.0, 0), ("tiny", "c", "c", 1.0, 0)]
+    edges = spark.createDataFrame([r[:3] for r in rows], EDGE).repartition(4)
+    got = forests.component_labels(edges, packet).collect()
+    assert len({(x.repo, x.id) for x in got}) == len(got)
+    for repo in {r[0] for r in rows}:
+        ids = {i for r in rows if r[0] == repo and r[1] != r[2] for i in r[1:3]}
+        assert {x.id: x.cluster_id for x in got if x.repo == repo} == {i: min(s) for s in unite(sorted(ids), [r[1:3] for r in rows if r[0] == repo and r[1] != r[2]]) for i in s} if ids else True
+
+
 def test_hunks_equal_nested_loops(spark):
     r = random.Random(4)
     nodes, hunks = [], []
