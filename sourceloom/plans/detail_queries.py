@@ -132,6 +132,12 @@ def structural_clusters(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+def structural_assignment(spark, sf_dir):
+    """The cluster and the label of every page at a level that takes one length of common path whole and a part of the next."""
+    assignment, labels = clustering.cluster_by_structure(_pages(spark, sf_dir), "file", LEVEL)
+    return assignment.join(labels, ["repo", "cluster_id"]).select("id", "cluster_id", "label")
+
+
 def class_groups(spark, sf_dir):
     return grouping.structural_groups(_pages(spark, sf_dir), "class").select("id", "cluster_id")
 
@@ -390,7 +396,7 @@ def feed_replaced(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    forest_sizes, detail_clusters, detail_levels, detail_expanded, graph_components, trade_components, chain_depth, page_languages, structural_clusters, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
+    forest_sizes, detail_clusters, detail_levels, detail_expanded, graph_components, trade_components, chain_depth, page_languages, structural_clusters, structural_assignment, class_groups, project_names, cluster_view, detail_view, project_degrees, orphans, auto_levels,
     ego_links, cluster_labels, view_filters, folders_hidden, visible_links, file_rollup, class_rollup, folder_tree, folder_pages, folder_siblings, parsed_status, parsed_diff, parsed_blame, introduced, attributed_changes,
     library_first_seen, snapshot_counts, edge_growth, brand_centroids, file_circles, folder_boxes, feed_debounce, feed_status, feed_first_seen, feed_edges, feed_routes, feed_replaced,
 )}

@@ -143,3 +143,17 @@ SELECT id, comp AS cluster_id FROM cc"""
 ORACLE_SQL["folders_hidden"] = _WEB + r""", v AS (SELECT id, file, page_id, regexp_extract(file, '^https?://[^/]*') AS host, regexp_replace(file, '[/\\][^/\\]*$', '') AS dir FROM web),
 gone AS (SELECT DISTINCT dir FROM v WHERE page_id % 7 = 0), hosts AS (SELECT DISTINCT host FROM v WHERE id NOT LIKE '%5')
 SELECT id, file FROM v WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE v.dir = g.dir OR starts_with(v.dir, g.dir || '/')) AND EXISTS (SELECT 1 FROM hosts h WHERE v.dir = h.host OR starts_with(v.dir, h.host || '/'))"""
+ORACLE_SQL["structural_assignment"] = _WEB + r""", g AS (SELECT file AS g, MIN(id) AS ord, regexp_split_to_array(file, '[/\\]') AS s FROM web GROUP BY file),
+total AS (SELECT COUNT(*) AS n, floor(((0.999::DOUBLE - 0.4) / (0.999::DOUBLE - 0.001)) * (COUNT(*) - 1)) AS budget, MAX(len(s)) AS most FROM g),
+keyed AS (SELECT k, g, ord, s, CASE WHEN len(s) >= k THEN 'p' || array_to_string(s[1:k], '/') ELSE 'g' || g END AS child, CASE WHEN k = 0 THEN 'p' WHEN len(s) >= k - 1 THEN 'p' || array_to_string(s[1:k - 1], '/') ELSE 'g' || g END AS parent FROM g, total, LATERAL (SELECT UNNEST(range(0, most + 2)) AS k)),
+fits AS (SELECT k, n - COUNT(DISTINCT child) AS merges FROM keyed, total GROUP BY k, n, budget HAVING n - COUNT(DISTINCT child) <= budget),
+plan AS (SELECT k, budget - merges AS rest FROM fits, total WHERE k = (SELECT MIN(k) FROM fits)),
+own AS (SELECT keyed.*, rest FROM keyed JOIN plan USING (k)),
+children AS (SELECT parent, child, rest, MIN((ord, g)) AS first FROM own GROUP BY ALL),
+heads AS (SELECT *, MIN((first, child)) OVER (PARTITION BY parent) AS head FROM children),
+moved AS (SELECT child, head[2] AS target, rest, ROW_NUMBER() OVER (ORDER BY head[1], first) - 1 AS place FROM heads WHERE child <> head[2]),
+placed AS (SELECT own.g, own.ord, own.s, coalesce(m.target, own.child) AS part FROM own LEFT JOIN (SELECT * FROM moved WHERE place < rest) m USING (child)),
+named AS (SELECT part, MIN((ord, g)) AS first, COUNT(*) AS n, MIN(s) AS low, MAX(s) AS high FROM placed GROUP BY part),
+labelled AS (SELECT part, first[2] AS cluster_id, n, low, first, (SELECT coalesce(MAX(i), 0) FROM range(1, 100) r(i) WHERE i <= least(len(low), len(high)) AND low[1:i] = high[1:i]) AS k FROM named)
+SELECT web.id, cluster_id, CASE WHEN n > 1 AND array_to_string(low[1:k], '') <> '' THEN low[k] ELSE regexp_extract(cluster_id, '[^/\\]*$') END AS label
+FROM web JOIN placed ON placed.g = web.file JOIN labelled USING (part)"""

@@ -1,4 +1,4 @@
-"""Registered queries that run streams with ``availableNow``: the events come in three parts, and each part is a run that resumes from the checkpoint of the one before."""
+"""Registered queries that run streams with ``availableNow``: the events come in parts, and each part is a run that resumes from the checkpoint of the one before."""
 
 from __future__ import annotations
 
@@ -12,14 +12,14 @@ from sourceloom.plans.tables import table, text_id
 from sourceloom.streaming import status
 from sourceloom.streaming.incremental import IncrementalGraph
 
-PARTS = 3
+SAVES, UPDATES = 2, 3  # parts of the two feeds
 
 
-def _in_parts(rows: DataFrame, by: str, work: Workspace, run: Callable[[DataFrame], object]) -> None:
-    """Write the rows in parts by a column from 0 and run the stream over what has come after each."""
-    for part in range(PARTS):
-        rows.where(F.col(by) == part).drop(by).write.mode("append").parquet(f"{work.base}/in")
-        run(rows.sparkSession.readStream.schema(rows.drop(by).schema).parquet(f"{work.base}/in"))
+def _in_parts(rows: DataFrame, parts: int, work: Workspace, run: Callable[[DataFrame], object]) -> None:
+    """Write the rows by their column ``part``, from 0, and run the stream over what has come after each."""
+    for part in range(parts):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{work.base}/in")
+        run(rows.sparkSession.readStream.schema(rows.drop("part").schema).parquet(f"{work.base}/in"))
 
 
 def _extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -41,12 +41,12 @@ def feed_resolved(spark, sf_dir):
     text = F.concat(F.lit("def "), name, F.lit("\ncall "), "event_type", F.lit("_"), number(40), F.lit("\nimport lib_"), number(7), F.lit(" as lib\ncall lib.f"), number(5), F.lit("\nimport tools as tool_"), number(3), F.lit("\ncall tool_"), number(3))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = e.agg(F.coalesce(F.min(micros), F.lit(0)).alias("low"), F.coalesce(F.max(micros), F.lit(1)).alias("high")).first()
-    part = F.least(F.floor((micros - span.low) * PARTS / max(1, span.high - span.low)), F.lit(PARTS - 1))
+    part = F.least(F.floor((micros - span.low) * SAVES / max(1, span.high - span.low)), F.lit(SAVES - 1))
     saves = e.select(F.lit("web").alias("repo"), text_id("u", "user_id").alias("file"), text.alias("text"), F.struct(micros.alias("at"), "event_id").alias("ts"), part.alias("part"))
     work = Workspace(spark)
     graph = IncrementalGraph(spark, f"{work.base}/graph")
     apply = graph.on_batch(_extract)
-    _in_parts(saves, "part", work, lambda stream: stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{work.base}/cp").trigger(availableNow=True).start().awaitTermination())
+    _in_parts(saves, SAVES, work, lambda stream: stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{work.base}/cp").trigger(availableNow=True).start().awaitTermination())
     return graph.edges().drop("repo")
 
 
@@ -54,7 +54,7 @@ def feed_file_status(spark, sf_dir):
     """A user's events of one day are one update of the user's file, its ids are their types; the parts of the feed mix the days, so updates come late and in pieces."""
     e = table(spark, sf_dir, "events")
     state = F.element_at(F.array(*(F.lit(x) for x in ("added", "modified", "deleted"))), (F.col("event_id") % 3 + 1).cast("int"))
-    updates = e.select(F.lit("web").alias("repo"), text_id("u", "user_id").alias("file"), F.col("event_type").alias("id"), state.alias("status"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % PARTS).alias("part"))
+    updates = e.select(F.lit("web").alias("repo"), text_id("u", "user_id").alias("file"), F.col("event_type").alias("id"), state.alias("status"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % UPDATES).alias("part"))
     work = Workspace(spark)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
@@ -65,7 +65,7 @@ def feed_file_status(spark, sf_dir):
         made.writeStream.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{work.base}/out/n={number}")).outputMode("update").option("checkpointLocation", f"{work.base}/cp").trigger(availableNow=True).start().awaitTermination()
 
     try:
-        _in_parts(updates, "part", work, run)
+        _in_parts(updates, UPDATES, work, run)
     finally:
         spark.conf.set(name, before)
     emitted = spark.read.schema(f"{status.STATUS}, n long").parquet(f"{work.base}/out")
