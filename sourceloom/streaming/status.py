@@ -57,7 +57,7 @@ class FileStatuses(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.at.clear()
         self.held.clear()
-        yield pd.DataFrame({"repo": [], "file": [], "id": [], "status": [], "ts": pd.to_datetime([])})
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -78,3 +78,20 @@ def test_status_updates_out_of_order_equal_a_batch_run(spark, tmp_path):
     plain = lambda df: sorted(map(tuple, df.select("file", "id", "status", "ts").collect()))
     assert plain(status.statuses_of(emitted)) == plain(status.file_statuses(updates))
     assert emitted.where("status is null").count() > 0
+
+
+def test_a_file_without_updates_is_cleared_by_its_timer(spark, tmp_path):
+    schema = "repo string, file string, id string, status string, at string"
+    parts = [[("r", "f", "a", "added", "2024-01-01")], [("r", "g", "b", "added", "2024-02-01")], [("r", "g", "c", "added", "2024-02-02")], [("r", "f", "d", "added", "2024-03-01"), ("r", "g", "c", "added", "2024-03-01")]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", status.ROCKSDB)
+    try:
+        for rows in parts:
+            spark.createDataFrame(rows, schema).select("repo", "file", "id", "status", F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("repo string, file string, id string, status string, ts timestamp").parquet(str(tmp_path / "in"))
+            made = status.stream_file_statuses(stream, late="1 day", keep_ms=20 * 86_400_000)
+            made.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out" / f"n={n}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {(x.file, x.id, x.status, str(x.ts)[:10]) for x in spark.read.schema(f"{status.STATUS}, n long").parquet(str(tmp_path / "out")).collect()}
+    # g loses b and keeps c; f was cleared before its second update, so nothing is taken from a then.
+    assert got == {("f", "a", "added", "2024-01-01"), ("g", "b", "added", "2024-02-01"), ("g", "b", None, "2024-02-02"), ("g", "c", "added", "2024-02-02"), ("g", "c", "added", "2024-03-01"), ("f", "d", "added", "2024-03-01")}
