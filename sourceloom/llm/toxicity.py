@@ -124,12 +124,13 @@ def packed_counts(rows: DataFrame, bits: int, text: str = "text") -> DataFrame:
         found |= {"context": context[c_first][by], "context_mark": c_mark[c_first][by], "context_n": c_total[by]}
         edges = np.arange(1, 1 << bits, dtype=np.uint64)
         cuts = {k: np.r_[0, np.searchsorted(v, edges << np.uint64(shift - bits)), len(v)].tolist() for k, v, shift in (("w", found["stem"], 64), ("p", stem[~some], 64), ("k", stem[some], 64), ("c", found["context"], 40))}
+        full = np.flatnonzero(sum(np.diff(at) for at in cuts.values())).tolist()  # no row for an empty bucket, so there are never more rows than pairs
         columns = []
         for name, kind in _PACKED.items():
             at = cuts["c" if name.startswith("context") else "p" if name == "before" else "w" if name in ("stem", "word", "word_low", "plain", "known") else "k"]
             pack = (lambda v, kind=kind: _planes(v, kind)) if isinstance(kind, int) else (lambda v, kind=kind: v.astype(kind).tobytes())
-            columns.append(pa.array([pack(found[name][a:b]) for a, b in zip(at, at[1:])], pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), *columns], names=["bucket", *_PACKED])
+            columns.append(pa.array([pack(found[name][at[k] : at[k + 1]]) for k in full], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], names=["bucket", *_PACKED])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
