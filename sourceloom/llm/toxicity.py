@@ -7,9 +7,9 @@ a count of ``DISCOUNT`` or less is left to the backoff whole, so rare expression
 the length-normalised log-likelihood ratio and of what its largest terms say (the number and share of words whose ratio passes ``HOT``,
 the largest ratio), fitted on ratios that models of the other half of the training rows give. Every labelled training row counts
 in the models and every document in the shared backoff; at most ``MAX_LABELLED`` labelled rows, those with the smallest MD5 of their
-id, fit the logistic function alone. Counts are grouped by Spark, and those that no ratio depends on do not leave the executors. The table that scoring
-broadcasts has ``MAX_ENTRIES`` entries at most: where more counts pass the discount, the discount rises to the least one that leaves no more, for all models alike, so
-what falls below is left to the backoff whole, by the same rule. Labels are joined by a broadcast up to ``MAX_BROADCAST`` of them and by a shuffle beyond.
+id, fit the logistic function alone. Counts are grouped and smoothed by Spark joins, and those that no ratio depends on do not leave the executors. Of the entries
+the ``MAX_ENTRIES`` of the largest counts are broadcast; the others stay a table with a broadcast filter of bounded size, and the words that may have
+an entry there are scored by joins, so every entry counts at every size. Labels are joined by a broadcast up to ``MAX_BROADCAST`` of them and by a shuffle beyond.
 
 Defined cases: null, empty and wordless texts have ratio 0 and get the score of that; repeated rows get equal scores; a
 document labelled twice is toxic if any label says so; documents of one MD5 order are taken by id; null labels are left out; without labelled rows of both classes every score is the prior; an empty
@@ -19,6 +19,7 @@ table gives an empty result; texts are read whole; only id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ STEM_BYTES = 5
 HOT = 1.5
 HELD_TOKENS = 3 << 20  # a task counts this many words at once
 N_FEATURES = 6
-MAX_ENTRIES = 1 << 20
+MAX_ENTRIES = 1 << 20  # broadcast
+FILTER_WORDS = 1 << 22  # 64-bit words of the filter of the other entries
 MAX_BROADCAST = 1 << 22
 _BETWEEN = letters_only()
 
@@ -230,7 +232,7 @@ def model_counts(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(reduce, _KEPT)
 
 
-def least_discount(counts: DataFrame, most: int = MAX_ENTRIES) -> float:
+def broadcast_level(counts: DataFrame, most: int = MAX_ENTRIES) -> float:
     """``DISCOUNT``, or the least power of 2**(1/8) beyond it that at most ``most`` counts pass. At most 8 rows for each doubling of counts reach the driver."""
     level = F.floor(8 * F.log2("top")).cast("int")
     sizes = sorted(((r.level, r.n) for r in counts.where(F.col("kind") < WORD_SUM).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -242,65 +244,192 @@ def least_discount(counts: DataFrame, most: int = MAX_ENTRIES) -> float:
     return DISCOUNT
 
 
+PARTS = 3  # half 0, half 1, both
+_IN_PART = [1 + 3 * k + part for part in range(PARTS) for k in (0, 1)]  # values of ``model_counts`` in the order of a model's
+
+
+def smoothed(counts: DataFrame) -> tuple[DataFrame, list[float], list[bool]]:
+    """(kind, a, top, m): of each word, stem, context and pair its smoothed numbers, of each part for both classes; those of a stem
+    that is not known; and which parts have rows of both classes.
+
+    Of a word and a stem these are its probability below a pair, of a pair what is left of its count, of a context what it leaves to its words.
+    """
+    taken = lambda j: F.greatest(F.col(f"v{j}").cast("double") - DISCOUNT, F.lit(0.0))
+    sums = (F.sum(F.col(f"v{j}").cast("double")).alias(f"s{j}") for j in range(N_VALUES))
+    rows = counts.where(F.col("kind").isin(WORD, STEM, WORD_SUM, STEM_SUM)).groupBy("kind").agg(*sums, *(F.sum(taken(j)).alias(f"t{j}") for j in _IN_PART)).collect()
+    of = {r.kind: r for r in rows}
+    total = lambda kind, name: float(of[kind][name]) if kind in of else 0.0
+    ready = [all(total(WORD_SUM, f"s{j}") > 0 for j in _IN_PART[2 * part : 2 * part + 2]) for part in range(PARTS)]
+    size = {(kind, j): max(total(kind, f"s{j}"), 1.0) for kind in (WORD_SUM, STEM_SUM) for j in _IN_PART}
+    left = {j: (size[WORD_SUM, j] - total(WORD, f"t{j}")) / size[WORD_SUM, j] for j in _IN_PART}  # what words leave to stems
+    share = {j: (size[STEM_SUM, j] - total(STEM, f"t{j}")) / size[STEM_SUM, j] / (total(STEM_SUM, "s0") + 1) for j in _IN_PART}  # and stems to the shared counts
+    model = lambda values: F.array(*values).cast("array<float>").alias("m")
+
+    def entries(kind: int) -> DataFrame:
+        return counts.where(F.col("kind") == kind)
+
+    of_stem = [left[j] * (taken(j) / size[STEM_SUM, j] + share[j] * F.col("v0")) for j in _IN_PART]
+    stems = entries(STEM).select("kind", "a", "top", model(of_stem))
+    home = entries(STEM).select(F.col("a").alias("b"), F.array(*of_stem).alias("of_stem"), F.col("v7").alias("whole"))  # a word's stem is at least as frequent, so it is there
+    within = F.col("v0") / F.col("whole")  # a word's share of its stem, the same for both classes
+    words = entries(WORD).join(home, "b").select("kind", "a", "top", model([taken(j) / size[WORD_SUM, j] + F.col("of_stem")[i] * within for i, j in enumerate(_IN_PART)]))
+    counted = entries(CONTEXT).select(F.col("a").alias("b"), F.col("top").alias("often"), *(F.greatest(F.col(f"v{j}").cast("double"), F.lit(1.0)).alias(f"n{j}") for j in _IN_PART))
+    pairs = entries(PAIR).select("a", "b", "top", *(f"v{j}" for j in _IN_PART)).join(counted, "b")  # and so is a pair's context
+    rest = pairs.groupBy("b").agg(*(F.sum(taken(j) / F.col(f"n{j}")).alias(f"r{j}") for j in _IN_PART))
+    contexts = counted.select("b", "often").join(rest, "b", "left").select(F.lit(CONTEXT).alias("kind"), F.col("b").alias("a"), F.col("often").alias("top"), model([1 - F.coalesce(f"r{j}", F.lit(0.0)) for j in _IN_PART]))
+    pairs = pairs.select(F.lit(PAIR).alias("kind"), "a", "top", model([taken(j) / F.col(f"n{j}") for j in _IN_PART]))
+    return stems.unionByName(words).unionByName(contexts).unionByName(pairs), [left[j] * share[j] for j in _IN_PART], ready
+
+
+KINDS = (WORD, STEM, CONTEXT, PAIR)
+
+
+def _places(kind: np.ndarray | int, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where entries stand in a filter of so many 64-bit words, and their two bits there."""
+    code = mix64(keys ^ mix64(np.atleast_1d(np.asarray(kind, np.uint64)) + np.uint64(1)))
+    one = np.uint64(1)
+    return code & np.uint64(size - 1), (one << (code >> np.uint64(52) & np.uint64(63))) | (one << (code >> np.uint64(58)))
+
+
+def entry_filter(entries: DataFrame) -> np.ndarray:
+    """A Bloom filter of the entries' kinds and hashes, of 16 bits an entry and ``FILTER_WORDS`` words at most; beyond that it lets more through, which costs time and no result."""
+    size = min(FILTER_WORDS, max(64, 1 << int(entries.count() // 4).bit_length()))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, mask = _places(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(mask.view(np.int64))], names=["at", "bits"])
+
+    got = entries.select("kind", "a").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 class Models:
-    """Both classes' smoothed models as sorted arrays, from the rows of ``model_counts`` beyond the discount; ``part``: half 0, half 1 or 2 for both."""
+    """Both classes' smoothed models of all parts: sorted arrays of the entries that are broadcast, and a filter of the others (none: there are no others)."""
 
-    def __init__(self, kind: np.ndarray, a: np.ndarray, b: np.ndarray, v: np.ndarray, discount: float = DISCOUNT, part: int = 2):
-        def table(of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, kind: np.ndarray, a: np.ndarray, m: np.ndarray, unknown_stem: list[float], ready: list[bool], others: np.ndarray | None = None):
+        self.ready, self.others = np.array(ready), others
+        self.keys, self.values = {}, {}
+        for of, unknown in ((WORD, np.nan), (STEM, unknown_stem), (CONTEXT, 1.0), (PAIR, 0.0)):
             at = np.flatnonzero(kind == of)
             at = at[np.argsort(a[at])]
-            values = v[at].astype(float)
-            return a[at], b[at], values, values[:, [1 + part, 4 + part]]
-
-        sums = {k: v[kind == k].sum(0, dtype=float) for k in (WORD_SUM, STEM_SUM)}
-        self.ready = all(sums[WORD_SUM][[1 + part, 4 + part]] > 0)
-        if not self.ready:
-            return
-        self.words, word_stem, word_all, word = table(WORD)
-        self.stems, _, stem_all, stem_n = table(STEM)
-        self.pairs, before, _, pair = table(PAIR)
-        self.contexts, _, _, context = table(CONTEXT)
-        home = _find(self.contexts, before)  # a pair's context is at least as frequent, so it is there
-        of_word = _find(self.stems, word_stem)  # and so is a word's stem
-        total = sums[STEM_SUM][0] + 1
-        within = word_all[:, 0] / stem_all[of_word, 7]  # a word's share of its stem, the same for both classes
-        self.word_model, self.stem_model, self.rest, self.pair_model = [], [], [], []
-        for k in (0, 1):
-            size, took = sums[STEM_SUM][1 + 3 * k + part], np.maximum(stem_n[:, k] - discount, 0)
-            stem = (np.append(took, 0) + (size - took.sum()) * np.append(stem_all[:, 0], 1) / total) / size
-            size, took = sums[WORD_SUM][1 + 3 * k + part], np.maximum(word[:, k] - discount, 0)
-            left = (size - took.sum()) / size
-            self.word_model.append(took / size + left * stem[of_word] * within)
-            self.stem_model.append(left * stem)  # for words that are not known; both classes lack the same share
-            of = np.maximum(context[:, k], 1)
-            took = np.maximum(pair[:, k] - discount, 0)
-            self.pair_model.append(np.append(took / of[home], 0.0))
-            self.rest.append(np.append(1 - np.bincount(home, took, len(self.contexts)) / of, 1.0))
-
-    def features(self, block: Block) -> np.ndarray:
-        """For each row: mean ratio, ratio over root length, log of the length, hot words (log and share), largest ratio."""
+            self.keys[of] = a[at]
+            self.values[of] = np.concatenate([m[at], np.broadcast_to(np.asarray(unknown, np.float32), (1, 2 * PARTS))])
+
+    def look(self, of: int, keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' numbers for both classes, those of an unknown one where it is not there; and whether it may be among the others."""
+        at = _find(self.keys[of], keys)
+        other = np.zeros(len(keys), bool)
+        if self.others is not None:
+            place, mask = _places(of, keys, len(self.others))
+            other = (at == len(self.keys[of])) & (self.others[place] & mask == mask)
+        return self.values[of][at[:, None], 2 * part[:, None] + np.arange(2)].astype(float), other
+
+    def ratios(self, block: Block, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """For the words of a block, each row by its part: the log-likelihood ratio (NaN where an entry may be among the others), which
+        entries may be, by bits, the rows' starts, and the hashes of word, stem, word before and pair."""
         h, stem, before, pair, first = _codes(block)
-        size = np.diff(first)
-        x = np.zeros((len(size), N_FEATURES))
-        x[:, 2] = np.log1p(size)
-        if not self.ready or not len(h):
-            return x
-        w, s, v, p = (_find(t, y) for t, y in ((self.words, h), (self.stems, stem), (self.contexts, before), (self.pairs, pair)))
-        logs = []
-        for k in (0, 1):
-            low = np.where(w < len(self.words), np.append(self.word_model[k], 0.0)[w], self.stem_model[k][s])
-            logs.append(np.log(self.pair_model[k][p] + self.rest[k][v] * low))
-        ratio = logs[1] - logs[0]
-        n = np.maximum(size, 1)
-        for column, values in ((0, ratio), (3, ratio > HOT)):
-            sums = np.r_[0.0, np.cumsum(values)]
-            x[:, column] = sums[first[1:]] - sums[first[:-1]]
-        x[:, 1], x[:, 4] = x[:, 0] / np.sqrt(n), x[:, 3] / n
-        x[:, 0] /= n
-        x[:, 3] = np.log1p(x[:, 3])
-        some = size > 0
-        x[some, 5] = np.maximum.reduceat(ratio, first[:-1][some])
-        return x
+        part = np.repeat(part, np.diff(first))
+        found = [self.look(of, keys, part) for of, keys in zip(KINDS, (h, stem, before, pair))]
+        asked = sum(other.astype(np.int32) << k for k, (_, other) in enumerate(found))
+        asked = np.where(np.isnan(found[0][0][:, 0]), asked, asked & ~2)  # a stem is asked for an unknown word alone
+        ratio = log_ratio(*(values for values, _ in found))
+        ratio[~self.ready[part]] = 0
+        asked[~self.ready[part]] = 0
+        return np.where(asked > 0, np.nan, ratio), asked, first, [h, stem, before, pair]
+
+
+def log_ratio(word: np.ndarray, stem: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    p = np.log(pair + context * np.where(np.isnan(word), stem, word))
+    return p[:, 1] - p[:, 0]
+
+
+@dataclass
+class Trained:
+    """The broadcast models, the entries that are not among them (None: all are), and the tables that hold them."""
+
+    models: Models
+    others: DataFrame | None
+    work: Workspace
+
+
+_LATE = "late array<struct<pair: long, word: long, stem: long, before: long, asked: int, n: long>>"
+
+
+def _with_others(rows: DataFrame, trained: Trained, shared) -> DataFrame:
+    """The rows of ``features`` with their late words: each distinct pair and part meets the entries that are not broadcast."""
+    rows = trained.work.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
+    late = rows.select("uid", "part", F.inline("late"))
+    kinds = rows.select("part", F.inline("late")).select("pair", "part", "word", "stem", "before", "asked").distinct()
+    wanted = F.array(*(F.struct(F.lit(of).alias("kind"), F.col(c).alias("a"), (F.col("asked").bitwiseAND(F.lit(1 << k)) != 0).alias("ask")) for k, (of, c) in enumerate(zip(KINDS, ("word", "stem", "before", "pair")))))
+    asked = kinds.select("pair", "part", F.inline(wanted)).where("ask").drop("ask")
+    met = asked.join(trained.others.select("kind", "a", "m"), ["kind", "a"]).groupBy("pair", "part").agg(*(F.max(F.when(F.col("kind") == of, F.col("m"))).alias(f"m{of}") for of in KINDS))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            part = batch.column("part").to_numpy().astype(np.int64)
+            values = []
+            for of, name in zip(KINDS, ("word", "stem", "before", "pair")):
+                v, _ = models.look(of, batch.column(name).to_numpy().view(np.uint64), part)
+                there = batch.column(f"m{of}")
+                at = np.flatnonzero(there.is_valid().to_numpy(zero_copy_only=False))
+                if len(at):
+                    v[at] = there.drop_null().flatten().to_numpy().reshape(-1, 2 * PARTS)[np.arange(len(at))[:, None], 2 * part[at, None] + np.arange(2)]
+                values.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("part"), pa.array(log_ratio(*values))], names=["pair", "part", "ratio"])
+
+    ratios = kinds.join(met, ["pair", "part"], "left").mapInArrow(resolve, "pair long, part int, ratio double")
+    sums = late.join(ratios, ["pair", "part"]).groupBy("uid").agg(F.sum(F.col("n") * F.col("ratio")).alias("more"), F.sum(F.when(F.col("ratio") > HOT, F.col("n")).otherwise(0)).alias("more_hot"), F.max("ratio").alias("high"))
+    total, hot = (F.col(c) + F.coalesce(m, F.lit(0)) for c, m in (("total", "more"), ("hot", "more_hot")))
+    return rows.drop("late").join(sums, "uid", "left").select("key", "size", total.alias("total"), hot.alias("hot"), F.greatest("top", "high").alias("top"))
+
+
+def features(rows: DataFrame, trained: Trained) -> DataFrame:
+    """(key, x0 ...) of every row (key, part, text): mean ratio, ratio over root length, log of the length, hot words (log and share), largest ratio.
+
+    Words whose entries are broadcast are summed where the text is. Pairs of words that may have other entries are
+    found by joins, each distinct pair once, and their ratios go back to the rows that hold them.
+    """
+    spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
+    shared, whole = spark.sparkContext.broadcast(trained.models), trained.others is None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for block in blocks(batches):
+            part = block.rows.column(1).to_numpy().astype(np.int64)
+            ratio, asked, first, codes = models.ratios(block, part)
+            size, some, now = np.diff(first), np.diff(first) > 0, asked == 0
+            sums = []
+            for values in (np.where(now, ratio, 0.0), now & (ratio > HOT)):
+                running = np.r_[0, np.cumsum(values)]
+                sums.append(running[first[1:]] - running[first[:-1]])
+            top = np.zeros(len(size))
+            if some.any():
+                top[some] = np.maximum.reduceat(np.where(now, ratio, -np.inf), first[:-1][some])
+            out = [block.rows.column(0), block.rows.column(1), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(top)]
+            names = ["key", "part", "size", "total", "hot", "top"]
+            if not whole:
+                at = np.flatnonzero(~now)
+                row = np.repeat(np.arange(len(size)), size)[at]
+                order = np.lexsort((codes[3][at], row))
+                at, row = at[order], row[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (codes[3][at[1:]] != codes[3][at[:-1]])]) if len(at) else at
+                n, at, row = np.diff(np.r_[new, len(row)]), at[new], row[new]
+                columns = [*(pa.array(codes[k][at].view(np.int64)) for k in (3, 0, 1, 2)), pa.array(asked[at], pa.int32()), pa.array(n.astype(np.int64))]
+                ends = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["pair", "word", "stem", "before", "asked", "n"])))
+                names.append("late")
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    got = rows.select("key", "part", "text").mapInArrow(measure, f"key {kind}, part int, size long, total double, hot long, top double" + ("" if whole else ", " + _LATE))
+    if not whole:
+        got = _with_others(got, trained, shared)
+    n = F.greatest("size", F.lit(1))
+    values = F.col("total") / n, F.col("total") / F.sqrt(n), F.log1p("size"), F.log1p("hot"), F.col("hot") / n, F.col("top")
+    return got.select("key", *(v.alias(f"x{k}") for k, v in enumerate(values)))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -330,51 +459,54 @@ class Logistic:
         z = (x - self.mean) / self.scale
         return np.column_stack([z, np.ones(len(x))])
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def column(self, names: list[str]) -> Column:
+        """The probability as a column function of the numbers' columns."""
         if self.weights is None:
-            return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self._with_one(x) @ self.weights, -30, 30)))
+            return F.lit(float(self.prior))
+        z = F.lit(float(self.weights[-1]))
+        for name, mean, scale, weight in zip(names, self.mean.tolist(), self.scale.tolist(), self.weights.tolist()):
+            z = z + (F.col(name) - mean) / scale * weight
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text: str = "text") -> tuple[Models, Logistic]:
-    """The models of all training rows; the classifier's sample brings one row of features a sampled row to the driver."""
+def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> Trained:
+    """The models of all training rows. At most ``most`` entries, those of the largest counts, reach the driver and are broadcast."""
     work = Workspace(docs.sparkSession)
     rows = marked(docs, labels, work, id_col, text)
     bits = max(6, 3 + int(docs.rdd.getNumPartitions() - 1).bit_length())  # so a bucket stays small as the input grows
     counted = work.keep(model_counts(packed_counts(rows, bits, text)))
+    del rows
     work.free()
-    discount = least_discount(counted)
-    got = counted.where((F.col("top") > discount) | (F.col("kind") >= WORD_SUM)).toArrow()
+    level = broadcast_level(counted, most)
+    made, unknown_stem, ready = smoothed(counted)
+    entries = work.keep(made)
     work.drop(counted)
-    kind, a, b = (got.column(k).to_numpy() for k in range(3))
-    counts = kind, a.view(np.uint64), b.view(np.uint64), np.column_stack([got.column(k + 4).to_numpy() for k in range(N_VALUES)]), discount
-    del got
-    halves = docs.sparkSession.sparkContext.broadcast([Models(*counts, part=1 - k) for k in (0, 1)])
-    sample = labelled_sample(docs, labels, limit, id_col, text)
-
-    names = [f"x{k}" for k in range(N_FEATURES)]
+    del made
+    work.free()
+    often = F.col("top") > level
+    got = entries.where(often).select("kind", "a", "m").toArrow()
+    kind, a = (got.column(k).to_numpy() for k in range(2))
+    m = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in got.column(2).chunks)]).reshape(-1, 2 * PARTS)
+    others = entries.where(~often) if level > DISCOUNT else None
+    if others is None:
+        work.drop(entries)
+    return Trained(Models(kind, a.view(np.uint64), m, unknown_stem, ready, None if others is None else entry_filter(others)), others, work)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            half = block.rows.column(2).to_numpy(zero_copy_only=False)
-            both = [m.features(block) for m in halves.value]
-            x = np.where(half[:, None] == 0, both[0], both[1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in x.T), block.rows.column(1)], names=[*names, "y"])
 
-    got = sample.select(text, "toxic", "half").mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", y int").toPandas()
-    halves.destroy()
-    return Models(*counts), Logistic(got[names].to_numpy(float), got.y.to_numpy(float))
+NAMES = [f"x{k}" for k in range(N_FEATURES)]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, MAX_LABELLED, id_col, text))
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> tuple[Trained, Logistic]:
+    """The models of all training rows; the classifier's sample, each row measured by the models of the other half, brings one row of numbers a sampled row to the driver."""
+    trained = train_models(docs, labels, id_col, text, most)
+    sample = labelled_sample(docs, labels, limit, id_col, text)
+    got = features(sample.select(F.col("toxic").alias("key"), (1 - F.col("half")).alias("part"), F.col(text).alias("text")), trained).toPandas()
+    return trained, Logistic(got[NAMES].to_numpy(float), got.key.to_numpy(float))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, judge = shared.value
-        for block in blocks(batches, text):
-            yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(judge(models.features(block)))], names=["id", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text).mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> DataFrame:
+    """(id, held_out, score, predicted) for every row of ``docs``."""
+    trained, judge = train(docs, labels, MAX_LABELLED, id_col, text, most)
+    out = features(docs.select(F.col(id_col).alias("key"), F.lit(PARTS - 1).alias("part"), F.col(text).alias("text")), trained)
+    out = out.select(F.col("key").alias(id_col), judge.column(NAMES).alias("score"))
     return out.select(id_col, F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -301,22 +301,40 @@ def test_toxicity_ratio_equals_plain_kneser_ney(spark):
     texts = [[("mean" if r.random() < 0.2 and i % 3 == 0 else "word") + str(int(12 * r.random() ** 2)) for _ in range(r.randrange(1, 40))] for i in range(200)]
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, [" ".join(t) for t in texts])
-    models, _ = toxicity.train(docs, labels)
     rows = [(texts[x.doc_id], x.toxic) for x in toxicity.training_labels(labels).collect()]
     probability = plain_kneser_ney(rows, texts, toxicity.DISCOUNT)
+    asked = docs.selectExpr("doc_id as key", "2 as part", "text")
     # What no class holds more often than the discount is left out, alike for both, so ratios agree where probabilities need not.
-    got = models.features(words_block([" ".join(t) for t in texts]))[:, 0]
-    for text, value in zip(texts, got):
-        want = [math.log(probability(1, b, w)) - math.log(probability(0, b, w)) for b, w in zip([None, *text], text)]
-        assert value == pytest.approx(sum(want) / len(want), abs=2e-4)
-
-
-def test_toxicity_discount_rises_where_the_table_would_be_too_large(spark):
+    for most in (toxicity.MAX_ENTRIES, 20, 0):  # all entries are broadcast, some are, none is
+        trained = toxicity.train_models(docs, labels, most=most)
+        assert (trained.others is None) == (most == toxicity.MAX_ENTRIES)
+        got = {r.key: r for r in toxicity.features(asked, trained).collect()}
+        for k, text in enumerate(texts):
+            want = [math.log(probability(1, b, w)) - math.log(probability(0, b, w)) for b, w in zip([None, *text], text)]
+            assert got[k].x0 == pytest.approx(sum(want) / len(want), abs=2e-4)
+            assert got[k].x4 == sum(x > toxicity.HOT for x in want) / len(want)
+            assert got[k].x5 == pytest.approx(max(want), abs=2e-4)
+
+
+def test_toxicity_does_not_depend_on_the_number_of_broadcast_entries(spark):
+    r = random.Random(7)
+    texts = [" ".join([f"word{int(300 * r.random() ** 3)}" for _ in range(r.randrange(60))] + [f"slur{r.randrange(9)}", "idiot"] * (i % 5 == 0)) for i in range(600)] + [None, "", "unseen", texts_repeat := "word1 slur1 idiot", texts_repeat]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    whole, *parts = ({r.doc_id: r.score for r in toxicity.toxicity(docs, labels, most=most).collect()} for most in (toxicity.MAX_ENTRIES, 200, 0))
+    assert len(whole) == len(texts)
+    for part in parts:
+        assert part == pytest.approx(whole, abs=1e-4)
+    no_class = toxicity.toxicity(docs, labels.where("toxic = 0"), most=0).select("score").distinct().collect()
+    assert len(no_class) == 1
+    assert toxicity.toxicity(docs.limit(0), labels, most=0).count() == 0
+
+
+def test_toxicity_broadcast_entries_are_bounded(spark):
     rows = [(0, k, 0, float(3 + k % 50)) for k in range(1000)]
     counts = spark.createDataFrame(rows, "kind int, a long, b long, top float")
-    assert toxicity.least_discount(counts) == toxicity.DISCOUNT
-    raised = toxicity.least_discount(counts, 300)
-    assert sum(t > raised for *_, t in rows) <= 300 < sum(t > raised / 2 ** (1 / 4) for *_, t in rows)
+    assert toxicity.broadcast_level(counts) == toxicity.DISCOUNT
+    level = toxicity.broadcast_level(counts, 300)
+    assert sum(t > level for *_, t in rows) <= 300 < sum(t > level / 2 ** (1 / 4) for *_, t in rows)
 
 
 def test_bare_repeats_are_found_in_small_and_large_corpora(spark):

@@ -3,6 +3,7 @@
 import itertools
 import re
 
+import numpy as np
 import pytest
 
 from sourceloom.llm import chat_repair, decontamination, fixity, license_scan, mixing, toxicity
@@ -117,9 +118,9 @@ def test_toxicity_models_hold_every_training_row(spark):
 
     texts = [f"common words {i % 9} here " + (f"slur{i // 40} idiot slur{i // 40} " if i % 4 == 0 else "fine ") for i in range(800)]
     labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
-    models, _ = toxicity.train(docs_of(spark, texts), labels, limit=20)
+    trained, _ = toxicity.train(docs_of(spark, texts), labels, limit=20)
     pairs = toxicity._codes(words_block([f"idiot slur{k}" for k in range(20)]))[3][1::2]
-    assert set(pairs.tolist()) <= set(models.pairs.tolist())
+    assert set(pairs.tolist()) <= set(trained.models.keys[toxicity.PAIR].tolist())
 
 
 def test_toxicity_lower_orders_count_contexts(spark):
@@ -127,14 +128,13 @@ def test_toxicity_lower_orders_count_contexts(spark):
 
     texts = [f"plain {i} text of {i} words" + (f" madam zorro then a{i} idiot" if i % 4 == 0 else "") for i in range(200)]
     labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
-    models, _ = toxicity.train(docs_of(spark, texts), labels)
+    models = toxicity.train_models(docs_of(spark, texts), labels).models
     weight = {}
     for word in ("zorro", "idiot"):  # equally frequent, the first in one context only
         h, _ = word_hashes(words_block([word]), between=letters_only())
-        known = models.words.tolist().index(h[0]) if h[0] in models.words else None
         stem, _ = word_hashes(words_block([word]), between=letters_only(), longest=toxicity.STEM_BYTES)
-        at = int(toxicity._find(models.stems, stem)[0])
-        weight[word] = models.stem_model[1][at] if known is None else models.word_model[1][known]
+        (of_word, _), (of_stem, _) = (models.look(kind, keys, np.array([2])) for kind, keys in ((toxicity.WORD, h), (toxicity.STEM, stem)))
+        weight[word] = of_stem[0, 1] if np.isnan(of_word[0, 1]) else of_word[0, 1]
     assert weight["zorro"] < 0.5 * weight["idiot"]
 
 
