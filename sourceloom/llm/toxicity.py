@@ -35,7 +35,8 @@ STEM_BYTES = 5
 HOT = 1.5
 HELD_TOKENS = 3 << 20  # a task counts this many words at once
 N_FEATURES = 6
-MAX_ENTRIES = 1 << 20  # broadcast
+MAX_ENTRIES = 1 << 22  # broadcast for scoring, 16 bytes each
+SAMPLE_ENTRIES = 1 << 18  # broadcast for the classifier's sample, 24 bytes each
 FILTER_WORDS = 1 << 22  # 64-bit words of the filter of the other entries
 MAX_BROADCAST = 1 << 22
 _BETWEEN = letters_only()
@@ -249,7 +250,7 @@ _IN_PART = [1 + 3 * k + part for part in range(PARTS) for k in (0, 1)]  # values
 
 
 def smoothed(counts: DataFrame) -> tuple[DataFrame, list[float], list[bool]]:
-    """(kind, a, top, m): of each word, stem, context and pair its smoothed numbers, of each part for both classes; those of a stem
+    """(kind, a, top, m0 ...): of each word, stem, context and pair its smoothed numbers, of each part for both classes; those of a stem
     that is not known; and which parts have rows of both classes.
 
     Of a word and a stem these are its probability below a pair, of a pair what is left of its count, of a context what it leaves to its words.
@@ -263,21 +264,21 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, list[float], list[bool]]:
     size = {(kind, j): max(total(kind, f"s{j}"), 1.0) for kind in (WORD_SUM, STEM_SUM) for j in _IN_PART}
     left = {j: (size[WORD_SUM, j] - total(WORD, f"t{j}")) / size[WORD_SUM, j] for j in _IN_PART}  # what words leave to stems
     share = {j: (size[STEM_SUM, j] - total(STEM, f"t{j}")) / size[STEM_SUM, j] / (total(STEM_SUM, "s0") + 1) for j in _IN_PART}  # and stems to the shared counts
-    model = lambda values: F.array(*values).cast("array<float>").alias("m")
+    model = lambda values: [v.cast("float").alias(f"m{i}") for i, v in enumerate(values)]
 
     def entries(kind: int) -> DataFrame:
         return counts.where(F.col("kind") == kind)
 
     of_stem = [left[j] * (taken(j) / size[STEM_SUM, j] + share[j] * F.col("v0")) for j in _IN_PART]
-    stems = entries(STEM).select("kind", "a", "top", model(of_stem))
+    stems = entries(STEM).select("kind", "a", "top", *model(of_stem))
     home = entries(STEM).select(F.col("a").alias("b"), F.array(*of_stem).alias("of_stem"), F.col("v7").alias("whole"))  # a word's stem is at least as frequent, so it is there
     within = F.col("v0") / F.col("whole")  # a word's share of its stem, the same for both classes
-    words = entries(WORD).join(home, "b").select("kind", "a", "top", model([taken(j) / size[WORD_SUM, j] + F.col("of_stem")[i] * within for i, j in enumerate(_IN_PART)]))
+    words = entries(WORD).join(home, "b").select("kind", "a", "top", *model([taken(j) / size[WORD_SUM, j] + F.col("of_stem")[i] * within for i, j in enumerate(_IN_PART)]))
     counted = entries(CONTEXT).select(F.col("a").alias("b"), F.col("top").alias("often"), *(F.greatest(F.col(f"v{j}").cast("double"), F.lit(1.0)).alias(f"n{j}") for j in _IN_PART))
     pairs = entries(PAIR).select("a", "b", "top", *(f"v{j}" for j in _IN_PART)).join(counted, "b")  # and so is a pair's context
     rest = pairs.groupBy("b").agg(*(F.sum(taken(j) / F.col(f"n{j}")).alias(f"r{j}") for j in _IN_PART))
-    contexts = counted.select("b", "often").join(rest, "b", "left").select(F.lit(CONTEXT).alias("kind"), F.col("b").alias("a"), F.col("often").alias("top"), model([1 - F.coalesce(f"r{j}", F.lit(0.0)) for j in _IN_PART]))
-    pairs = pairs.select(F.lit(PAIR).alias("kind"), "a", "top", model([taken(j) / F.col(f"n{j}") for j in _IN_PART]))
+    contexts = counted.select("b", "often").join(rest, "b", "left").select(F.lit(CONTEXT).alias("kind"), F.col("b").alias("a"), F.col("often").alias("top"), *model([1 - F.coalesce(f"r{j}", F.lit(0.0)) for j in _IN_PART]))
+    pairs = pairs.select(F.lit(PAIR).alias("kind"), "a", "top", *model([taken(j) / F.col(f"n{j}") for j in _IN_PART]))
     return stems.unionByName(words).unionByName(contexts).unionByName(pairs), [left[j] * share[j] for j in _IN_PART], ready
 
 
@@ -292,8 +293,8 @@ def _places(kind: np.ndarray | int, keys: np.ndarray, size: int) -> tuple[np.nda
 
 
 def entry_filter(entries: DataFrame) -> np.ndarray:
-    """A Bloom filter of the entries' kinds and hashes, of 16 bits an entry and ``FILTER_WORDS`` words at most; beyond that it lets more through, which costs time and no result."""
-    size = min(FILTER_WORDS, max(64, 1 << int(entries.count() // 4).bit_length()))
+    """A Bloom filter of the entries' kinds and hashes, of 32 bits an entry and ``FILTER_WORDS`` words at most; beyond that it lets more through, which costs time and no result."""
+    size = min(FILTER_WORDS, max(64, 1 << int(entries.count() // 2).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,16 +308,16 @@ def entry_filter(entries: DataFrame) -> np.ndarray:
 
 
 class Models:
-    """Both classes' smoothed models of all parts: sorted arrays of the entries that are broadcast, and a filter of the others (none: there are no others)."""
+    """Both classes' smoothed models of some parts (from ``first`` on): sorted arrays of the entries that are broadcast, and a filter of the others (none: there are no others)."""
 
-    def __init__(self, kind: np.ndarray, a: np.ndarray, m: np.ndarray, unknown_stem: list[float], ready: list[bool], others: np.ndarray | None = None):
-        self.ready, self.others = np.array(ready), others
+    def __init__(self, kind: np.ndarray, a: np.ndarray, m: np.ndarray, unknown_stem: list[float], ready: list[bool], first: int = 0, others: np.ndarray | None = None):
+        self.ready, self.first, self.others = np.array(ready), first, others
         self.keys, self.values = {}, {}
         for of, unknown in ((WORD, np.nan), (STEM, unknown_stem), (CONTEXT, 1.0), (PAIR, 0.0)):
             at = np.flatnonzero(kind == of)
             at = at[np.argsort(a[at])]
             self.keys[of] = a[at]
-            self.values[of] = np.concatenate([m[at], np.broadcast_to(np.asarray(unknown, np.float32), (1, 2 * PARTS))])
+            self.values[of] = np.concatenate([m[at], np.broadcast_to(np.asarray(unknown, np.float32), (1, m.shape[1]))])
 
     def look(self, of: int, keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries' numbers for both classes, those of an unknown one where it is not there; and whether it may be among the others."""
@@ -325,7 +326,10 @@ class Models:
         if self.others is not None:
             place, mask = _places(of, keys, len(self.others))
             other = (at == len(self.keys[of])) & (self.others[place] & mask == mask)
-        return self.values[of][at[:, None], 2 * part[:, None] + np.arange(2)].astype(float), other
+        return self.values[of][at[:, None], self.columns(part)].astype(float), other
+
+    def columns(self, part: np.ndarray) -> np.ndarray:
+        return 2 * (part[:, None] - self.first) + np.arange(2)
 
     def ratios(self, block: Block, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """For the words of a block, each row by its part: the log-likelihood ratio (NaN where an entry may be among the others), which
@@ -336,8 +340,8 @@ class Models:
         asked = sum(other.astype(np.int32) << k for k, (_, other) in enumerate(found))
         asked = np.where(np.isnan(found[0][0][:, 0]), asked, asked & ~2)  # a stem is asked for an unknown word alone
         ratio = log_ratio(*(values for values, _ in found))
-        ratio[~self.ready[part]] = 0
-        asked[~self.ready[part]] = 0
+        poor = ~self.ready[part]
+        ratio[poor], asked[poor] = 0, 0
         return np.where(asked > 0, np.nan, ratio), asked, first, [h, stem, before, pair]
 
 
@@ -347,25 +351,46 @@ def log_ratio(word: np.ndarray, stem: np.ndarray, context: np.ndarray, pair: np.
 
 
 @dataclass
-class Trained:
-    """The broadcast models, the entries that are not among them (None: all are), and the tables that hold them."""
+class Split:
+    """Broadcast models, the entries that are not among them (None: all are), and a place for tables."""
 
     models: Models
     others: DataFrame | None
     work: Workspace
 
 
+@dataclass
+class Trained:
+    """The smoothed entries of all parts in a table, a stem's numbers that is not known, and the parts that have both classes."""
+
+    entries: DataFrame
+    unknown_stem: list[float]
+    ready: list[bool]
+    work: Workspace
+
+    def broadcast(self, parts: range, most: int) -> Split:
+        """The models of some parts with at most ``most`` entries, those of the largest counts, and the other entries."""
+        level, names = broadcast_level(self.entries, most), [f"m{2 * part + k}" for part in parts for k in (0, 1)]
+        often = F.col("top") > level
+        got = self.entries.where(often).select("kind", "a", *names).toArrow()
+        kind, a, m = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64), np.column_stack([got.column(name).to_numpy() for name in names])
+        del got
+        others = self.entries.where(~often).select("kind", "a", F.array(*names).alias("m")) if level > DISCOUNT else None
+        unknown = self.unknown_stem[2 * parts.start : 2 * parts.stop]
+        return Split(Models(kind, a, m, unknown, self.ready, parts.start, None if others is None else entry_filter(others)), others, self.work)
+
+
 _LATE = "late array<struct<pair: long, word: long, stem: long, before: long, asked: int, n: long>>"
 
 
-def _with_others(rows: DataFrame, trained: Trained, shared) -> DataFrame:
+def _with_others(rows: DataFrame, split: Split, shared) -> DataFrame:
     """The rows of ``features`` with their late words: each distinct pair and part meets the entries that are not broadcast."""
-    rows = trained.work.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
+    rows = split.work.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
     late = rows.select("uid", "part", F.inline("late"))
     kinds = rows.select("part", F.inline("late")).select("pair", "part", "word", "stem", "before", "asked").distinct()
     wanted = F.array(*(F.struct(F.lit(of).alias("kind"), F.col(c).alias("a"), (F.col("asked").bitwiseAND(F.lit(1 << k)) != 0).alias("ask")) for k, (of, c) in enumerate(zip(KINDS, ("word", "stem", "before", "pair")))))
     asked = kinds.select("pair", "part", F.inline(wanted)).where("ask").drop("ask")
-    met = asked.join(trained.others.select("kind", "a", "m"), ["kind", "a"]).groupBy("pair", "part").agg(*(F.max(F.when(F.col("kind") == of, F.col("m"))).alias(f"m{of}") for of in KINDS))
+    met = asked.join(split.others, ["kind", "a"]).groupBy("pair", "part").agg(*(F.max(F.when(F.col("kind") == of, F.col("m"))).alias(f"m{of}") for of in KINDS))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -377,7 +402,7 @@ def _with_others(rows: DataFrame, trained: Trained, shared) -> DataFrame:
                 there = batch.column(f"m{of}")
                 at = np.flatnonzero(there.is_valid().to_numpy(zero_copy_only=False))
                 if len(at):
-                    v[at] = there.drop_null().flatten().to_numpy().reshape(-1, 2 * PARTS)[np.arange(len(at))[:, None], 2 * part[at, None] + np.arange(2)]
+                    v[at] = there.drop_null().flatten().to_numpy().reshape(-1, models.values[of].shape[1])[np.arange(len(at))[:, None], models.columns(part[at])]
                 values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("part"), pa.array(log_ratio(*values))], names=["pair", "part", "ratio"])
 
@@ -387,14 +412,14 @@ def _with_others(rows: DataFrame, trained: Trained, shared) -> DataFrame:
     return rows.drop("late").join(sums, "uid", "left").select("key", "size", total.alias("total"), hot.alias("hot"), F.greatest("top", "high").alias("top"))
 
 
-def features(rows: DataFrame, trained: Trained) -> DataFrame:
+def features(rows: DataFrame, split: Split) -> DataFrame:
     """(key, x0 ...) of every row (key, part, text): mean ratio, ratio over root length, log of the length, hot words (log and share), largest ratio.
 
     Words whose entries are broadcast are summed where the text is. Pairs of words that may have other entries are
     found by joins, each distinct pair once, and their ratios go back to the rows that hold them.
     """
     spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
-    shared, whole = spark.sparkContext.broadcast(trained.models), trained.others is None
+    shared, whole = spark.sparkContext.broadcast(split.models), split.others is None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -426,7 +451,7 @@ def features(rows: DataFrame, trained: Trained) -> DataFrame:
 
     got = rows.select("key", "part", "text").mapInArrow(measure, f"key {kind}, part int, size long, total double, hot long, top double" + ("" if whole else ", " + _LATE))
     if not whole:
-        got = _with_others(got, trained, shared)
+        got = _with_others(got, split, shared)
     n = F.greatest("size", F.lit(1))
     values = F.col("total") / n, F.col("total") / F.sqrt(n), F.log1p("size"), F.log1p("hot"), F.col("hot") / n, F.col("top")
     return got.select("key", *(v.alias(f"x{k}") for k, v in enumerate(values)))
@@ -469,44 +494,40 @@ class Logistic:
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> Trained:
-    """The models of all training rows. At most ``most`` entries, those of the largest counts, reach the driver and are broadcast."""
+def train_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> Trained:
+    """The models of all training rows, in a table."""
     work = Workspace(docs.sparkSession)
     rows = marked(docs, labels, work, id_col, text)
     bits = max(6, 3 + int(docs.rdd.getNumPartitions() - 1).bit_length())  # so a bucket stays small as the input grows
     counted = work.keep(model_counts(packed_counts(rows, bits, text)))
     del rows
     work.free()
-    level = broadcast_level(counted, most)
-    made, unknown_stem, ready = smoothed(counted)
-    entries = work.keep(made)
+    entries, unknown_stem, ready = smoothed(counted)
+    trained = Trained(work.keep(entries), unknown_stem, ready, work)
     work.drop(counted)
-    del made
+    del entries
     work.free()
-    often = F.col("top") > level
-    got = entries.where(often).select("kind", "a", "m").toArrow()
-    kind, a = (got.column(k).to_numpy() for k in range(2))
-    m = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in got.column(2).chunks)]).reshape(-1, 2 * PARTS)
-    others = entries.where(~often) if level > DISCOUNT else None
-    if others is None:
-        work.drop(entries)
-    return Trained(Models(kind, a.view(np.uint64), m, unknown_stem, ready, None if others is None else entry_filter(others)), others, work)
+    return trained
 
 
 NAMES = [f"x{k}" for k in range(N_FEATURES)]
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> tuple[Trained, Logistic]:
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE_ENTRIES) -> tuple[Trained, Logistic]:
     """The models of all training rows; the classifier's sample, each row measured by the models of the other half, brings one row of numbers a sampled row to the driver."""
-    trained = train_models(docs, labels, id_col, text, most)
+    trained = train_models(docs, labels, id_col, text)
     sample = labelled_sample(docs, labels, limit, id_col, text)
-    got = features(sample.select(F.col("toxic").alias("key"), (1 - F.col("half")).alias("part"), F.col(text).alias("text")), trained).toPandas()
+    rows = sample.select(F.col("toxic").alias("key"), (1 - F.col("half")).alias("part"), F.col(text).alias("text"))
+    got = features(rows, trained.broadcast(range(PARTS - 1), most)).toPandas()
     return trained, Logistic(got[NAMES].to_numpy(float), got.key.to_numpy(float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text: str = "text", most: int = MAX_ENTRIES) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``."""
-    trained, judge = train(docs, labels, MAX_LABELLED, id_col, text, most)
-    out = features(docs.select(F.col(id_col).alias("key"), F.lit(PARTS - 1).alias("part"), F.col(text).alias("text")), trained)
+    """(id, held_out, score, predicted) for every row of ``docs``; at most ``most`` entries of the models are broadcast."""
+    trained, judge = train(docs, labels, MAX_LABELLED, id_col, text, min(most, SAMPLE_ENTRIES))
+    split = trained.broadcast(range(PARTS - 1, PARTS), most)
+    out = features(docs.select(F.col(id_col).alias("key"), F.lit(PARTS - 1).alias("part"), F.col(text).alias("text")), split)
+    if split.others is None:
+        trained.work.drop(trained.entries)
     out = out.select(F.col("key").alias(id_col), judge.column(NAMES).alias("score"))
     return out.select(id_col, F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

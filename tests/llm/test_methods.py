@@ -303,12 +303,12 @@ def test_toxicity_ratio_equals_plain_kneser_ney(spark):
     docs = docs_of(spark, [" ".join(t) for t in texts])
     rows = [(texts[x.doc_id], x.toxic) for x in toxicity.training_labels(labels).collect()]
     probability = plain_kneser_ney(rows, texts, toxicity.DISCOUNT)
-    asked = docs.selectExpr("doc_id as key", "2 as part", "text")
+    trained, asked = toxicity.train_models(docs, labels), docs.selectExpr("doc_id as key", "2 as part", "text")
     # What no class holds more often than the discount is left out, alike for both, so ratios agree where probabilities need not.
     for most in (toxicity.MAX_ENTRIES, 20, 0):  # all entries are broadcast, some are, none is
-        trained = toxicity.train_models(docs, labels, most=most)
-        assert (trained.others is None) == (most == toxicity.MAX_ENTRIES)
-        got = {r.key: r for r in toxicity.features(asked, trained).collect()}
+        split = trained.broadcast(range(2, 3), most)
+        assert (split.others is None) == (most == toxicity.MAX_ENTRIES)
+        got = {r.key: r for r in toxicity.features(asked, split).collect()}
         for k, text in enumerate(texts):
             want = [math.log(probability(1, b, w)) - math.log(probability(0, b, w)) for b, w in zip([None, *text], text)]
             assert got[k].x0 == pytest.approx(sum(want) / len(want), abs=2e-4)

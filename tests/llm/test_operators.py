@@ -120,7 +120,7 @@ def test_toxicity_models_hold_every_training_row(spark):
     labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
     trained, _ = toxicity.train(docs_of(spark, texts), labels, limit=20)
     pairs = toxicity._codes(words_block([f"idiot slur{k}" for k in range(20)]))[3][1::2]
-    assert set(pairs.tolist()) <= set(trained.models.keys[toxicity.PAIR].tolist())
+    assert set(pairs.tolist()) <= set(trained.broadcast(range(2, 3), toxicity.MAX_ENTRIES).models.keys[toxicity.PAIR].tolist())
 
 
 def test_toxicity_lower_orders_count_contexts(spark):
@@ -128,7 +128,7 @@ def test_toxicity_lower_orders_count_contexts(spark):
 
     texts = [f"plain {i} text of {i} words" + (f" madam zorro then a{i} idiot" if i % 4 == 0 else "") for i in range(200)]
     labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
-    models = toxicity.train_models(docs_of(spark, texts), labels).models
+    models = toxicity.train_models(docs_of(spark, texts), labels).broadcast(range(2, 3), toxicity.MAX_ENTRIES).models
     weight = {}
     for word in ("zorro", "idiot"):  # equally frequent, the first in one context only
         h, _ = word_hashes(words_block([word]), between=letters_only())
