@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,9 +111,14 @@ def packed_counts(rows: DataFrame, bits: int, text: str = "text") -> DataFrame:
     def counted(parts: list[tuple]) -> pa.RecordBatch:
         stem, word, before, mark = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
-        _, one, n = np.unique(mix64(mix64(before) + word) + mark, return_index=True, return_counts=True)
-        order = np.lexsort((before[one], word[one], stem[one]))  # within a word by what stands before, so upper bytes repeat
-        one, n = one[order], n[order]
+        order = np.lexsort((mark, before, word, stem))  # within a word by what stands before, so upper bytes repeat
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for key in (mark, before, word, stem):  # one sorted copy at a time, as two workers share an executor's memory
+            key = key[order]
+            new[1:] |= key[1:] != key[:-1]
+        one, n = order[new], np.diff(np.r_[np.flatnonzero(new), len(order)])
+        del order, new, key
         stem, word, before, mark = stem[one], word[one], before[one], mark[one]
         first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (stem[1:] != stem[:-1])])
         some = mark > 0
@@ -354,10 +360,14 @@ def log_ratio(word: np.ndarray, stem: np.ndarray, context: np.ndarray, pair: np.
 class Split:
     """Broadcast models, the entries that are not among them (None: all are), and a place for tables."""
 
-    models: Models
+    shared: Broadcast
     others: DataFrame | None
     work: Workspace
 
+    @property
+    def models(self) -> Models:
+        return self.shared.value
+
 
 @dataclass
 class Trained:
@@ -377,14 +387,16 @@ class Trained:
         del got
         others = self.entries.where(~often).select("kind", "a", F.array(*names).alias("m")) if level > DISCOUNT else None
         unknown = self.unknown_stem[2 * parts.start : 2 * parts.stop]
-        return Split(Models(kind, a, m, unknown, self.ready, parts.start, None if others is None else entry_filter(others)), others, self.work)
+        models = Models(kind, a, m, unknown, self.ready, parts.start, None if others is None else entry_filter(others))
+        return Split(self.entries.sparkSession.sparkContext.broadcast(models), others, self.work)
 
 
 _LATE = "late array<struct<pair: long, word: long, stem: long, before: long, asked: int, n: long>>"
 
 
-def _with_others(rows: DataFrame, split: Split, shared) -> DataFrame:
+def _with_others(rows: DataFrame, split: Split) -> DataFrame:
     """The rows of ``features`` with their late words: each distinct pair and part meets the entries that are not broadcast."""
+    shared = split.shared
     rows = split.work.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
     late = rows.select("uid", "part", F.inline("late"))
     kinds = rows.select("part", F.inline("late")).select("pair", "part", "word", "stem", "before", "asked").distinct()
@@ -418,8 +430,7 @@ def features(rows: DataFrame, split: Split) -> DataFrame:
     Words whose entries are broadcast are summed where the text is. Pairs of words that may have other entries are
     found by joins, each distinct pair once, and their ratios go back to the rows that hold them.
     """
-    spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
-    shared, whole = spark.sparkContext.broadcast(split.models), split.others is None
+    kind, shared, whole = rows.schema["key"].dataType.simpleString(), split.shared, split.others is None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -451,7 +462,7 @@ def features(rows: DataFrame, split: Split) -> DataFrame:
 
     got = rows.select("key", "part", "text").mapInArrow(measure, f"key {kind}, part int, size long, total double, hot long, top double" + ("" if whole else ", " + _LATE))
     if not whole:
-        got = _with_others(got, split, shared)
+        got = _with_others(got, split)
     n = F.greatest("size", F.lit(1))
     values = F.col("total") / n, F.col("total") / F.sqrt(n), F.log1p("size"), F.log1p("hot"), F.col("hot") / n, F.col("top")
     return got.select("key", *(v.alias(f"x{k}") for k, v in enumerate(values)))
@@ -518,7 +529,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col:
     trained = train_models(docs, labels, id_col, text)
     sample = labelled_sample(docs, labels, limit, id_col, text)
     rows = sample.select(F.col("toxic").alias("key"), (1 - F.col("half")).alias("part"), F.col(text).alias("text"))
-    got = features(rows, trained.broadcast(range(PARTS - 1), most)).toPandas()
+    halves = trained.broadcast(range(PARTS - 1), most)
+    got = features(rows, halves).toPandas()
+    halves.shared.destroy()
     return trained, Logistic(got[NAMES].to_numpy(float), got.key.to_numpy(float))
 
 
