@@ -34,7 +34,7 @@ MAX_LABELLED = 4000
 DISCOUNT = 2.0
 STEM_BYTES = 5
 HOT = 1.5
-HELD_TOKENS = 3 << 20  # a task counts this many words at once
+HELD_TOKENS = 5 << 19  # a task counts this many words at once
 N_FEATURES = 6
 MAX_ENTRIES = 1 << 22  # broadcast for scoring, 16 bytes each
 SAMPLE_ENTRIES = 1 << 18  # broadcast for the classifier's sample, 24 bytes each
