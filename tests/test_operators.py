@@ -473,3 +473,31 @@ def test_quarantine_loses_no_record(spark):
     imports = spark.createDataFrame([('{"repo":"r","language":"python","file":"f","local":"x","module":"m","ord":1}',), ('{"repo":"r","language":"python","file":"f","local":"","module":"m"}',)], "text string")
     taken, rejected = ingest_facts(imports, "imports")
     assert taken.count() == 1 and [x.reason for x in rejected.collect()] == ["no local name"]
+
+
+def test_small_components_of_a_large_repository_need_no_halving(spark):
+    """A repository of many packets whose components are small is parted into them, each merged and cut by a task; the levels are a greedy loop's."""
+    n = 120
+    own = [(f"i{k:03}{j}", f"i{k:03}{j + 1}", float((k * 7 + j * 5) % 11)) for k in range(n) for j in range(4)]
+    weighted = spark.createDataFrame([("r", a, b, w, 0) for a, b, w in own], "repo string, source string, target string, weight double, ord long").repartition(3)
+    nodes = spark.createDataFrame([("r", f"i{k:03}{j}") for k in range(n) for j in range(5)] + [("r", "single")], "repo string, id string")
+    tree = forests.merge_tree(forests.minimum_spanning_forest(weighted, 40), 40)
+    got = clustering.cluster_levels(nodes, tree, [0.3, 0.7]).collect()
+    assert all(x.part for x in tree.collect()) and len(got) == 2 * (5 * n + 1)
+    for level in (0.3, 0.7):
+        budget = int(((0.999 - level) / 0.998) * 5 * n)
+        want = unite([x.id for x in nodes.collect()], [e[:2] for e in sorted(own, key=lambda e: (e[2], e[:2]))][:budget])
+        sets = {}
+        for x in got:
+            if x.level == level:
+                sets.setdefault(x.cluster_id, set()).add(x.id)
+        assert {frozenset(s) for s in sets.values()} == want and all(c == min(s) for c, s in sets.items())
+
+
+@pytest.mark.parametrize("packet", [1 << 20, 20])
+def test_contraction_equals_stars(spark, packet):
+    n = 300
+    path = spark.range(n).selectExpr("struct('r' AS repo, concat('i', id) AS id) AS a", "struct('r' AS repo, concat('i', id + 1) AS id) AS b")
+    hub = spark.range(n).selectExpr("struct('s' AS repo, 'hub' AS id) AS a", "struct('s' AS repo, concat('i', id) AS id) AS b")
+    got = sorted(map(str, components.contracted_components(path.unionByName(hub), packet).collect()))
+    assert got == sorted(map(str, components.star_components(path.unionByName(hub)).collect()))
