@@ -123,15 +123,14 @@ def library_packages(spark, sf_dir):
 
 def sources_text(spark: SparkSession, sf_dir: str, braces: bool = False) -> DataFrame:
     """(repo, file, text): a file an order, with a function for each line of it, of as many statements as its quantity's tens, and one for the order."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 10).cast("int").alias("k")).distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 10).cast("int").alias("k")).repartition("l_orderkey")
     if braces:
         one = F.concat(F.lit("function f"), F.col("l_linenumber").cast("string"), F.lit("() {\n"), F.expr("repeat('  if (x) { y(); }\n', k)"), F.lit("}\n"))
         head, tail = F.lit("class A extends B implements C, D {\n"), F.lit("}")
     else:
         one = F.concat(F.lit("  def f"), F.col("l_linenumber").cast("string"), F.lit("(self):\r\n"), F.expr("repeat('    y()\r\n\r\n', k)"))
         head, tail = F.lit("class A:\r\n"), F.lit("z()\r\n")
-    parts = items.groupBy("l_orderkey", "l_linenumber").agg(F.max("k").alias("k")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))).alias("l"))
-    rows = parts.select("l_orderkey", F.explode("l").alias("x")).select("l_orderkey", "x.l_linenumber", "x.k").select("l_orderkey", "l_linenumber", one.alias("one"))
+    rows = items.groupBy("l_orderkey", "l_linenumber").agg(F.max("k").alias("k")).select("l_orderkey", "l_linenumber", one.alias("one"))
     text = F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "one"))), lambda x: x["one"]), ""), tail)
     return rows.groupBy("l_orderkey").agg(text.alias("text")).select(F.lit("shop").alias("repo"), text_id("o", "l_orderkey").alias("file"), "text")
 
@@ -145,17 +144,17 @@ def source_lines(spark, sf_dir):
 
 
 def extents_python(spark, sf_dir):
-    lines = source_text.source_lines(sources_text(spark, sf_dir))
+    lines = source_text.source_lines(Workspace(spark).keep(sources_text(spark, sf_dir)))
     return source_text.extents_by_indentation(_found(lines, r"def (\w+)"), lines).select("id", "start", "end")
 
 
 def extents_braces(spark, sf_dir):
-    lines = source_text.source_lines(sources_text(spark, sf_dir, True))
+    lines = source_text.source_lines(Workspace(spark).keep(sources_text(spark, sf_dir, True)))
     return source_text.extents_by_braces(_found(lines, r"function (\w+)"), lines).select("id", "start", "end")
 
 
 def function_sources(spark, sf_dir):
-    lines = source_text.source_lines(sources_text(spark, sf_dir, True))
+    lines = source_text.source_lines(Workspace(spark).keep(sources_text(spark, sf_dir, True)))
     extents = source_text.extents_by_braces(_found(lines, r"function (\w+)"), lines)
     return source_text.function_source(extents, lines).select("id", F.length("source").alias("chars"), "error")
 

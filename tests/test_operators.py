@@ -501,3 +501,13 @@ def test_contraction_equals_stars(spark, packet):
     hub = spark.range(n).selectExpr("struct('s' AS repo, 'hub' AS id) AS a", "struct('s' AS repo, concat('i', id) AS id) AS b")
     got = sorted(map(str, components.contracted_components(path.unionByName(hub), packet).collect()))
     assert got == sorted(map(str, components.star_components(path.unionByName(hub)).collect()))
+
+
+def test_extents_deal_their_lines_out_once(spark, capsys):
+    lines = spark.createDataFrame([("r", "f", 1, "x"), ("r", "f", 2, "y {"), ("r", "f", 3, "}")], "repo string, file string, line int, text string")
+    definitions = spark.createDataFrame([("r", "d", "f", 2), ("r", "lost", "f", 9)], "repo string, id string, file string, line int")
+    for extents in (source_text.extents_by_braces, source_text.extents_by_indentation):
+        found = extents(definitions, lines)
+        found.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+        assert [(x.id, x.start, x.end) for x in found.collect()] == [("d", 2, 3 if extents is source_text.extents_by_braces else 2)]
