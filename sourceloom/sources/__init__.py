@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.sources.files import EXTENSIONS, SKIPPED, SKIPPED_PYTHON, CorpusSource, DocumentFiles
+from sourceloom.sources.files import EXTENSIONS, SKIPPED, SKIPPED_PYTHON, CorpusSource, DocumentFiles, publish, read_documents
 
 GRAPH = (
     "nodes array<struct<id:string,name:string,file:string,line:int,language:string,isLibrary:boolean,libraryName:string,className:string,classExtends:string,classImplements:array<string>>>,"
@@ -29,9 +31,12 @@ def scan_corpus(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
 
 
 def write_documents(documents: DataFrame, folder: str, mode: str = "append") -> None:
-    """(file, text) as files below a folder; they appear together once all are written."""
-    documents.sparkSession.dataSource.register(DocumentFiles)
-    documents.select("file", "text").write.format("document_files").mode(mode).save(folder)
+    """(file, text) as files below a folder; they appear once all are written, moved to their places by tasks."""
+    spark, job = documents.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(DocumentFiles)
+    dealt = documents.select("file", "text").repartition(spark.sparkContext.defaultParallelism)  # a file costs more than its bytes tell
+    dealt.write.format("document_files").option("job", job).mode(mode).save(folder)
+    publish(spark, folder, job)
 
 
 def read_graph_json(spark: SparkSession, path: str, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,8 +72,7 @@ def parse_layouts(texts: DataFrame) -> DataFrame:
 
 def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
     """The saved layouts of a folder, by file name."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    return parse_layouts(texts).orderBy("file")
+    return parse_layouts(read_documents(spark, folder, ".json")).orderBy("file")
 
 
 def layout_file(name: Column) -> Column:

@@ -518,3 +518,33 @@ def test_imports_are_found_without_a_shuffle(spark, capsys):
     found.explain()
     assert "Exchange" not in capsys.readouterr().out
     assert sorted(map(tuple, found.collect())) == [("r", "f", "a", "y"), ("r", "f", "c", "y")]
+
+
+def test_documents_are_moved_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver's commit moves no file, a scan's driver lists a bounded number of names, and a folder of any number of files is read by few tasks."""
+    from sourceloom.sources import files
+
+    folder = str(tmp_path / "out")
+    rows = spark.range(9000).select(F.concat(F.lit("a/b "), F.col("id").cast("string"), F.lit(".json")).alias("file"), F.col("id").cast("string").alias("text")).repartition(1)
+    writer = files.DocumentWriter({"path": folder, "job": "j"}, False)
+    monkeypatch.setattr(files, "_place", None)  # of the driver only
+    writer.commit([files.Staged(["0-0-0"]), None])
+    assert os.listdir(folder) == ["_staging-j"] and (tmp_path / "out" / "_staging-j" / "_written").read_text() == "0-0-0"
+    writer.abort([])
+    monkeypatch.undo()
+    sources.write_documents(rows, folder)
+    assert os.listdir(folder) == ["a"]
+    back = files.read_documents(spark, f"{folder}/a", ".json")
+    assert back.rdd.getNumPartitions() == 4 and sorted((x.file, x.text) for x in back.collect()) == sorted((f"b {k}.json", str(k)) for k in range(9000))
+    assert files.read_documents(spark, f"{folder}/a", "7.json").count() == 900
+    for k in range(3):
+        for j in range(40):
+            (tmp_path / "src" / f"d{k}" / "e").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "src" / f"d{k}" / f"{j}.py").write_text("1")
+    listed = []
+    reader = files.CorpusReader({"path": str(tmp_path / "src"), "folders": "5"})
+    real = reader._listed
+    monkeypatch.setattr(reader, "_listed", lambda store, path: listed.append(path) or real(store, path))
+    parts = reader.partitions()
+    assert len(listed) == 3 and len({x.path for x in parts}) == len(parts)  # the last of the three folders is left to its task
+    assert sum(x.num_rows for p in parts for x in files.CorpusReader({"path": str(tmp_path / "src")}).read(p)) == 120
