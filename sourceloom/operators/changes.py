@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,8 @@ BUCKET = 256  # lines
 
 #: The formats of the version-control tool's outputs, a hunk header and the header line of a blame entry.
 _HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-_BLAME = r"^([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?$"
+_BLAME = re.compile(r"([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?[\r\x85\u2028\u2029]?\Z", re.ASCII)
+_AUTHOR_TIME = re.compile(r"author-time (-?\d+)", re.ASCII)
 
 
 def _lines(texts: DataFrame, by: str = r"\n") -> DataFrame:
@@ -55,18 +60,47 @@ def parse_diff(texts: DataFrame) -> DataFrame:
     return hunks.select("repo", "staged", "file", start.alias("start"), F.when(count(4) > 0, start + count(4) - 1).otherwise(start).alias("end"), (count(2) == 0).alias("is_new"))
 
 
+def _blame_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of whole texts: (text, line, sha, author_time), the last one of each line of a text."""
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            repo, file, text = (batch.column(c)[k].as_py() for c in range(3))
+            times: dict[str, int] = {}
+            entries: list[list] = []
+            for line in (text or "").split("\n"):
+                if found := _BLAME.match(line):
+                    n = int(found[3])
+                    entries.append([found[1], n if n < 1 << 31 else None, None])
+                elif entries and (found := _AUTHOR_TIME.match(line)):
+                    time = int(found[1])
+                    if -(1 << 63) <= time < 1 << 63:
+                        entries[-1][2] = time if entries[-1][2] is None else max(time, entries[-1][2])
+            last: dict[int | None, tuple[str, int]] = {}
+            for sha, n, time in entries:
+                if time is not None:
+                    times[sha] = time
+                if sha in times:
+                    last[n] = sha, times[sha]
+            rows += [(repo, file, n, *x) for n, x in last.items()]
+            if len(rows) >= 1 << 16:
+                yield _blamed(rows)
+                rows = []
+        if rows:
+            yield _blamed(rows)
+
+
+def _blamed(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["repo", "file", "line", "sha", "author_time"])
+
+
 def parse_blame(texts: DataFrame) -> DataFrame:
-    """(repo, file, line, sha, author_time) from (repo, file, text): a commit's time stands at its first entry and holds for its later ones. Lines without a known time are left out."""
-    rows = _lines(texts)
-    header = F.col("line").rlike(_BLAME)
-    block = F.sum(header.cast("int")).over(Window.partitionBy("repo", "file").orderBy("pos"))
-    time = F.when(F.col("line").startswith("author-time "), F.regexp_extract("line", r"^author-time (-?\d+)", 1).try_cast("long"))
-    rows = rows.withColumn("block", block).where("block > 0").groupBy("repo", "file", "block").agg(
-        F.max(F.when(header, F.regexp_extract("line", _BLAME, 1))).alias("sha"), F.max(F.when(header, F.regexp_extract("line", _BLAME, 3).try_cast("int"))).alias("n"), F.max(time).alias("time")
-    )
-    known = F.last("time", ignorenulls=True).over(Window.partitionBy("repo", "file", "sha").orderBy("block"))
-    out = rows.withColumn("author_time", known).where("author_time is not null")
-    return out.groupBy("repo", "file", F.col("n").alias("line")).agg(F.max_by(F.struct("sha", "author_time"), "block").alias("b")).select("repo", "file", "line", "b.sha", "b.author_time")
+    """(repo, file, line, sha, author_time) from (repo, file, text), one text a file: a commit's time stands at its first entry and holds for its later ones. Lines without a known time are left out.
+
+    A text is read within its row, so nothing is shuffled and a task holds the entries of one batch of texts.
+    """
+    return texts.select("repo", "file", "text").mapInArrow(_blame_entries, "repo string, file string, line int, sha string, author_time long")
 
 
 def node_ranges(nodes: DataFrame) -> DataFrame:

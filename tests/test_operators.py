@@ -548,3 +548,12 @@ def test_documents_are_moved_and_read_by_tasks(spark, tmp_path, monkeypatch):
     parts = reader.partitions()
     assert len(listed) == 3 and len({x.path for x in parts}) == len(parts)  # the last of the three folders is left to its task
     assert sum(x.num_rows for p in parts for x in files.CorpusReader({"path": str(tmp_path / "src")}).read(p)) == 120
+
+
+def test_blame_is_read_within_its_row(spark, capsys):
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    text = "\n".join(("author-time 1", f"{a} 1 1 2\r", "author-time 7", "author-time 5", "\tauthor-time 99", f"{b} 4 2", f"{a} 2 3", "\tx", f"{a} 2 99999999999", f"{b} 4 4 1", "author-time -3", f"{c} 1 2", f"{b} 9 4", "author-time x", f"{b} 9 5 ", f"{b} 9 6"))
+    found = changes.parse_blame(spark.createDataFrame([("r", "f", text), ("r", "g", None), ("r", "h", ""), ("q", "f", f"{b} 1 1\nauthor-time 4")], "repo string, file string, text string"))
+    assert sorted((x.repo, x.file, x.line or 0, x.sha, x.author_time) for x in found.collect()) == [("q", "f", 1, b, 4), ("r", "f", 0, a, 7), ("r", "f", 1, a, 7), ("r", "f", 3, a, 7), ("r", "f", 4, b, -3), ("r", "f", 6, b, -3)]
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
