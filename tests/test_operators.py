@@ -494,6 +494,22 @@ def test_small_components_of_a_large_repository_need_no_halving(spark):
         assert {frozenset(s) for s in sets.values()} == want and all(c == min(s) for c, s in sets.items())
 
 
+def test_forest_is_parted_before_edges_are_weighed(spark):
+    """Parts come from the bare edges of a repository of many packets, with the entry node and unknown ends left out, and whole trees of them with the edges; the forest is the one of the weighed edges."""
+    r = random.Random(12)
+    own = [(repo, f"i{k:02}{r.randrange(6)}", f"i{k:02}{r.randrange(6)}") for repo, n in (("wide", 40), ("small", 3)) for k in range(n) for _ in range(9)]
+    nodes = spark.createDataFrame([(repo, f"i{k:02}{j}", f"i{k:02}{j}", r.choice(["f", None]), None, None, 1) for repo in ("wide", "small") for k in range(40) for j in range(6)], NODE)
+    edges = spark.createDataFrame([*own, *(("wide", "::MAIN::0", f"i{k:02}0") for k in range(40)), ("wide", "i010", "unknown")], EDGE)
+    scores = spark.createDataFrame([(repo, f"i{k:02}{j}", r.choice([0.0, 0.5, 1.0])) for repo in ("wide", "small") for k in range(40) for j in range(6)], "repo string, id string, score double")
+    got = clustering.spanning_forest(nodes, edges, scores, 40).collect()
+    want = forests.minimum_spanning_forest(clustering.edge_weights(nodes, edges, scores)).collect()
+    assert sorted(x[:5] for x in got) == sorted(tuple(x) for x in want)
+    parts = {}
+    for x in got:
+        parts.setdefault((x.repo, x.source[:3]), set()).add(x.part)
+    assert all(parts[k] == {""} if k[0] == "small" else "" not in parts[k] for k in parts) and len(set().union(*parts.values())) >= 40
+
+
 @pytest.mark.parametrize("packet", [1 << 20, 20])
 def test_contraction_equals_stars(spark, packet):
     n = 300
