@@ -165,6 +165,20 @@ def test_detail_view_at_each_level(spark):
         assert lines.where("is_library").count() == 1
 
 
+def test_detail_view_makes_its_graph_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    nodes = spark.createDataFrame([("r", k, k, "f", None, "python", 1) for k in "abc"], NODE).withColumn("is_library", F.lit(False)).withColumn("library_name", F.lit(None).cast("string"))
+    edges = spark.createDataFrame([("r", "::MAIN::0", "a"), ("r", "a", "b"), ("r", "b", "c")], EDGE).withColumn("is_library", F.lit(False))
+    shown, lines = clustering.detail_view(nodes, edges.mapInArrow(counted, edges.schema), 1.0)
+    assert (shown.count(), lines.count(), made.value) == (3, 2, 3)
+
+
 def test_depth_of_a_long_chain_and_loops(spark):
     n = 20
     nodes = spark.createDataFrame([("r", f"i{k}") for k in range(n + 2)], "repo string, id string")
