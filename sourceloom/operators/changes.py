@@ -14,7 +14,6 @@ from sourceloom.operators.measures import MAIN
 from sourceloom.plans.durable import Workspace
 from sourceloom.plans.ranking import numbered
 
-BUCKET = 256  # lines
 
 #: The formats of the version-control tool's outputs, a hunk header and the header line of a blame entry.
 _HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -109,22 +108,26 @@ def node_ranges(nodes: DataFrame) -> DataFrame:
     return nodes.where("file is not null and file <> ''").select("repo", "id", "file", F.col("line").alias("start"), (F.lead("line").over(order) - 1).alias("end"))
 
 
-def _met(ranges: DataFrame, hunks: DataFrame, bucket: int) -> DataFrame:
-    """(repo, id, staged, status) of the ranges that hunks of a side meet, both sides in one pass."""
-    h = hunks.where("start is not null and end >= start").select("repo", "file", F.col("start").alias("hs"), F.col("end").alias("he"), F.coalesce("is_new", F.lit(False)).alias("is_new"), "staged").distinct()
-    whole = F.expr(f"floor(hs / {bucket})").cast("long"), F.expr(f"floor(he / {bucket})").cast("long")
-    dealt = h.withColumn("b", F.explode(F.sequence(*whole)))
-    placed = ranges.where("start is not null")
-    starts = placed.withColumn("b", F.floor(F.col("start") / bucket).cast("long"))
-    within = starts.join(dealt, ["repo", "file", "b"]).where("hs <= start and he >= start and hs <= coalesce(end, 2147483647)")
-    within = within.groupBy("repo", "id", "staged").agg(F.max("is_new").alias("new"))
+def _met(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(repo, id, staged, status) of the ranges that hunks of a side meet, both sides in one window over a file's lines."""
+    h = hunks.where("start is not null and end >= start and staged is not null").select("repo", "file", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("end").alias("he"), F.coalesce("is_new", F.lit(False)).alias("is_new"), "staged")
+    placed = ranges.where("start is not null").select("repo", "file", "id", "start", "end")
+    starts = placed.select("repo", "file", F.col("start").alias("at"), F.lit(0).alias("kind"), "id", "end")
+    asks = placed.select("repo", "file", F.least("start", "end").alias("at"), F.lit(2).alias("kind"), "id", "start")
+    points = h.unionByName(starts, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
+    before = Window.partitionBy("repo", "file").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The range that a hunk begins in: the last one at or before its first line.
-    points = placed.select("repo", "file", F.col("start").alias("at"), F.lit(0).alias("kind"), "id", "end").unionByName(
-        h.select("repo", "file", F.col("hs").alias("at"), F.lit(1).alias("kind"), "staged").distinct(), allowMissingColumns=True
-    )
-    last = F.last(F.when(F.col("kind") == 0, F.struct("id", "end")), ignorenulls=True).over(Window.partitionBy("repo", "file").orderBy("at", "kind", "id"))
-    begun = points.withColumn("r", last).where("kind = 1 and r is not null and at <= coalesce(r.end, 2147483647)").select("repo", F.col("r.id").alias("id"), "staged").distinct()
-    both = within.unionByName(begun.withColumn("new", F.lit(False)))
+    columns = [F.last(F.when(F.col("kind") == 0, F.struct("id", "end")), ignorenulls=True).over(before).alias("r")]
+    sides = [(staged, new) for staged in (False, True) for new in (False, True)]
+    far = {x: f"far{k}" for k, x in enumerate(sides)}
+    # A hunk that begins at or before a range holds its first line if the farthest one does.
+    columns += [F.max(F.when((F.col("staged") == staged) & (F.col("is_new") | (not new)), F.col("he"))).over(before).alias(far[staged, new]) for staged, new in sides]
+    seen = points.select("repo", "kind", "at", "id", "start", "staged", *columns, F.col("file").isNotNull().alias("filed"))
+    hit = lambda id, staged, new: F.struct(id.alias("id"), staged.alias("staged"), new.alias("new"))
+    begun = F.when((F.col("kind") == 1) & (F.col("at") <= F.coalesce("r.end", F.lit(2147483647))) & F.col("r").isNotNull(), hit(F.col("r.id"), F.col("staged"), F.lit(False)))
+    holds = lambda staged, new: F.coalesce(F.col(far[staged, new]) >= F.col("start"), F.lit(False))
+    within = [F.when((F.col("kind") == 2) & F.col("filed") & holds(staged, False), hit(F.col("id"), F.lit(staged), holds(staged, True))) for staged in (False, True)]
+    both = seen.select("repo", F.explode(F.array_compact(F.array(begun, *within))).alias("x")).select("repo", "x.*")
     return both.groupBy("repo", "id", "staged").agg(F.when(F.max("new"), "added").otherwise("modified").alias("status"))
 
 
@@ -133,22 +136,22 @@ def _kept(ranges: DataFrame) -> DataFrame:
     return Workspace(ranges.sparkSession).keep(ranges.select("repo", "id", "file", "start", "end"))
 
 
-def hunk_status(ranges: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def hunk_status(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
     """(repo, id, status): ``added`` where a new hunk holds the first line, ``modified`` where any hunk overlaps, else null.
 
-    A hunk meets the ranges that start within it, by buckets of lines, and the range that holds its first line, which a carried window finds;
-    so no file joins all its ranges with all its hunks, and work grows with the lines that change. Of ranges that start on one line all but the last are empty and take hunks that hold the line.
+    A window over a file's lines carries the farthest end of the hunks so far to each range, and the last range so far to each hunk; so no file joins its ranges with its hunks, and the lines of a hunk
+    cost nothing. Of ranges that start on one line all but the last are empty and take hunks that hold the line and begin before it.
     """
     ranges = _kept(ranges)
-    found = _met(ranges, hunks.withColumn("staged", F.lit(False)), bucket)
+    found = _met(ranges, hunks.withColumn("staged", F.lit(False)))
     return ranges.select("repo", "id").join(found.drop("staged"), ["repo", "id"], "left")
 
 
-def attribute_changes(nodes: DataFrame, status: DataFrame, hunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def attribute_changes(nodes: DataFrame, status: DataFrame, hunks: DataFrame) -> DataFrame:
     """(repo, id, unstaged, staged) of nodes with a file: a file that is added or deleted as a whole gives its status, others by their hunks; a file without status gives none."""
     ranges = _kept(node_ranges(nodes))
     side = lambda staged, name: F.max(F.when(F.col("staged") == staged, F.col("status"))).alias(name)
-    found = _met(ranges, hunks, bucket).groupBy("repo", "id").agg(side(False, "hu"), side(True, "hs"))
+    found = _met(ranges, hunks).groupBy("repo", "id").agg(side(False, "hu"), side(True, "hs"))
     rows = ranges.select("repo", "id", "file").join(status.select("repo", "file", F.col("unstaged").alias("fu"), F.col("staged").alias("fs"), F.lit(True).alias("known")), ["repo", "file"], "left")
     rows = rows.join(found, ["repo", "id"], "left")
     whole = F.col("fu").isin("added", "deleted")

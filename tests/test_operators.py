@@ -533,6 +533,15 @@ def test_contraction_equals_stars(spark, packet):
     assert got == sorted(map(str, components.star_components(path.unionByName(hub)).collect()))
 
 
+def test_a_hunk_of_very_many_lines_is_not_dealt_out_by_lines(spark, capsys):
+    ranges = spark.createDataFrame([("r", "a", "f", 1, 4), ("r", "b", "f", 5, None)], "repo string, id string, file string, start int, end int")
+    hunks = spark.createDataFrame([("r", "f", 3, 2000000000, True)], "repo string, file string, start int, end int, is_new boolean")
+    found = changes.hunk_status(ranges, hunks)
+    found.explain()
+    assert "sequence(" not in capsys.readouterr().out
+    assert {x.id: x.status for x in found.collect()} == {"a": "modified", "b": "added"}
+
+
 def test_extents_deal_their_lines_out_once(spark, capsys):
     lines = spark.createDataFrame([("r", "f", 1, "x"), ("r", "f", 2, "y {"), ("r", "f", 3, "}")], "repo string, file string, line int, text string")
     definitions = spark.createDataFrame([("r", "d", "f", 2), ("r", "lost", "f", 9)], "repo string, id string, file string, line int")
