@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sourceloom.operators.measures import MAIN
 
 SELF = ("self", "cls")
+SIDE = 2048  # callers and definitions of a name that meet in one group
 DEFINITION = ("repo", "language", "id", "name", "file", "line")
 
 
@@ -46,6 +47,26 @@ def resolve_calls(definitions: DataFrame, calls: DataFrame, resolve_this: bool =
     return wanted.join(targets, ["repo", "language", "name"]).where("source <> target").select("repo", "source", "target").distinct()
 
 
+def expand_names(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(repo, source, target): the edges of ``resolve_calls`` from distinct ``wanted`` (repo, language, name, source), for names with very many callers and definitions.
+
+    Callers and definitions of a name are dealt into groups of about ``SIDE``, and every two groups meet in a task of their own. The edges themselves are neither shuffled nor kept: an id with one
+    name gets an edge once, and only edges to an id with several names, which may bring one twice, are made distinct.
+    """
+    key = ["repo", "language", "name"]
+    targets = definitions.select(*key, F.col("id").alias("target")).distinct()
+    several = targets.groupBy("repo", "target").agg((F.count(F.lit(1)) > 1).alias("several"))
+    targets = targets.join(several, ["repo", "target"])
+    groups = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SIDE).alias(name))
+    sizes = groups(wanted, "callers").join(groups(targets, "called"), key)
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = wanted.join(sizes, key).select(*key, "source", dealt("source", "callers").alias("i"), every("called").alias("j"))
+    right = targets.join(sizes, key).select(*key, "target", "several", every("callers").alias("i"), dealt("target", "called").alias("j"))
+    met = lambda rows: left.join(rows, [*key, "i", "j"]).where("source <> target").select("repo", "source", "target")
+    return met(right.where("not several")).unionByName(met(right.where("several")).distinct())
+
+
 def factored_degrees(definitions: DataFrame, calls: DataFrame, resolve_this: bool = False) -> DataFrame:
     """(repo, id, in_degree, out_degree, degree) of every definition in the graph of ``resolve_calls``, without its edges.
 

@@ -1,7 +1,10 @@
 """A call graph that follows saved files: facts and edges as logs of signed rows, and delta joins that touch only the names that a batch changes.
 
+The log of edges holds library edges whole and the others as their first half: a caller and the name that it calls. They meet the definitions when edges are read, since a name with many
+callers and many definitions has as many edges as their product, and each new definition would write one for every caller.
+
 Each log is a folder of Parquet tables, one a batch; a row's count is the sum of its ``n``. A batch takes the facts of its files off and puts their fresh ones on, resolves the names that
-differ, and writes what changes of definitions, imports, calls and edges. An edge's count is the number of ways in which calls and definitions support it, and it is there while that is above 0.
+differ, and writes what changes of definitions, imports, calls and edges. The count of an edge or half is the number of ways in which calls support it, and it is there while that is above 0.
 A batch that runs again overwrites its own tables and reads only the batches before it, so a stream may repeat one. ``fold`` sums a log's batches into one table.
 """
 
@@ -19,7 +22,7 @@ FACTS = {
     "imports": ("repo string, language string, file string, local string, module string, ord long", ("repo", "language", "file", "local", "module", "ord")),
     "calls": ("repo string, language string, file string, caller_id string, kind string, obj string, name string", ("repo", "language", "file", "caller_id", "kind", "obj", "name")),
 }
-EDGES = "repo string, source string, target string, is_library boolean"
+EDGES = "repo string, language string, name string, source string, target string, is_library boolean"
 NAME = ["repo", "language", "name"]
 
 
@@ -74,7 +77,9 @@ class IncrementalGraph:
 
     def edges(self) -> DataFrame:
         """(repo, source, target, is_library) of the edges that are there."""
-        return _summed(self.log("edges")).where("n > 0").drop("n")
+        there = _summed(self.log("edges")).where("n > 0")
+        inner = resolution.expand_names(there.where("not is_library").select(*NAME, "source"), self.facts("definitions"))
+        return inner.withColumn("is_library", F.lit(False)).unionByName(there.where("is_library").select("repo", "source", "target", "is_library"))
 
     def _put(self, name: str, number: int | str, rows: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/{number}"
@@ -91,18 +96,12 @@ class IncrementalGraph:
             fresh[name] = rows.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
             delta[name] = self._put(name, number, _summed(_signed(old, -1).unionByName(fresh[name])))
             held[name] = old
-        self._put("edges", number, _summed(self._inner(number, delta).unionByName(self._libraries(number, files, delta, held, fresh))))
-
-    def _inner(self, number: int, delta: dict[str, DataFrame]) -> DataFrame:
-        """Calls that change meet the definitions before the batch, and definitions that change the calls after it."""
-        named = lambda d: d.select(*NAME, F.col("id").alias("target"), F.col("n").alias("d"))
-        moved = resolution.resolvable(delta["calls"]).select(*NAME, F.col("caller_id").alias("source"), "n")
-        own = delta["definitions"]
-        one = moved.join(named(self.log("definitions", number).join(moved.select(NAME).distinct(), NAME, "left_semi")), NAME)
-        before = resolution.resolvable(self.log("calls", number).join(own.select(NAME).distinct(), NAME, "left_semi")).select(*NAME, F.col("caller_id").alias("source"), "n")
-        two = before.unionByName(moved).join(named(own), NAME)
-        both = one.unionByName(two).where("source <> target")
-        return both.select("repo", "source", "target", F.lit(False).alias("is_library"), (F.col("n") * F.col("d")).alias("n"))
+        self._put("edges", number, _summed(self._halves(delta).unionByName(self._libraries(number, files, delta, held, fresh))))
+
+    def _halves(self, delta: dict[str, DataFrame]) -> DataFrame:
+        """Callers and the names that they call, where calls change; definitions that change meet them when edges are read."""
+        none = F.lit(None).cast("string")
+        return resolution.resolvable(delta["calls"]).select(*NAME, F.col("caller_id").alias("source"), none.alias("target"), F.lit(False).alias("is_library"), "n")
 
     def _libraries(self, number: int, files: DataFrame, delta: dict[str, DataFrame], held: dict[str, DataFrame], fresh: dict[str, DataFrame]) -> DataFrame:
         """What the saved files' own calls supported goes and what they support comes; elsewhere, the calls of names that get their first definition go and those of names that lost their last one come."""
@@ -118,7 +117,8 @@ class IncrementalGraph:
         others = _summed(self.log("calls", number).withColumn("local", _local()).join(turned, ["repo", "language", "local"], "left_semi").drop("local").join(files, ["repo", "file"], "left_anti"))
         theirs = _summed(self.log("imports", number).join(others.select("repo", "file").distinct(), ["repo", "file"], "left_semi"))
         elsewhere = _library_rows(others, theirs).join(turned, ["repo", "language", "local"]).withColumn("n", F.col("n") * F.col("sign"))
-        columns = ("repo", "source", "target", F.lit(True).alias("is_library"), "n")
+        none = F.lit(None).cast("string")
+        columns = ("repo", none.alias("language"), none.alias("name"), "source", "target", F.lit(True).alias("is_library"), "n")
         return gone.select(*columns).unionByName(come.select(*columns)).unionByName(elsewhere.select(*columns))
 
     def fold(self, number: int) -> None:

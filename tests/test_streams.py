@@ -55,6 +55,22 @@ def test_a_small_batch_moves_few_rows(spark, tmp_path):
     assert graph.edges().where("source = 'f7::f'").first().target == "f9::n9"
 
 
+def test_a_name_of_many_callers_and_definitions_keeps_no_edges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resolution, "SIDE", 16)
+    graph = IncrementalGraph(spark, str(tmp_path / "graph"))
+    text = F.concat(F.lit("d:n"), F.col("id") % 2, F.lit(" c:n"), F.col("id") % 3)
+    files = spark.range(300).select(F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("file"), text.alias("text"), F.lit(0).alias("ts"))
+    graph.on_batch(extract)(files, 0)
+    assert graph.log("edges").count() == 300
+    definitions, _, calls = extract(files)
+    want = sorted(map(tuple, resolution.resolve_calls(definitions, calls).collect()))
+    assert len(want) == 200 * 150 and sorted((x.repo, x.source, x.target) for x in graph.edges().collect()) == want
+    twice = definitions.unionByName(definitions.withColumn("name", F.lit("n2")))
+    wanted = calls.select("repo", "language", "name", F.col("caller_id").alias("source")).unionByName(calls.select("repo", "language", F.lit("n1").alias("name"), F.col("caller_id").alias("source"))).distinct()
+    plain = wanted.join(twice, ["repo", "language", "name"]).where("source <> id").select("repo", "source", "id").distinct()
+    assert sorted(map(tuple, resolution.expand_names(wanted, twice).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_status_updates_out_of_order_equal_a_batch_run(spark, tmp_path):
     r = random.Random(6)
     rows = []
