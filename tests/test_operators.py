@@ -207,6 +207,23 @@ def test_depth_of_random_graphs_equals_a_plain_walk(spark):
     assert {(x.repo, x.id): (x.depth, x.max_depth) for x in got.collect()} == want
 
 
+def test_depth_of_repeated_calls_and_strange_ends_moves_few_rows(spark, monkeypatch):
+    from sourceloom.plans.durable import Workspace
+
+    tables, keep = [], Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df: tables.append(df.count()) or keep(self, df))
+    n = 64
+    nodes = spark.range(n).select(F.lit("r").alias("repo"), F.concat(F.lit("i"), "id").alias("id"))
+    chain = spark.range(n - 1).select(F.lit("r").alias("repo"), F.concat(F.lit("i"), "id").alias("source"), F.concat(F.lit("i"), F.col("id") + 1).alias("target"))
+    strange = spark.createDataFrame([("r", "::MAIN::0", "i0"), ("r", "nobody", "i5"), ("r", "i5", "nobody"), ("r", "i7", "i7")], EDGE)
+    edges = chain.unionByName(chain).unionByName(strange)
+    tables.append(edges.count())
+    got = measures.bfs_depth(nodes, edges, kept=True)
+    assert {x.id: x.depth for x in got.collect()} == {f"i{k}": k for k in range(n)}
+    # ids, entry, anchors' rows not settled before (64, 63, 62, 60, 56, 48, 32), the entry's layer and an empty one, no links, depths
+    assert sum(tables[1:]) == 64 + 1 + 385 + 1 + 64
+
+
 def test_depth_of_ten_thousand_in_few_rounds(spark, monkeypatch):
     from sourceloom.plans.durable import Workspace
 
