@@ -40,9 +40,14 @@ def resolvable(calls: DataFrame, resolve_this: bool = False) -> DataFrame:
     return calls.where((F.col("kind") == "bare") | ((F.col("kind") == "attr") & own))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Distinct rows, dealt out before they are compared: a task that reads calls holds none of them, and the others hold less the more shuffle partitions the session has, which are not coalesced here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns).distinct()
+
+
 def resolve_calls(definitions: DataFrame, calls: DataFrame, resolve_this: bool = False) -> DataFrame:
     """(repo, source, target): each call to every definition of its name in the language."""
-    wanted = resolvable(calls, resolve_this).select("repo", "language", F.col("caller_id").alias("source"), "name").distinct()
+    wanted = _once(resolvable(calls, resolve_this).select("repo", "language", F.col("caller_id").alias("source"), "name"))
     targets = definitions.select("repo", "language", "name", F.col("id").alias("target"))
     return wanted.join(targets, ["repo", "language", "name"]).where("source <> target").select("repo", "source", "target").distinct()
 
@@ -74,7 +79,7 @@ def factored_degrees(definitions: DataFrame, calls: DataFrame, resolve_this: boo
     definitions: counts of one side joined to rows of the other. A name with very many callers and definitions costs their sum, not their product.
     """
     key = ["repo", "language", "name"]
-    wanted = resolvable(calls, resolve_this).select(*key, F.col("caller_id").alias("id")).distinct()
+    wanted = _once(resolvable(calls, resolve_this).select(*key, F.col("caller_id").alias("id")))
     targets = definitions.select(*key, "id").distinct()
     own = wanted.join(targets, [*key, "id"], "left_semi").select("repo", "id", F.lit(-1).cast("long").alias("in_degree"), F.lit(-1).cast("long").alias("out_degree"))
     called = targets.join(wanted.groupBy(*key).agg(F.count(F.lit(1)).alias("in_degree")), key).select("repo", "id", "in_degree", F.lit(0).cast("long").alias("out_degree"))

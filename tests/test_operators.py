@@ -613,3 +613,13 @@ def test_blame_is_read_within_its_row(spark, capsys):
     assert sorted((x.repo, x.file, x.line or 0, x.sha, x.author_time) for x in found.collect()) == [("q", "f", 1, b, 4), ("r", "f", 0, a, 7), ("r", "f", 1, a, 7), ("r", "f", 3, a, 7), ("r", "f", 4, b, -3), ("r", "f", 6, b, -3)]
     found.explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_calls_are_dealt_out_before_they_are_compared(spark):
+    definitions = spark.createDataFrame([("r", "python", "a", "f"), ("r", "python", "b", "g")], "repo string, language string, id string, name string")
+    calls = spark.createDataFrame([("r", "python", "a", "bare", None, "g")] * 3 + [("r", "python", "b", "bare", None, "f")], "repo string, language string, caller_id string, kind string, obj string, name string")
+    for rows in (resolution.resolve_calls(definitions, calls), resolution.factored_degrees(definitions, calls)):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan or "RepartitionByExpression" in plan
+    assert {(x.source, x.target) for x in resolution.resolve_calls(definitions, calls).collect()} == {("a", "b"), ("b", "a")}
+    assert {(x.id, x.in_degree, x.out_degree) for x in resolution.factored_degrees(definitions, calls).collect()} == {("a", 1, 1), ("b", 1, 1)}
