@@ -258,6 +258,20 @@ def test_component_labels_equal_plain_sets(spark, packet):
         assert {x.id: x.cluster_id for x in got if x.repo == repo} == {i: min(s) for s in unite(sorted(ids), [r[1:3] for r in rows if r[0] == repo and r[1] != r[2]]) for i in s} if ids else True
 
 
+@pytest.mark.parametrize("repo", ["'shop'", "concat('r', id % 50)"])
+def test_components_of_edges_that_have_no_nulls(spark, repo):
+    # A task holds several packets, so stars, which may have nulls by their type, meet edges that may not.
+    edges = spark.range(0, 60000, 1, 1).selectExpr(f"{repo} as repo", "concat('a', id % 700) as source", "concat('b', id % 1050) as target")
+    rows = edges.distinct().collect()
+    want = {}
+    for r in {r.repo for r in rows}:
+        pairs = [(x.source, x.target) for x in rows if x.repo == r]
+        want[r] = unite({i for p in pairs for i in p}, pairs)
+    got = forests.component_labels(edges, 2000 if "id" in repo else 5000).collect()
+    assert partition(got) == want
+    assert all(r.cluster_id == min(s) for r in got for s in want[r.repo] if r.id in s)
+
+
 def test_hunks_equal_nested_loops(spark):
     r = random.Random(4)
     nodes, hunks = [], []
