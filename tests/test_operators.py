@@ -179,6 +179,24 @@ def test_detail_view_makes_its_graph_once(spark):
     assert (shown.count(), lines.count(), made.value) == (3, 2, 3)
 
 
+def test_members_of_clusters_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    nodes = spark.createDataFrame([("r", k, k.upper(), k, None, "python", 1) for k in "abc"], NODE)
+    edges = spark.createDataFrame([("r", "::MAIN::0", "a"), ("r", "a", "b"), ("r", "b", "c")], EDGE)
+    scores = spark.createDataFrame([("r", "a", 0.1), ("r", "b", 0.7)], "repo string, id string, score double")
+    assignment = spark.createDataFrame([("r", "a", "a"), ("r", "b", "a"), ("r", "c", "c")], "repo string, id string, cluster_id string")
+    shown = clustering.cluster_nodes(assignment.mapInArrow(counted, assignment.schema), nodes, edges, scores, 0.5)
+    got = {(r.id, r.label, r.n, r.is_cluster, r.is_entry, r.file) for r in shown.collect()}
+    assert got == {("a", "B +1", 2, True, False, None), ("c", "C", 1, False, False, "c")}
+    assert made.value == 3
+
+
 def test_depth_of_a_long_chain_and_loops(spark):
     n = 20
     nodes = spark.createDataFrame([("r", f"i{k}") for k in range(n + 2)], "repo string, id string")
