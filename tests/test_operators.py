@@ -194,7 +194,7 @@ def test_members_of_clusters_are_made_once(spark):
     shown = clustering.cluster_nodes(assignment.mapInArrow(counted, assignment.schema), nodes, edges, scores, 0.5)
     got = {(r.id, r.label, r.n, r.is_cluster, r.is_entry, r.file) for r in shown.collect()}
     assert got == {("a", "B +1", 2, True, False, None), ("c", "C", 1, False, False, "c")}
-    assert made.value == 3
+    assert (shown.count(), made.value) == (2, 3)
 
 
 def test_depth_of_a_long_chain_and_loops(spark):
@@ -276,10 +276,10 @@ def test_component_labels_equal_plain_sets(spark, packet):
         assert {x.id: x.cluster_id for x in got if x.repo == repo} == {i: min(s) for s in unite(sorted(ids), [r[1:3] for r in rows if r[0] == repo and r[1] != r[2]]) for i in s} if ids else True
 
 
-@pytest.mark.parametrize("repo", ["'shop'", "concat('r', id % 50)"])
+@pytest.mark.parametrize("repo", ["'shop'", "concat('r', id & 31)"])
 def test_components_of_edges_that_have_no_nulls(spark, repo):
     # A task holds several packets, so stars, which may have nulls by their type, meet edges that may not.
-    edges = spark.range(0, 60000, 1, 1).selectExpr(f"{repo} as repo", "concat('a', id % 700) as source", "concat('b', id % 1050) as target")
+    edges = spark.range(0, 60000, 1, 1).selectExpr(f"{repo} as repo", "concat('a', id & 255) as source", "concat('b', id & 511) as target")
     rows = edges.distinct().collect()
     want = {}
     for r in {r.repo for r in rows}:
